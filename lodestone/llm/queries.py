@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import ship_package
 from .common import fresh_dir, read_table
 
 TOKEN_LIMIT = 2048
@@ -32,12 +34,70 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract_text
+
+    pages = read_table(spark, sf_dir, "pages")
+    return extract_text(pages.select("page_id", "url", "html")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_sources
+
+    return mix_sources(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).drop("text")
+
+
+def _level(name: str, source: str, parent: list[str], weight: str) -> str:
+    """SQL for one level of the budget tree: ``shares_{name}`` from the level above."""
+    path = ", ".join([*parent, name])
+    family = f"PARTITION BY {', '.join(parent)}" if parent else ""
+    order = f"({family} ORDER BY CASE WHEN w > 0 THEN cap / w ELSE CAST('inf' AS DOUBLE) END, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    join = f"JOIN {source} USING ({', '.join(parent)})" if parent else f"CROSS JOIN {source}"
+    return f"""
+nodes_{name} AS (SELECT {path}, CAST(sum(tokens) * 3 AS BIGINT) AS cap, {weight} AS w FROM leaves GROUP BY {path}),
+full_{name} AS (SELECT *, cap * (sum(w) OVER ({family}) - coalesce(sum(w) OVER {order}, 0)) <= w * (budget - coalesce(sum(cap) OVER {order}, 0)) AS is_full FROM nodes_{name} {join}),
+shares_{name} AS (SELECT {path}, CAST(CASE WHEN is_full THEN cap ELSE coalesce((w * (budget - coalesce(sum(cap) FILTER (is_full) OVER ({family}), 0))) // nullif(sum(w) FILTER (NOT is_full) OVER ({family}), 0), 0) END AS BIGINT) AS budget FROM full_{name}),"""
+
+
+def _op10_sql() -> str:
+    lang = "CASE lang WHEN 'en' THEN 50 WHEN 'fr' THEN 20 WHEN 'de' THEN 20 ELSE 10 END"
+    domain = "CASE domain WHEN 'domain0' THEN 40 WHEN 'domain1' THEN 30 WHEN 'domain2' THEN 20 ELSE 10 END"
+    return f"""
+WITH docs AS (
+  SELECT doc_id, lang AS lang_in, source AS source_in, text, coalesce(lang, 'none') AS lang, coalesce(source, 'none') AS source,
+    coalesce('domain' || CAST(TRY_CAST(regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1) AS INT) % 4 AS VARCHAR), 'none') AS domain,
+    len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), lambda w: w <> '')) AS n_tokens
+  FROM documents),
+leaves AS (SELECT domain, lang, source, sum(n_tokens) AS tokens FROM docs GROUP BY ALL),
+total AS (SELECT CAST(coalesce(sum(tokens), 0) * 60 // 100 AS BIGINT) AS budget FROM leaves),
+{_level("domain", "total", [], domain)}
+{_level("lang", "shares_domain", ["domain"], lang)}
+{_level("source", "shares_lang", ["domain", "lang"], "10")}
+plans AS (SELECT domain, lang, source, budget // tokens AS n_full, budget % tokens AS n_left FROM leaves JOIN shares_source USING (domain, lang, source) WHERE tokens > 0),
+placed AS (
+  SELECT docs.*, n_full, sum(n_tokens) OVER (PARTITION BY domain, lang, source
+    ORDER BY md5('mix-1:' || CAST(n_full AS VARCHAR) || ':' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, n_tokens, text ROWS UNBOUNDED PRECEDING) <= n_left AND n_left > 0 AS taken
+  FROM docs JOIN plans USING (domain, lang, source))
+SELECT doc_id, lang_in AS lang, source_in AS source, domain, CAST(n_tokens AS BIGINT) AS n_tokens,
+  CAST(unnest(range(0, CAST(n_full + CASE WHEN taken THEN 1 ELSE 0 END AS BIGINT))) AS INT) AS epoch
+FROM placed"""
+
+
+def _shipped(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @wraps(run)
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return run(spark, sf_dir)
+
+    return query
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op8_byte_bpe": op8_byte_bpe,
-        "op9_token_counts": op9_token_counts,
-    }
+    runs = [op4_html_text, op8_byte_bpe, op9_token_counts, op10_source_mix]
+    return {f.__name__: _shipped(f) for f in runs}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op10_source_mix": _op10_sql(),
+    }
