@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,6 +35,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, removed when this process ends."""
+    spark = df.sparkSession
+    place = fresh_dir(spark, name)
+    df.write.parquet(place)
+    atexit.register(_remove, spark, place)
+    return spark.read.schema(df.schema).parquet(place)
+
+
+def _remove(spark: SparkSession, place: str) -> None:
+    with contextlib.suppress(Exception):  # the context may have ended before
+        path = spark._jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -20,6 +20,13 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeats
+
+    done = remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .byte_bpe import round_trip
 
@@ -93,7 +100,7 @@ def _shipped(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    runs = [op4_html_text, op8_byte_bpe, op9_token_counts, op10_source_mix]
+    runs = [op4_html_text, op5_suffix_dedup, op8_byte_bpe, op9_token_counts, op10_source_mix]
     return {f.__name__: _shipped(f) for f in runs}
 
 
