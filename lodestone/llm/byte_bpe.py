@@ -286,7 +286,7 @@ def encode_texts(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     return flat, np.diff(total[np.searchsorted(starts, stops)], prepend=0)
 
 
-def _chunks(texts: list[str], limit: int = 4_000_000) -> Iterator[list[str]]:
+def _chunks(texts: list[str], limit: int = 500_000) -> Iterator[list[str]]:
     held, size = [], 0
     for x in texts:
         if held and size + len(x) > limit:
