@@ -41,6 +41,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash_dedup import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"), width=3, percent=85)
+
+
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_text import extract_text
 
@@ -100,7 +106,7 @@ def _shipped(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    runs = [op4_html_text, op5_suffix_dedup, op8_byte_bpe, op9_token_counts, op10_source_mix]
+    runs = [op3_minhash_dedup, op4_html_text, op5_suffix_dedup, op8_byte_bpe, op9_token_counts, op10_source_mix]
     return {f.__name__: _shipped(f) for f in runs}
 
 
