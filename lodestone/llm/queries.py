@@ -27,6 +27,12 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_dedup import link_vectors
+
+    return link_vectors(read_table(spark, sf_dir, "embeddings"), least=0.98)
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .byte_bpe import round_trip
 
@@ -41,6 +47,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op2_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann_forest import nearest
+
+    return nearest(read_table(spark, sf_dir, "embeddings"), every=50, top=5)
+
+
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash_dedup import near_duplicates
 
@@ -60,6 +72,23 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).drop("text")
 
 
+OP7_SQL = """
+WITH RECURSIVE given AS (
+  SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+good AS (
+  SELECT * FROM given WHERE label IS NOT NULL AND v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(v, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.r AS a, b.r AS b FROM good a JOIN good b ON a.label = b.label AND a.r <> b.r AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.98),
+reach AS (
+  SELECT r, r AS c FROM given
+  UNION
+  SELECT reach.r, links.b FROM reach JOIN links ON reach.c = links.a),
+named AS (SELECT reach.r, min(g.vec_id) AS component_id FROM reach JOIN given g ON g.r = reach.c GROUP BY ALL)
+SELECT given.vec_id, (SELECT count(*) FROM links WHERE links.a = given.r) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM given JOIN named USING (r)"""
+
+
 def _level(name: str, source: str, parent: list[str], weight: str) -> str:
     """SQL for one level of the budget tree: ``shares_{name}`` from the level above."""
     path = ", ".join([*parent, name])
@@ -106,11 +135,12 @@ def _shipped(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    runs = [op3_minhash_dedup, op4_html_text, op5_suffix_dedup, op8_byte_bpe, op9_token_counts, op10_source_mix]
+    runs = [op2_hash_prefix_forest, op3_minhash_dedup, op4_html_text, op5_suffix_dedup, op7_embedding_dedup, op8_byte_bpe, op9_token_counts, op10_source_mix]
     return {f.__name__: _shipped(f) for f in runs}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op10_source_mix": _op10_sql(),
+        "op7_embedding_dedup": OP7_SQL,
     }
