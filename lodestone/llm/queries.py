@@ -27,6 +27,14 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_lm import judge
+
+    documents = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    judged = judge(documents, read_table(spark, sf_dir, "labels"))
+    return judged.withColumn("kept", ~F.col("rejected"))
+
+
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .embedding_dedup import link_vectors
 
@@ -143,7 +151,7 @@ def _shipped(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    runs = [op1_warc, op2_hash_prefix_forest, op3_minhash_dedup, op4_html_text, op5_suffix_dedup, op7_embedding_dedup, op8_byte_bpe, op9_token_counts, op10_source_mix]
+    runs = [op1_warc, op2_hash_prefix_forest, op3_minhash_dedup, op4_html_text, op5_suffix_dedup, op6_quality_lm, op7_embedding_dedup, op8_byte_bpe, op9_token_counts, op10_source_mix]
     return {f.__name__: _shipped(f) for f in runs}
 
 
