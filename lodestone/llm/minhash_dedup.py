@@ -209,11 +209,14 @@ NODE = F.xxhash64
 
 
 def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept; links need 100 * intersection >= percent * union."""
+    """doc_id, n_shingles, component_id, kept; links need 100 * intersection >= percent * union.
+
+    Also key (64 bits of id and text) and component (null without shingles), for telling rows of equal ids apart.
+    """
     rows = df.select(F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id, text).alias("key"), F.col(text).alias("text"))
     made = rows.mapInArrow(_sets(width, False), f"doc_id long, key long, {MADE}")
     given = stored(made.withColumn("node", NODE("class")).drop("class"), "sketches")
-    docs = given.select("doc_id", "n_shingles", "node")
+    docs = given.select("doc_id", "key", "n_shingles", "node")
     sketches = stored(given.where("n_shingles > 0").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("key").alias("key"), F.first("values").alias("values")), "classes")
     nodes = docs.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     cells = sketches.select(F.explode("values").alias("value")).groupBy(F.col("value").bitwiseAND(CELLS - 1).cast("int").alias("cell")).agg(F.count("*").alias("n"))
@@ -243,7 +246,16 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, doc_id: st
     # A component is named by its smallest document, not by its smallest node.
     named = nodes.join(of, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     names = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(names, "component").select("node", "component_id")
+    named = named.join(names, "component").select("node", "component", "component_id")
     out = docs.withColumn("node", F.when(F.col("n_shingles") > 0, F.col("node"))).join(named, "node", "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = out.select("doc_id", "key", "component", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def one_of_each(df: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows of ``df``: all without shingles, and of each component the one with the smallest id. Rows equal in id and text are one."""
+    judged = near_duplicates(df, width, percent, doc_id, text)
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    best = judged.where("component is not null").groupBy("component").agg(F.min(rank).alias("best")).select(F.col("best.key").alias("_key"))
+    stay = best.unionByName(judged.where("component is null").select(F.col("key").alias("_key"))).distinct()
+    return df.withColumn("_key", F.xxhash64(doc_id, text)).join(stay, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")

@@ -72,7 +72,8 @@ def op2_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash_dedup import near_duplicates
 
-    return near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"), width=3, percent=85)
+    found = near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"), width=3, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

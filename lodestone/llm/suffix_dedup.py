@@ -283,8 +283,24 @@ def _remove(length: int):
     return run
 
 
+def whole_characters(df: DataFrame, kept: str = "kept", out: str = "text") -> DataFrame:
+    """``df`` with ``out``, the text of ``kept`` without the bytes that are no whole character."""
+    keep = [f for f in df.schema.fields if f.name not in (kept, out)]
+    names = [f.name for f in keep]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [x.decode("utf-8", "ignore") for x in b.column(kept).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(texts, pa.string())], names=[*names, out])
+
+    return df.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), f"`{out}` string"]))
+
+
 def remove_repeats(df: DataFrame, length: int = 400, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns with kept (binary), n_bytes, n_removed and n_spans."""
+    """``keep`` columns with kept (binary), n_bytes, n_removed and n_spans.
+
+    A removed run may begin or end within a character; ``whole_characters`` makes a text of what is kept.
+    """
     keyed = df.select(*keep, row_key(doc_id, text).alias("doc"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("bytes"))
     runs = repeated_runs(keyed.select("doc", "bytes"), length)
     # Pieces of equal rows bear one key, and their runs are equal: one of each will do.
