@@ -18,8 +18,11 @@ in equal columns, a column's order is all the next one needs; finished columns (
 common prefixes) go to sequential external files, and one sequential pass over these marks the
 windows whose common prefix with a neighbour reaches ``length``.
 
-Hot groups. Where an anchor has more than GROUP distinct pieces, their windows are split up instead
-and compared by 128-bit digests of their bytes, summed before they move, so no task holds such a group.
+Hot groups. Where an anchor has more than GROUP distinct pieces, these are cut into stretches of STRETCH windows
+at fixed distances from the anchor. Stretches whose bytes recur repeat whole; stretches whose core, the bytes that all their
+windows share, is found with one content only hold no repeats; the windows of what is left, the stretches that reach
+over the edge of a common passage, are compared one by one. All by 128-bit digests that are counted before
+they move, so no task holds such a group.
 
 Edge cases: null counts as the empty text. Documents shorter than ``length`` keep all bytes.
 Rows with equal ids are documents of their own: repeated rows repeat each other's bytes. Null
@@ -210,16 +213,64 @@ def _construct(length: int):
 RUN = "doc binary, start long, windows long"
 
 
+def _digest(piece: bytes) -> bytes:
+    return hashlib.blake2b(piece, digest_size=16).digest()
+
+
+def _block_digests(length: int):
+    """Pieces -> stretches of at most STRETCH windows, cut at fixed distances from the anchor.
+
+    ``all`` digests the bytes of the stretch's windows together, ``core`` the bytes that every window of a whole
+    stretch holds. Equal windows stand in stretches of equal places, and these have equal cores.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[tuple] = []
+            for doc, start, windows, lead, anchor, piece in zip(*(b.column(n).to_pylist() for n in ("doc", "start", "windows", "lead", "anchor", "piece")), strict=True):
+                place = 0
+                while place < windows:
+                    ahead = lead - place  # bytes from the window to the anchor
+                    low = ahead // STRETCH * STRETCH  # the last window of the stretch is this far from it
+                    n = min(ahead - low + 1, windows - place)
+                    part = piece[place : place + n + length - 1]
+                    core = piece[lead - low : max(lead - low, lead - low - STRETCH + 1 + length)]
+                    rows.append((doc, start + place, n, _digest(part + b"%d" % low), _digest(core + b"%d %d" % (low, anchor)), part))
+                    place += n
+            yield pa.RecordBatch.from_pylist([dict(zip(("doc", "start", "windows", "all", "core", "piece"), r, strict=True)) for r in rows], schema=STRETCH_SCHEMA)
+
+    return run
+
+
+STRETCH = 16
+STRETCH_SCHEMA = pa.schema([("doc", pa.binary()), ("start", pa.int64()), ("windows", pa.int32()), ("all", pa.binary()), ("core", pa.binary()), ("piece", pa.binary())])
+STRETCHES = "doc binary, start long, windows int, all binary, core binary, piece binary"
+
+
 def _window_digests(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for doc, start, windows, piece in zip(*(b.column(n).to_pylist() for n in ("doc", "start", "windows", "piece")), strict=True):
-                digests = [hashlib.blake2b(piece[k : k + length], digest_size=16).digest() for k in range(windows)]
+                digests = [_digest(piece[k : k + length]) for k in range(windows)]
                 yield pa.RecordBatch.from_arrays([pa.array([doc] * windows, pa.binary()), pa.array(range(start, start + windows), pa.int64()), pa.array(digests, pa.binary())], names=["doc", "start", "digest"])
 
     return run
 
 
+def _hot_runs(cut: DataFrame, length: int) -> DataFrame:
+    """Repeated runs among pieces of crowded anchors, by digests that are counted before they move."""
+    hot = cut.where("hot").select("doc", "start", "windows", "lead", "anchor", "piece")
+    stretches = stored(hot.mapInArrow(_block_digests(length), STRETCHES), "stretches")
+    kinds = stored(stretches.groupBy("core", "all").agg(F.count("*").alias("n"), F.min(F.struct("doc", "start")).alias("p")), "stretch-kinds")
+    same = stretches.join(kinds.where("n > 1").select("all"), "all", "left_semi").select("doc", "start", F.col("windows").cast("long").alias("windows"))
+    open_cores = stored(kinds.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1").select("core"), "stretch-cores")
+    ones = kinds.join(open_cores, "core", "left_semi").select("p.doc", "p.start")
+    windows = stretches.join(ones, ["doc", "start"], "left_semi").select("doc", "start", "windows", "piece").mapInArrow(_window_digests(length), "doc binary, start long, digest binary")
+    again = windows.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
+    found = windows.join(again, "digest", "left_semi").select("doc", "start", F.lit(1).cast("long").alias("windows"))
+    return same.unionByName(found)
+
+
 def _cut_pieces(length: int):
     """Documents with the places of their pieces -> pieces with their bytes."""
 
@@ -240,7 +291,8 @@ CUT = "doc binary, start long, windows int, lead int, anchor long, hot boolean,
 def repeated_runs(docs: DataFrame, length: int) -> DataFrame:
     """Runs of windows that repeat, as (doc, start, windows); docs has ``doc`` (a key) and ``bytes``."""
     pieces = stored(docs.mapInArrow(_list_pieces(length), PIECE), "pieces")
-    shared = pieces.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # Stored, so that the join deals both sides anew and large partitions can be split.
+    shared = stored(pieces.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "shared-anchors")
     pieces = stored(pieces.join(shared, "anchor", "left_semi"), "shared-pieces")
     kinds = pieces.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(F.struct("doc", "start", "windows", "lead")).alias("p"))
     copies = kinds.where("n > 1").select("anchor", "digest")
@@ -252,9 +304,7 @@ def repeated_runs(docs: DataFrame, length: int) -> DataFrame:
     cut = stored(docs.join(wanted, "doc").mapInArrow(_cut_pieces(length), CUT), "cut-pieces")
     small = cut.where("not hot").select("anchor", "doc", "start", "lead", "windows", "piece")
     built = small.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_construct(length), RUN)
-    spread = cut.where("hot").select("doc", "start", "windows", "piece").mapInArrow(_window_digests(length), "doc binary, start long, digest binary")
-    again = spread.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
-    hot = spread.join(again, "digest", "left_semi").select("doc", "start", F.lit(1).cast("long").alias("windows"))
+    hot = _hot_runs(cut, length)
     return whole.unionByName(built).unionByName(hot)
 
 
