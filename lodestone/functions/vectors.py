@@ -18,15 +18,27 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Each side divided by its largest magnitude first, so that nothing overflows; clamped to [-1, 1]."""
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, not once an element of the arrays inside."""
+    return F.transform(F.array(value), use)[0]
+
+
+def scaled(vector: Column) -> Column:
+    """Divided by the largest magnitude, so that no product overflows."""
+    return _bound(F.array_max(F.transform(vector, F.abs)), lambda top: F.transform(vector, lambda x: x / top))
+
 
-    def scaled(v: Column) -> Column:
-        top = F.array_max(F.transform(v, F.abs))
-        return F.transform(v, lambda x: x / top)
+def norm(vector: Column) -> Column:
+    return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + x * x))
 
-    a, b = scaled(a), scaled(b)
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), _dot(a, b) / (F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b)))))
+
+def cosine_of_scaled(a: Column, norm_a: Column, b: Column, norm_b: Column) -> Column:
+    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), _dot(a, b) / (norm_a * norm_b)))
+
+
+def cosine(a: Column, b: Column) -> Column:
+    """Of scaled vectors, clamped to [-1, 1]."""
+    return _bound(F.struct(scaled(a).alias("a"), scaled(b).alias("b")), lambda s: cosine_of_scaled(s["a"], norm(s["a"]), s["b"], norm(s["b"])))
 
 
 def fused(*ranks: Column, k: int = RRF_K) -> Column:

@@ -14,12 +14,19 @@ def exact_neighbours(vectors: DataFrame, queries: DataFrame, key: str = "vec_id"
 
     The queries are the broadcast side if Spark finds them small enough; else both are dealt out in blocks.
     """
-    v = vectors.where(V.valid(F.col(vector))).select(key, F.col(vector).alias("_v"))
-    q = queries.where(V.valid(F.col(vector))).select(query_id, F.col(vector).alias("_q"))
-    scored = v.join(q, F.size("_v") == F.size("_q")).select(query_id, key, V.cosine(F.col("_v"), F.col("_q")).alias("score"))
+    v = _prepared(vectors, key, vector, "v")
+    q = _prepared(queries, query_id, vector, "q")
+    scored = v.join(q, F.size("_v") == F.size("_q")).select(query_id, key, V.cosine_of_scaled(F.col("_v"), F.col("_vn"), F.col("_q"), F.col("_qn")).alias("score"))
     return ranked(scored, query_id, key, limit, ascending=False)
 
 
+def _prepared(df: DataFrame, key: str, vector: str, name: str) -> DataFrame:
+    """Scaling and norms are worked out per row, before rows meet."""
+    bound = F.transform(F.array(V.scaled(F.col(vector))), lambda x: F.struct(x.alias("x"), V.norm(x).alias("n")))
+    rows = df.where(V.valid(F.col(vector))).select(key, F.explode(bound).alias("_p"))
+    return rows.select(key, F.col("_p.x").alias(f"_{name}"), F.col("_p.n").alias(f"_{name}n"))
+
+
 def coverage(passages: DataFrame, embeddings: DataFrame, on: list[str]) -> DataFrame:
     """One row: passages that may have a vector, that have one, that lack one."""
     have = embeddings.select(*on).distinct().withColumn("_has", F.lit(True))
