@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpointed
+from .common import checkpointed, stored
 
 LEVELS = ("_domain", "_lang", "_source")
 
@@ -119,7 +119,7 @@ def mix_sources(df: DataFrame, mix: Mix = Mix(), doc_id: str = "doc_id", text: s
     slim = checkpointed(rows.select(F.col(doc_id).alias("_id"), *LEVELS, "n_tokens"))
     leaves = slim.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"))
     plan = leaf_budgets(leaves, mix).where("tokens > 0").selectExpr(*LEVELS, "cast(budget div tokens as int) as _full", "budget % tokens as _left")
-    plan = checkpointed(plan)
+    plan = stored(plan, "leaf-shares")
     ranges = (
         slim.join(plan, list(LEVELS))
         .where("_left > 0")
@@ -129,7 +129,7 @@ def mix_sources(df: DataFrame, mix: Mix = Mix(), doc_id: str = "doc_id", text: s
     )
     # The range in which the prefix ends: the first whose running sum is over the budget. It exists, as _left < tokens.
     ends = ranges.where("_upto > _left").groupBy(*LEVELS).agg(F.min(F.struct("_range", (F.col("_upto") - F.col("_sum")).alias("_before"))).alias("_end"))
-    plan = checkpointed(plan.join(ends, list(LEVELS), "left").select(*LEVELS, "_full", "_left", F.col("_end._range").alias("_range"), F.col("_end._before").alias("_before")))
+    plan = stored(plan.join(ends, list(LEVELS), "left").select(*LEVELS, "_full", "_left", F.col("_end._range").alias("_range"), F.col("_end._before").alias("_before")), "leaf-plan")
     placed = rows.join(plan, list(LEVELS)).withColumn("_hash", _order_hash(mix, doc_id))
     place = F.substring("_hash", 1, 3)
     tied = Window.partitionBy(*LEVELS).orderBy("_hash", F.col(doc_id), "n_tokens", F.col(text)).rowsBetween(Window.unboundedPreceding, 0)
