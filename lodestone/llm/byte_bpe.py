@@ -298,6 +298,13 @@ def _chunks(texts: list[str], limit: int = 500_000) -> Iterator[list[str]]:
         yield held
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Few rows at a time, so that a worker holds little besides the batch."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def encode(df: DataFrame, tokenizer_path: str, text: str = "text") -> DataFrame:
     """``df`` with ``ids`` (array<int>) and ``offsets`` (array<int>: the byte where each token starts)."""
     keep = [f for f in df.schema.fields if f.name not in ("ids", "offsets")]
@@ -308,7 +315,7 @@ def encode(df: DataFrame, tokenizer_path: str, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, vocabulary = _table(tokenizer_path)
         wide = np.fromiter(map(len, vocabulary), np.int32, len(vocabulary))
-        for batch in batches:
+        for batch in _slices(batches):
             done = 0
             texts = [x or "" for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
             for chunk in _chunks(texts):
@@ -335,7 +342,7 @@ def decode(df: DataFrame, tokenizer_path: str, ids: str = "ids") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, vocabulary = _table(tokenizer_path)
-        for batch in batches:
+        for batch in _slices(batches):
             lists = batch.column(batch.schema.get_field_index(ids))
             out = [b"".join(map(vocabulary.__getitem__, x)) if x else b"" for x in (y.values.to_numpy().tolist() if y.is_valid else None for y in lists)]
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(n)) for n in names], pa.array(out, pa.binary())], names=[*names, "decoded"])
