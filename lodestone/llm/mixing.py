@@ -76,7 +76,7 @@ def _fill(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     left = F.col("budget") - F.coalesce(F.sum("cap").over(before), F.lit(0))
     units = F.sum("weight").over(family) - F.coalesce(F.sum("weight").over(before), F.lit(0))
-    full = nodes.withColumn("full", F.col("cap") * units <= F.col("weight") * left)
+    full = nodes.withColumn("full", (F.col("weight") > 0) & (F.col("cap") * units <= F.col("weight") * left))
     rest = F.col("budget") - F.coalesce(F.sum(F.when(F.col("full"), F.col("cap"))).over(family), F.lit(0))
     share = F.sum(F.when(~F.col("full"), F.col("weight"))).over(family)
     return (
