@@ -46,7 +46,10 @@ def exclusion(path: Column, include: tuple[str, ...] = (), exclude: tuple[str, .
 
 
 def scan(spark: SparkSession, root: str, include: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> DataFrame:
-    """path (relative), content, length, captured_at, reason; contents of excluded files are never read by later projections."""
+    """path (relative), content, length, captured_at, reason; contents of excluded files are never read by later projections.
+
+    Spark lists no names that begin with a dot or an underscore, so most hidden files don't even show up.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/").split(":")[-1].lstrip("/")
     path = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", ""), "^" + re.escape(base) + "/", "")
