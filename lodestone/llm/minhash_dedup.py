@@ -6,17 +6,21 @@ retained values bring classes together; the sketch of a pair's union estimates
 the similarity and drops what is far below the threshold; the exact Jaccard
 similarity of full sets decides on what remains. Components of the links are returned.
 
-What is listed. A similar pair shares at least ``o`` retained values: all sets of at most k
-shingles are retained whole, and for larger ones fewer than o shared values have a
+What is listed. A similar pair shares at least ``o`` retained values: sets of few shingles are
+retained whole, and for larger ones fewer than o shared values have a
 probability below e^-18 (Chernoff). So, in any one order of the values, the first
 |sketch| - o + 1 of both share one. The order puts values from crowded cells of a count
-table of fixed size last, so common lines and passages rarely make it into the lists.
-
-What is compared. A first round compares each member of a list with the list's smallest
-member only, and joins what is linked. A second round compares, in lists that
-still hold several components, members of different components; lists are
-dealt out in blocks, so no task and no row holds a list. Members of one component
-need no further comparison: links are lost only inside components.
+table of fixed size last, so common lines and passages rarely make it into the lists. Where they
+do, because most of a document is common, the document retains its whole set for listing: there the
+first n - ceil(threshold * n) + 1 values are enough, and crowded values of the sketch aren't listed.
+Two such documents share one of the former, any other pair an uncrowded one of the latter.
+
+What is compared. A first round compares each member of a list with one central member, and joins what is
+linked. A second round compares, where a list still holds several components, members of
+different components. Short lists give pairs of members; longer ones, and clusters of them that overlap, are cut into
+blocks, and two blocks are a unit of work; a unit counts the shared values of its pairs at once and gives out a forest of links, so no pairs of long lists are
+made as rows and no task holds such a list. Members of one component need no further comparison:
+links are lost only inside components.
 
 Edge cases: null, empty or blank texts have no shingles and link with nothing. Texts of fewer words than a shingle
 have one, the whole sequence. Rows with equal ids are rows of their own; their class is
@@ -42,7 +46,9 @@ K = 128
 #: Cells of the table of value counts.
 CELLS = 1 << 18
 #: Members of a list that one task compares with as many others.
-BLOCK_MEMBERS = 256
+BLOCK_MEMBERS = 512
+#: Members of a list whose pairs may be made as rows: a bound on rows for each member.
+SHORT = 32
 #: The union-sketch estimate may fall short of the threshold by so many standard deviations.
 SLACK = 6.0
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -103,55 +109,201 @@ def _batches(texts: list[str | None], limit: int = 1_000_000) -> Iterator[list[b
         yield held
 
 
-def _sets(width: int, with_set: bool, k: int = K):
-    """Batches of (columns..., text) -> (columns..., n_shingles, class, sketch or full set)."""
+def _marks(value: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """The class of each set: two independent sums over it, which don't depend on an order."""
+    sums = []
+    for f in (0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(value ^ np.uint64(f)))])
+        sums.append(mix(total[starts + counts] - total[starts] + counts.astype(np.uint64)))
+    both = np.stack(sums, 1).astype(">u8").view(np.uint8).reshape(-1, 16)
+    return pa.array([m.tobytes() for m in both], pa.binary())
+
+
+def _signed(value: np.ndarray) -> np.ndarray:
+    """As signed words in the same order."""
+    return (value ^ np.uint64(1 << 63)).view(np.int64)
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    edges = np.concatenate([[0], np.cumsum([len(a) for a in arrays])])
+    return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(_signed(np.concatenate(arrays)) if arrays else [], pa.int64()))
+
+
+SUMMARY = "doc_id long, key long, n_shingles long, class binary, cell int, count long"
+
+
+def _summaries(width: int):
+    """Rows of documents, and behind a partition's last one rows (cell, count) of all its shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(CELLS, np.int64)
+        for b in batches:
+            at = 0
+            for texts in _batches(b.column("text").to_pylist()):
+                value, counts = shingle_sets(texts, width)
+                cells += np.bincount((value & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+                part, n = b.slice(at, len(texts)), len(texts)
+                at += n
+                none = [pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(counts, pa.int64()), _marks(value, np.cumsum(counts) - counts, counts), *none], names=NAMES)
+        hit = np.flatnonzero(cells)
+        n = len(hit)
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(hit, pa.int32()), pa.array(cells[hit])], names=NAMES)
+
+    return run
+
+
+NAMES = ["doc_id", "key", "n_shingles", "class", "cell", "count"]
+
+
+def _rarest(value: np.ndarray, crowd: np.ndarray, n: int) -> np.ndarray:
+    return value[np.lexsort((value, crowd[(value & np.uint64(CELLS - 1)).astype(np.int64)]))][:n]
+
+
+def to_list(value: np.ndarray, crowd: np.ndarray, bound: float, threshold: float, k: int = K) -> np.ndarray:
+    """Values of a set (ascending) under which it goes into the lists."""
+    n, sketch = len(value), value[:k]
+    exact = max(math.ceil(n * threshold - 1e-9), 1)
+    if n <= int(k * threshold):  # all that may be similar are retained whole
+        return _rarest(sketch, crowd, n - exact + 1)
+    first = _rarest(sketch, crowd, len(sketch) - shared_at_least(threshold, k) + 1)
+    crowded = crowd[(first & np.uint64(CELLS - 1)).astype(np.int64)] > bound
+    if not crowded.any():
+        return first
+    return np.union1d(first[~crowded], _rarest(value, crowd, n - exact + 1))
+
+
+def _classes(width: int, crowd: bytes, bound: float, threshold: float, k: int = K):
+    """(key, text) -> key, n, class, values (the sketch), listed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(crowd, np.int64)
         for b in batches:
             at = 0
             for texts in _batches(b.column("text").to_pylist()):
                 value, counts = shingle_sets(texts, width)
-                stops = np.cumsum(counts)
-                starts = stops - counts
-                # The class: two independent sums over the set, which don't depend on an order.
-                sums = []
-                for f in (0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3):
-                    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(value ^ np.uint64(f)))])
-                    sums.append(mix(total[stops] - total[starts] + counts.astype(np.uint64)))
-                marks = np.stack(sums, 1).astype(">u8").view(np.uint8).reshape(len(texts), 16)
-                take = counts if with_set else np.minimum(counts, k)
-                flat = np.arange(int(take.sum())) + np.repeat(starts - (np.cumsum(take) - take), take)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take)]), pa.int32()), pa.array((value[flat] ^ np.uint64(1 << 63)).view(np.int64)))
+                starts = np.cumsum(counts) - counts
+                sets = [value[s : s + c] for s, c in zip(starts, counts, strict=True)]
+                listed = [to_list(x, table, bound, threshold, k) if len(x) else x for x in sets]
                 part = b.slice(at, len(texts))
                 at += len(texts)
-                names = [n for n in b.schema.names if n != "text"]
-                yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], pa.array(counts, pa.int64()), pa.array([m.tobytes() for m in marks], pa.binary()), lists], names=[*names, "n_shingles", "class", "values"])
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(counts, pa.int64()), _marks(value, starts, counts), _lists([x[:k] for x in sets]), _lists(listed)], names=["key", "n", "class", "values", "listed"])
 
     return run
 
 
-def _listed(cells: bytes, shared: int, threshold: float, k: int = K):
-    """(node, n, values) -> (value, node, n) for the values to list."""
+def _full_sets(width: int, wanted: bytes):
+    """(key, text) -> key, class, values (the whole set), of rows whose key's place in the bitmap is set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        crowd = np.frombuffer(cells, np.int32)
+        bits = np.frombuffer(wanted, bool)
         for b in batches:
-            nodes, sizes, out = b.column("node").to_pylist(), b.column("n").to_pylist(), []
-            for node, n, values in zip(nodes, sizes, b.column("values"), strict=True):
-                v = values.values.to_numpy()
-                # A set that all its possible partners retain whole needs no estimate of what they share.
-                need = math.ceil(n * threshold - 1e-9) if n <= int(k * threshold) else shared
-                v = v[np.lexsort((v, crowd[v & (CELLS - 1)]))][: max(len(v) - need + 1, 1)]
-                out.append((v, node, n))
-            counts = [len(v) for v, _, _ in out]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([v for v, _, _ in out]) if out else [], pa.int64()), pa.array(np.repeat(np.array([x for _, x, _ in out], np.int64), counts)), pa.array(np.repeat(np.array([n for _, _, n in out], np.int64), counts))],
-                names=["value", "node", "n"],
-            )
+            b = b.filter(pa.array(bits[b.column("key").to_numpy() & (len(bits) - 1)]))
+            at = 0
+            for texts in _batches(b.column("text").to_pylist()):
+                value, counts = shingle_sets(texts, width)
+                starts = np.cumsum(counts) - counts
+                part = b.slice(at, len(texts))
+                at += len(texts)
+                yield pa.RecordBatch.from_arrays([part.column("key"), _marks(value, starts, counts), _lists([value[s : s + c] for s, c in zip(starts, counts, strict=True)])], names=["key", "class", "values"])
 
     return run
 
 
+def _whole_sets(needed: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """node, values of ``needed`` (node, n, key, values): small sets are in the sketch, larger ones are made again from their texts.
+
+    A bitmap of fixed size tells most texts that nobody needs before anything moves.
+    """
+    large = stored(needed.where(F.col("n") > K).select("node", "key"), "keys")
+    places = large.select(F.col("key").bitwiseAND(BITMAP - 1).cast("int").alias("p")).distinct().toArrow().column("p").to_numpy()
+    bits = np.zeros(BITMAP, bool)
+    bits[places] = True
+    again = texts.mapInArrow(_full_sets(width, bits.tobytes()), "key long, class binary, values array<long>")
+    # A key may also be another row's; the class tells them apart.
+    full = again.select(NODE("class").alias("node"), "values").join(large.select("node"), "node", "left_semi").groupBy("node").agg(F.first("values").alias("values"))
+    return needed.where(F.col("n") <= K).select("node", "values").unionByName(full)
+
+
+def _units(percent: int):
+    """Rows of whole units, a unit's on end -> a forest (a, b) of the links between components.
+
+    Shared values are counted for all pairs of a unit at once: a product of the matrix of members and of the values that
+    several of them have.
+    """
+
+    def solve(rows: pa.Table) -> tuple[list[int], list[int]]:
+        rows = rows.combine_chunks().to_batches()[0]
+        node, component = rows.column("node").to_numpy(), rows.column("component").to_numpy()
+        side, same = rows.column("side").to_numpy(), bool(rows.column("same")[0].as_py())
+        lists = rows.column("values")
+        sizes = np.diff(lists.offsets.to_numpy())
+        flat = lists.flatten().to_numpy()
+        _, at, count = np.unique(flat, return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(node)), sizes)
+        several = count[at] > 1
+        at, owner = at[several], owner[several]
+        order = np.argsort(at, kind="stable")
+        at, owner = at[order], owner[order]
+        column = np.cumsum(np.diff(at, prepend=-1) != 0) - 1
+        # Members of the largest component meet only others.
+        _, which, members = np.unique(component, return_inverse=True, return_counts=True)
+        rest = np.flatnonzero(which != members.argmax())
+        both = np.zeros((len(rest), len(node)), np.float32)
+        for first in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+            here = (column >= first) & (column < first + 4096)
+            matrix = np.zeros((len(node), min(4096, int(column[-1]) + 1 - first)), np.float32)
+            matrix[owner[here], column[here] - first] = 1
+            both += matrix[rest] @ matrix.T
+        union = sizes[rest, None] + sizes[None, :] - both
+        linked = (100 * both >= percent * union) & (component[rest, None] != component[None, :]) & (union > 0)
+        if not same:
+            linked &= side[rest, None] != side[None, :]
+        x, y = np.nonzero(linked)
+        x = rest[x]
+        parent = {}
+
+        def root(c: int) -> int:
+            while parent.get(c, c) != c:
+                parent[c] = parent.get(parent[c], parent[c])
+                c = parent[c]
+            return c
+
+        out: tuple[list[int], list[int]] = ([], [])
+        for i, j in zip(x.tolist(), y.tolist(), strict=True):
+            if (a := root(int(component[i]))) != (b := root(int(component[j]))):
+                parent[max(a, b)] = min(a, b)
+                out[0].append(int(node[i]))
+                out[1].append(int(node[j]))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+
+        def done() -> pa.RecordBatch:
+            a, b = solve(pa.Table.from_batches(held))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for b in batches:
+            unit = b.column("unit").to_numpy()
+            cuts = np.flatnonzero(np.diff(unit)) + 1
+            for s, e in zip([0, *cuts], [*cuts, len(unit)], strict=True):
+                if held and unit[s] != last:
+                    yield done()
+                if e > s:
+                    held.append(b.slice(s, e - s))
+                    last = unit[s]
+        if held:
+            yield done()
+
+    return run
+
+
+BITMAP = 1 << 22
+
+
 def _close(threshold: float, k: int = K):
     """Pairs whose union sketch shares enough: (a, b, va, vb) -> (a, b)."""
     low = threshold - SLACK * math.sqrt(threshold * (1 - threshold) / k)
@@ -196,14 +348,9 @@ def _links(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, width: int,
     # Small sets are in the sketch whole; only larger ones are made again from their texts.
     ends = close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).distinct()
     needed = stored(sketches.join(ends, "node", "left_semi").select("node", "n", "key", F.when(F.col("n") <= K, F.col("values")).alias("values")), "ends")
-    keys = stored(needed.where(F.col("n") > K).select("key"), "keys")
-    again = texts.join(keys, "key", "left_semi").mapInArrow(_sets(width, True), f"key long, {MADE}")
-    # A key may also be another row's; the class tells them apart.
-    full = again.select(NODE("class").alias("node"), "values").join(needed.where(F.col("n") > K).select("node"), "node", "left_semi").groupBy("node").agg(F.first("values").alias("values"))
-    return _with(close, needed.where(F.col("n") <= K).select("node", "values").unionByName(full)).mapInArrow(_exact(percent), "a long, b long")
+    return _with(close, _whole_sets(needed, texts, width)).mapInArrow(_exact(percent), "a long, b long")
 
 
-MADE = "n_shingles long, class binary, values array<long>"
 #: The node of a class in the graph: 64 bits of its 128.
 NODE = F.xxhash64
 
@@ -214,20 +361,27 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, doc_id: st
     Also key (64 bits of id and text) and component (null without shingles), for telling rows of equal ids apart.
     """
     rows = df.select(F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id, text).alias("key"), F.col(text).alias("text"))
-    made = rows.mapInArrow(_sets(width, False), f"doc_id long, key long, {MADE}")
-    given = stored(made.withColumn("node", NODE("class")).drop("class"), "sketches")
-    docs = given.select("doc_id", "key", "n_shingles", "node")
-    sketches = stored(given.where("n_shingles > 0").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("key").alias("key"), F.first("values").alias("values")), "classes")
+    made = stored(rows.mapInArrow(_summaries(width), SUMMARY).withColumn("node", NODE("class")).drop("class"), "documents")
+    docs = made.where("cell is null").select("doc_id", "key", "n_shingles", "node")
     nodes = docs.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
-    cells = sketches.select(F.explode("values").alias("value")).groupBy(F.col("value").bitwiseAND(CELLS - 1).cast("int").alias("cell")).agg(F.count("*").alias("n"))
-    table = np.ones(CELLS, np.int32)
-    crowded = cells.toArrow()  # at most CELLS rows, whatever the input
-    table[crowded.column("cell").to_numpy()] = np.minimum(crowded.column("n").to_numpy(), 2**31 - 1)
-    # Cells hold chance neighbours, too: only what stands out of them orders the values.
-    table[table < 4 * max(1.0, table.mean())] = 1
-    posted = sketches.mapInArrow(_listed(table.tobytes(), shared_at_least(percent / 100), percent / 100), "value long, node long, n long")
+    crowd = np.zeros(CELLS, np.int64)
+    counted = made.where("cell is not null").groupBy("cell").agg(F.sum("count").alias("n")).toArrow()  # at most CELLS rows, whatever the input
+    crowd[counted.column("cell").to_numpy()] = counted.column("n").to_numpy()
+    # What stands out of the chance neighbours in a cell.
+    bound = float(crowd.mean() + max(64.0, 8 * math.sqrt(crowd.mean())))
+    threshold = percent / 100
+    given = rows.select("key", "text").mapInArrow(_classes(width, crowd.tobytes(), bound, threshold), "key long, n long, class binary, values array<long>, listed array<long>").where("n > 0")
+    one = [F.first(c).alias(c) for c in ("n", "key", "values", "listed")]
+    sketches = stored(given.groupBy(NODE("class").alias("node")).agg(*one), "classes")
+    posted = sketches.select(F.explode("listed").alias("value"), "node", "n")
     lists = posted.groupBy("value").agg(F.count("*").alias("members"), F.min("node").alias("pivot")).where("members > 1")
-    lists = stored(posted.join(lists, "value"), "lists")
+    lists = stored(posted.join(lists.select("value", "members"), "value"), "lists")
+    # The pivot of a list is the member whose lists are the longest together: in a group of copies the one least changed.
+    weight = lists.groupBy("node").agg(F.sum("members").alias("weight"))
+    lists = lists.join(weight, "node")
+    lists = stored(lists.join(lists.groupBy("value").agg(F.max(F.struct("weight", "node")).alias("top")), "value").select("value", "node", "n", "members", F.col("top.node").alias("pivot")), "lists")
+    # Only members of lists are ever compared; the rest of the sketches stay where they are from here on.
+    sketches = stored(sketches.drop("listed").join(lists.select("node").distinct(), "node", "left_semi"), "listed-classes")
     near = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
     pivots = lists.where("node = pivot").select("value", F.col("n").alias("m"))
     stars = stored(lists.where("node <> pivot").join(pivots, "value").where(near).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "stars")
@@ -235,14 +389,32 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, doc_id: st
     first = stored(_links(stars, sketches, texts, width, percent), "links")
     joined = components(first)
     rest = lists.join(joined, "node", "left").select("value", "node", "n", F.coalesce("component", "node").alias("component"))
-    mixed = rest.groupBy("value").agg(F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    mixed = mixed.select("value", F.ceil(F.col("members") / BLOCK_MEMBERS).cast("int").alias("blocks"))
-    rest = stored(rest.join(mixed, "value").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "mixed-lists")
-    left = rest.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).drop("block")
-    right = rest.select("value", F.col("block").alias("other"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("to"))
-    cross = left.join(right, ["value", "other"]).where(near & (F.col("node") < F.col("b")) & (F.col("component") != F.col("to"))).select(F.col("node").alias("a"), "b").distinct()
-    tried = cross.join(stars, ["a", "b"], "left_anti")
-    of = components(first.unionByName(_links(tried, sketches, texts, width, percent)))
+    mixed = rest.groupBy("value").agg(F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("first")).where("low <> high")
+    rest = stored(rest.join(mixed.select("value", "members", "first"), "value"), "mixed-lists")
+    # Short lists give pairs.
+    short = rest.where(F.col("members") <= SHORT)
+    right = short.select("value", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("to"))
+    cross = short.join(right, "value").where(near & (F.col("node") < F.col("b")) & (F.col("component") != F.col("to"))).select(F.col("node").alias("a"), "b").distinct()
+    tried = cross.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    second = _links(tried, sketches, texts, width, percent)
+    # Long lists that overlap form clusters. A cluster is compared list by list or as a whole, whichever moves fewer rows.
+    rest = rest.where(F.col("members") > SHORT)
+    cluster = components(rest.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")))
+    inside = rest.join(cluster.select("node", F.col("component").alias("cluster")), "node")
+    of_list = F.ceil(F.col("members") / BLOCK_MEMBERS)
+    by_list = inside.groupBy("cluster").agg(F.sum(of_list).alias("list_rows"))
+    nodes_in = inside.select("cluster", "node", "n", "component").distinct()
+    sizes = by_list.join(nodes_in.groupBy("cluster").agg(F.count("*").alias("size")), "cluster")
+    sizes = stored(sizes.withColumn("whole", F.col("size") * F.ceil(F.col("size") / BLOCK_MEMBERS) <= F.col("list_rows")).select("cluster", "size", "whole"), "clusters")
+    one = nodes_in.join(sizes.where("whole"), "cluster").select("node", "component", F.struct(F.lit(True).alias("w"), F.col("cluster").alias("k")).alias("group"), F.col("size").alias("members"))
+    many = inside.join(sizes.where("not whole").select("cluster"), "cluster", "left_semi").select("node", "component", F.struct(F.lit(False).alias("w"), F.col("value").alias("k")).alias("group"), "members")
+    placed = one.unionByName(many).withColumn("blocks", F.ceil(F.col("members") / BLOCK_MEMBERS).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    units = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
+        "node", "component", F.xxhash64("group", F.least("block", "other"), F.greatest("block", "other")).alias("unit"), F.col("block").alias("side"), (F.col("block") == F.col("other")).alias("same")
+    )
+    needed = stored(sketches.join(rest.select("node").distinct(), "node", "left_semi"), "mixed-classes")
+    ready = units.join(_whole_sets(needed, texts, width), "node").repartition("unit").sortWithinPartitions("unit")
+    of = components(first.unionByName(second).unionByName(ready.mapInArrow(_units(percent), "a long, b long")))
     # A component is named by its smallest document, not by its smallest node.
     named = nodes.join(of, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     names = named.groupBy("component").agg(F.min("least").alias("component_id"))

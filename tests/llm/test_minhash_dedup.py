@@ -49,9 +49,10 @@ def documents(seed: int) -> list[tuple]:
     return [(1000 - i, t) for i, t in enumerate(out)]
 
 
-@pytest.mark.parametrize(("width", "percent", "k"), [(3, 85, 128), (5, 80, 128)])
-def test_against_brute_force(spark, width, percent, k, monkeypatch):
+@pytest.mark.parametrize(("width", "percent", "short"), [(3, 85, 2), (5, 80, 32)])
+def test_against_brute_force(spark, width, percent, short, monkeypatch):
     monkeypatch.setattr(M, "BLOCK_MEMBERS", 8)
+    monkeypatch.setattr(M, "SHORT", short)
     rows = documents(width)
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, key string").repartition(5)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in M.near_duplicates(df, width, percent).collect()}
@@ -79,3 +80,20 @@ def test_components_of_paths_and_stars(spark):
 def test_bound_of_shared_values():
     assert 70 <= M.shared_at_least(0.85) <= 90
     assert M.shared_at_least(0.8) < M.shared_at_least(0.85)
+
+
+def test_similar_sets_share_a_listed_value():
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    crowd = r.integers(0, 50, M.CELLS).astype(np.int64)
+    passage = r.integers(0, 2**63, 400).astype(np.uint64)
+    crowd[(passage & np.uint64(M.CELLS - 1)).astype(np.int64)] = 10_000
+    for _ in range(400):
+        n = int(r.integers(1, 900))
+        base = np.concatenate([r.integers(0, 2**63, n).astype(np.uint64), passage[: int(r.integers(0, 400))]])
+        t = float(r.choice([0.8, 0.85]))
+        other = np.concatenate([base[int(len(base) * (1 - t) * r.random()) :], r.integers(0, 2**63, int(len(base) * 0.05)).astype(np.uint64)])
+        a, b = np.unique(base), np.unique(other)
+        if len(np.intersect1d(a, b)) >= t * len(np.union1d(a, b)):
+            assert len(np.intersect1d(*(M.to_list(x, crowd, 1000.0, t) for x in (a, b))))
