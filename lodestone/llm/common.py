@@ -4,11 +4,43 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import ship_package
+
+#: Bytes of an Arrow batch that goes to a worker, so that rows of long texts don't make it large.
+BATCH_BYTES = 8 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Ships the package, and bounds Arrow batches by bytes where the session states no bound of its own."""
+    ship_package(spark)
+    if _BATCH_SETTING not in spark.conf.getAll:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+
+def thrifty(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, which hands unused memory back to the system when its partition ends, as workers are used again."""
+
+    @wraps(run)
+    def call(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # another C library
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return call
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
@@ -40,16 +72,39 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     place = fresh_dir(spark, name)
     df.write.parquet(place)
-    atexit.register(_remove, spark, place)
+    atexit.register(remove, spark, place)
     return spark.read.schema(df.schema).parquet(place)
 
 
-def _remove(spark: SparkSession, place: str) -> None:
+def drop_stored(*tables: DataFrame) -> None:
+    """Deletes tables made by ``stored`` that nothing reads any more, or only what has been written already."""
+    for df in tables:
+        for place in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            remove(df.sparkSession, place)
+
+
+def remove(spark: SparkSession, place: str) -> None:
     with contextlib.suppress(Exception):  # the context may have ended before
         path = spark._jvm.org.apache.hadoop.fs.Path(place)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of a table that may be broadcast; rows of such tables here have at most some hundred bytes.
+BROADCAST_ROWS = 20_000
+
+
+def join_table(left: DataFrame, table: DataFrame, on: list[str], spread: Column, how: str = "inner", salts: int = 32) -> DataFrame:
+    """``left`` joined with a stored table whose keys may each hold a large share of ``left``.
+
+    The table is broadcast if its rows, which are counted, are few. Otherwise each key of ``left`` is dealt into
+    ``salts`` parts by the hash ``spread``, and the table's rows go to all of them.
+    """
+    if table.count() <= BROADCAST_ROWS:
+        return left.join(F.broadcast(table), on, how)
+    salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.withColumn("_salt", F.pmod(spread, F.lit(salts)).cast("int")).join(salted, [*on, "_salt"], how).drop("_salt")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

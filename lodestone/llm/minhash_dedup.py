@@ -1,31 +1,34 @@
 """Near-duplicate documents by bottom-k sketches of one hash function.
 
 Each document's set of word shingles is hashed once by one function. Documents with equal sets form
-a class that goes on as one row. A class keeps the k smallest hashes (its sketch); inverted lists of
-retained values bring classes together; the sketch of a pair's union estimates
+a class that goes on as one row, under a dense number. The k smallest hashes of a class (its sketch) are its
+retained values; inverted lists of retained values generate overlaps between classes; the sketch of a pair's union estimates
 the similarity and drops what is far below the threshold; the exact Jaccard
 similarity of full sets decides on what remains. Components of the links are returned.
 
 What is listed. A similar pair shares at least ``o`` retained values: sets of few shingles are
 retained whole, and for larger ones fewer than o shared values have a
 probability below e^-18 (Chernoff). So, in any one order of the values, the first
-|sketch| - o + 1 of both share one. The order puts values from crowded cells of a count
+|sketch| - o + OVERLAP of both share OVERLAP of them (or all of their shared values, if fewer). The order puts values from crowded cells of a count
 table of fixed size last, so common lines and passages rarely make it into the lists. Where they
 do, because most of a document is common, the document retains its whole set for listing: there the
-first n - ceil(threshold * n) + 1 values are enough, and crowded values of the sketch aren't listed.
-Two such documents share one of the former, any other pair an uncrowded one of the latter.
+first n - ceil(threshold * n) + OVERLAP values are enough, and crowded values of the sketch aren't listed.
+Two such documents share OVERLAP of the former, any other pair as many uncrowded ones of the latter.
 
-What is compared. A first round compares each member of a list with one central member, and joins what is
+What is compared. Pairs that share fewer listed values than that are no candidates, which leaves few
+pairs of texts that only have common phrases. Sketches and sets are made again, from the texts, of candidates only,
+so neither moves for all documents. A first round compares each member of a list with one central member, and joins what is
 linked. A second round compares, where a list still holds several components, members of
 different components. Short lists give pairs of members; longer ones, and clusters of them that overlap, are cut into
 blocks, and two blocks are a unit of work; a unit counts the shared values of its pairs at once and gives out a forest of links, so no pairs of long lists are
-made as rows and no task holds such a list. Members of one component need no further comparison:
+made as rows and no task holds such a list. A pair that shares a long list meets in a unit; any other shares only short ones, so its overlap is counted whole. Members of one component need no further comparison:
 links are lost only inside components.
 
 Edge cases: null, empty or blank texts have no shingles and link with nothing. Texts of fewer words than a shingle
-have one, the whole sequence. Rows with equal ids are rows of their own; their class is
+have one, the whole sequence. Texts of any length are taken whole. Rows with equal ids are rows of their own; their class is
 by set, so they share a component anyway. A null id is never the smallest while there is
-another; a component of null ids only has a null component and is kept. Extra columns are not read.
+another; a component of null ids only has a null component and is kept. Extra columns, whatever their names, are not read.
+An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -38,13 +41,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import drop_stored, row_key, stored, thrifty
 from .graph import components
 from .rolling import mix, slice_hashes
 
 K = 128
-#: Cells of the table of value counts.
-CELLS = 1 << 18
+#: Listed values that a candidate pair shares.
+OVERLAP = 3
+#: Cells of the table of value counts, and how many of them move as one row.
+CELLS, SEGMENT = 1 << 20, 1 << 14
 #: Members of a list that one task compares with as many others.
 BLOCK_MEMBERS = 512
 #: Members of a list whose pairs may be made as rows: a bound on rows for each member.
@@ -129,100 +134,113 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(_signed(np.concatenate(arrays)) if arrays else [], pa.int64()))
 
 
-SUMMARY = "doc_id long, key long, n_shingles long, class binary, cell int, count long"
+SUMMARY = pa.schema([("doc_id", pa.int64()), ("mark", pa.binary()), ("key", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.binary()), ("segment", pa.int32()), ("counts", pa.binary())])
 
 
 def _summaries(width: int):
-    """Rows of documents, and behind a partition's last one rows (cell, count) of all its shingles."""
+    """Rows of documents, and behind a partition's last one rows (segment, counts) of all its shingles by cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(CELLS, np.int64)
+        cells = np.zeros(CELLS, np.uint32)
         for b in batches:
             at = 0
             for texts in _batches(b.column("text").to_pylist()):
                 value, counts = shingle_sets(texts, width)
-                cells += np.bincount((value & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+                hit, n_hit = np.unique((value & np.uint64(CELLS - 1)).astype(np.int32), return_counts=True)
+                cells[hit] += n_hit.astype(np.uint32)
                 part, n = b.slice(at, len(texts)), len(texts)
                 at += n
-                none = [pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(counts, pa.int64()), _marks(value, np.cumsum(counts) - counts, counts), *none], names=NAMES)
-        hit = np.flatnonzero(cells)
-        n = len(hit)
-        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(hit, pa.int32()), pa.array(cells[hit])], names=NAMES)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), part.column("key"), pa.array(counts, pa.int64()), _marks(value, np.cumsum(counts) - counts, counts), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=SUMMARY)
+        segments = [k for k in range(CELLS // SEGMENT) if cells[k * SEGMENT : (k + 1) * SEGMENT].any()]
+        packed = [pa.compress(cells[k * SEGMENT : (k + 1) * SEGMENT].tobytes(), codec="zstd", asbytes=True) for k in segments]
+        n = len(segments)
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(n, t) for t in (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary())], pa.array(segments, pa.int32()), pa.array(packed, pa.binary())], schema=SUMMARY)
 
-    return run
+    return thrifty(run)
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(segment, counts) -> their sums, one row for each segment of a partition; counts of a cell end at 2**32 - 1."""
+    total: dict[int, np.ndarray] = {}
+    for b in batches:
+        for k, packed in zip(b.column("segment").to_pylist(), b.column("counts").to_pylist(), strict=True):
+            here = np.frombuffer(pa.decompress(packed, decompressed_size=4 * SEGMENT, codec="zstd", asbytes=True), np.uint32)
+            total[k] = np.minimum(total.get(k, 0) + here.astype(np.int64), 2**32 - 1)
+    for k, counts in total.items():
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([pa.compress(counts.astype(np.uint32).tobytes(), codec="zstd", asbytes=True)], pa.binary())], names=["segment", "counts"])
 
 
-NAMES = ["doc_id", "key", "n_shingles", "class", "cell", "count"]
+def _crowd(made: DataFrame) -> np.ndarray:
+    """The count table: a fixed number of cells, whatever the input. Tasks add up what they hold before it moves."""
+    out = np.zeros(CELLS, np.int64)
+    sums = made.where("segment is not null").select("segment", "counts")
+    for deal in (lambda x: x, lambda x: x.repartition("segment")):
+        sums = deal(sums).mapInArrow(_added, "segment int, counts binary")
+    for r in sums.toArrow().to_pylist():
+        out[r["segment"] * SEGMENT : (r["segment"] + 1) * SEGMENT] = np.frombuffer(pa.decompress(r["counts"], decompressed_size=4 * SEGMENT, codec="zstd", asbytes=True), np.uint32)
+    return out
 
 
 def _rarest(value: np.ndarray, crowd: np.ndarray, n: int) -> np.ndarray:
     return value[np.lexsort((value, crowd[(value & np.uint64(CELLS - 1)).astype(np.int64)]))][:n]
 
 
-def to_list(value: np.ndarray, crowd: np.ndarray, bound: float, threshold: float, k: int = K) -> np.ndarray:
+def to_list(value: np.ndarray, crowd: np.ndarray, bound: float, threshold: float, k: int = K, overlap: int = OVERLAP) -> np.ndarray:
     """Values of a set (ascending) under which it goes into the lists."""
     n, sketch = len(value), value[:k]
     exact = max(math.ceil(n * threshold - 1e-9), 1)
     if n <= int(k * threshold):  # all that may be similar are retained whole
-        return _rarest(sketch, crowd, n - exact + 1)
-    first = _rarest(sketch, crowd, len(sketch) - shared_at_least(threshold, k) + 1)
+        return _rarest(sketch, crowd, n - exact + overlap)
+    first = _rarest(sketch, crowd, len(sketch) - shared_at_least(threshold, k) + overlap)
     crowded = crowd[(first & np.uint64(CELLS - 1)).astype(np.int64)] > bound
     if not crowded.any():
         return first
-    return np.union1d(first[~crowded], _rarest(value, crowd, n - exact + 1))
+    return np.union1d(first[~crowded], _rarest(value, crowd, n - exact + overlap))
 
 
-def _classes(width: int, crowd: bytes, bound: float, threshold: float, k: int = K):
-    """(key, text) -> key, n, class, values (the sketch), listed."""
+def _listed(width: int, crowd: bytes, bound: float, threshold: float):
+    """text -> n, class, listed, of texts with shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(crowd, np.int64)
+        table = np.frombuffer(crowd, np.uint32)
         for b in batches:
-            at = 0
             for texts in _batches(b.column("text").to_pylist()):
                 value, counts = shingle_sets(texts, width)
                 starts = np.cumsum(counts) - counts
-                sets = [value[s : s + c] for s, c in zip(starts, counts, strict=True)]
-                listed = [to_list(x, table, bound, threshold, k) if len(x) else x for x in sets]
-                part = b.slice(at, len(texts))
-                at += len(texts)
-                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(counts, pa.int64()), _marks(value, starts, counts), _lists([x[:k] for x in sets]), _lists(listed)], names=["key", "n", "class", "values", "listed"])
+                some = np.flatnonzero(counts)
+                listed = [to_list(value[s : s + c], table, bound, threshold) for s, c in zip(starts[some], counts[some], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(counts[some], pa.int64()), _marks(value, starts[some], counts[some]), _lists(listed)], names=["n", "class", "listed"])
 
-    return run
+    return thrifty(run)
 
 
-def _full_sets(width: int, wanted: bytes):
-    """(key, text) -> key, class, values (the whole set), of rows whose key's place in the bitmap is set."""
+def _sets(width: int, wanted: bytes, most: int | None):
+    """(key, text) -> class, values (the ``most`` smallest, or the whole set), of rows whose key's place in the bitmap is set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(wanted, bool)
+        bits = np.unpackbits(np.frombuffer(wanted, np.uint8))
         for b in batches:
-            b = b.filter(pa.array(bits[b.column("key").to_numpy() & (len(bits) - 1)]))
-            at = 0
+            b = b.filter(pa.array(bits[b.column("key").to_numpy() & (BITMAP - 1)].astype(bool)))
             for texts in _batches(b.column("text").to_pylist()):
                 value, counts = shingle_sets(texts, width)
                 starts = np.cumsum(counts) - counts
-                part = b.slice(at, len(texts))
-                at += len(texts)
-                yield pa.RecordBatch.from_arrays([part.column("key"), _marks(value, starts, counts), _lists([value[s : s + c] for s, c in zip(starts, counts, strict=True)])], names=["key", "class", "values"])
+                taken = counts if most is None else np.minimum(counts, most)
+                yield pa.RecordBatch.from_arrays([_marks(value, starts, counts), _lists([value[s : s + c] for s, c in zip(starts, taken, strict=True)])], names=["class", "values"])
 
-    return run
+    return thrifty(run)
 
 
-def _whole_sets(needed: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """node, values of ``needed`` (node, n, key, values): small sets are in the sketch, larger ones are made again from their texts.
+def _values(needed: DataFrame, texts: DataFrame, width: int, most: int | None = None) -> DataFrame:
+    """node, values of ``needed`` (node, key, class), made again from their texts.
 
     A bitmap of fixed size tells most texts that nobody needs before anything moves.
     """
-    large = stored(needed.where(F.col("n") > K).select("node", "key"), "keys")
-    places = large.select(F.col("key").bitwiseAND(BITMAP - 1).cast("int").alias("p")).distinct().toArrow().column("p").to_numpy()
+    places = needed.select(F.col("key").bitwiseAND(BITMAP - 1).cast("int").alias("p")).distinct().toArrow().column("p").to_numpy()
     bits = np.zeros(BITMAP, bool)
     bits[places] = True
-    again = texts.mapInArrow(_full_sets(width, bits.tobytes()), "key long, class binary, values array<long>")
-    # A key may also be another row's; the class tells them apart.
-    full = again.select(NODE("class").alias("node"), "values").join(large.select("node"), "node", "left_semi").groupBy("node").agg(F.first("values").alias("values"))
-    return needed.where(F.col("n") <= K).select("node", "values").unionByName(full)
+    again = texts.mapInArrow(_sets(width, np.packbits(bits).tobytes(), most), "class binary, values array<long>")
+    # Another row's key may have the same place; the class tells them apart.
+    return again.join(needed.select("class", "node"), "class").groupBy("node").agg(F.first("values").alias("values"))
 
 
 def _units(percent: int):
@@ -342,63 +360,87 @@ def _with(pairs: DataFrame, values: DataFrame) -> DataFrame:
     return one.join(values.select(F.col("node").alias("b"), F.col("values").alias("vb")), "b").select("a", "b", "va", "vb")
 
 
-def _links(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of distinct pairs (a, b), those that are similar. texts: key and text of all rows."""
-    close = stored(_with(pairs, sketches).mapInArrow(_close(percent / 100), "a long, b long"), "close-pairs")
-    # Small sets are in the sketch whole; only larger ones are made again from their texts.
-    ends = close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).distinct()
-    needed = stored(sketches.join(ends, "node", "left_semi").select("node", "n", "key", F.when(F.col("n") <= K, F.col("values")).alias("values")), "ends")
-    return _with(close, _whole_sets(needed, texts, width)).mapInArrow(_exact(percent), "a long, b long")
+def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Of distinct pairs (a, b), those that are similar. nodes: node, n, key, class; texts: key and text of all rows."""
 
+    def ends(of: DataFrame) -> DataFrame:
+        both = of.select(F.col("a").alias("node")).unionByName(of.select(F.col("b").alias("node"))).distinct()
+        return stored(nodes.join(both, "node", "left_semi").select("node", "n", "key", "class"), "ends")
 
-#: The node of a class in the graph: 64 bits of its 128.
-NODE = F.xxhash64
+    asked = ends(pairs)
+    sketches = stored(_values(asked, texts, width, K).join(asked.select("node", "n"), "node"), "sketches")
+    close = stored(_with(pairs, sketches).mapInArrow(_close(percent / 100), "a long, b long"), "close-pairs")
+    # Small sets are in the sketch whole; only larger ones are made again.
+    large = ends(close).where(F.col("n") > K)
+    whole = sketches.where(F.col("n") <= K).select("node", "values").unionByName(_values(large, texts, width))
+    out = stored(_with(close, whole).mapInArrow(_exact(percent), "a long, b long"), "links")
+    drop_stored(asked, sketches, close)
+    return out
 
 
 def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept; links need 100 * intersection >= percent * union.
 
-    Also key (64 bits of id and text) and component (null without shingles), for telling rows of equal ids apart.
+    Also mark (128 bits of id and text) and component (null without shingles), for telling rows of equal ids apart.
     """
-    rows = df.select(F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id, text).alias("key"), F.col(text).alias("text"))
-    made = stored(rows.mapInArrow(_summaries(width), SUMMARY).withColumn("node", NODE("class")).drop("class"), "documents")
-    docs = made.where("cell is null").select("doc_id", "key", "n_shingles", "node")
-    nodes = docs.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
-    crowd = np.zeros(CELLS, np.int64)
-    counted = made.where("cell is not null").groupBy("cell").agg(F.sum("count").alias("n")).toArrow()  # at most CELLS rows, whatever the input
-    crowd[counted.column("cell").to_numpy()] = counted.column("n").to_numpy()
+    rows = df.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("mark"), F.col(text).alias("text")).withColumn("key", F.xxhash64("mark"))
+    summary = ", ".join(f"{f.name} {'binary' if f.type == pa.binary() else 'int' if f.type == pa.int32() else 'long'}" for f in SUMMARY)
+    made = stored(rows.mapInArrow(_summaries(width), summary), "documents")
+    docs = made.where("segment is null").select("doc_id", "mark", "key", "n_shingles", "class")
+    # Classes go by dense numbers from here on, which are exact and small; the table is stored, so they stay what they are.
+    nodes = docs.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), F.first("n_shingles").alias("n"))
+    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    crowd = _crowd(made)
     # What stands out of the chance neighbours in a cell.
     bound = float(crowd.mean() + max(64.0, 8 * math.sqrt(crowd.mean())))
     threshold = percent / 100
-    given = rows.select("key", "text").mapInArrow(_classes(width, crowd.tobytes(), bound, threshold), "key long, n long, class binary, values array<long>, listed array<long>").where("n > 0")
-    one = [F.first(c).alias(c) for c in ("n", "key", "values", "listed")]
-    sketches = stored(given.groupBy(NODE("class").alias("node")).agg(*one), "classes")
-    posted = sketches.select(F.explode("listed").alias("value"), "node", "n")
-    lists = posted.groupBy("value").agg(F.count("*").alias("members"), F.min("node").alias("pivot")).where("members > 1")
-    lists = stored(posted.join(lists.select("value", "members"), "value"), "lists")
+    given = rows.select("text").mapInArrow(_listed(width, crowd.astype(np.uint32).tobytes(), bound, threshold), "n long, class binary, listed array<long>")
+    given = given.groupBy("class").agg(F.first("listed").alias("listed")).join(nodes.select("class", "node", "n"), "class")
+    posted = stored(given.select(F.explode("listed").alias("value"), "node", "n"), "posted")
+    several = posted.groupBy("value").agg(F.count("*").alias("members")).where("members > 1")
+    plain = stored(posted.join(several, "value"), "lists")
+    drop_stored(posted)
     # The pivot of a list is the member whose lists are the longest together: in a group of copies the one least changed.
-    weight = lists.groupBy("node").agg(F.sum("members").alias("weight"))
-    lists = lists.join(weight, "node")
-    lists = stored(lists.join(lists.groupBy("value").agg(F.max(F.struct("weight", "node")).alias("top")), "value").select("value", "node", "n", "members", F.col("top.node").alias("pivot")), "lists")
-    # Only members of lists are ever compared; the rest of the sketches stay where they are from here on.
-    sketches = stored(sketches.drop("listed").join(lists.select("node").distinct(), "node", "left_semi"), "listed-classes")
-    near = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
-    pivots = lists.where("node = pivot").select("value", F.col("n").alias("m"))
-    stars = stored(lists.where("node <> pivot").join(pivots, "value").where(near).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    weight = plain.groupBy("node").agg(F.sum("members").alias("weight"))
+    heavy = plain.join(weight, "node").groupBy("value").agg(F.max(F.struct("weight", "node", "n")).alias("top"))
+    lists = stored(plain.select("value", "node", "n").join(heavy.select("value", F.col("top.node").alias("pivot"), F.col("top.n").alias("m")), "value"), "pivoted-lists")
+    drop_stored(plain)
+    near = f"100 * least(n, m) >= {percent} * greatest(n, m)"
+    enough = f"overlap >= least({OVERLAP}, ({percent} * greatest(n, m) + 99) div 100)"
+
+    def candidates(met: DataFrame) -> DataFrame:
+        """Pairs met in lists (a, b, n, m), each once, if they share enough listed values."""
+        ordered = met.where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.greatest("n", "m").alias("n"))
+        return ordered.groupBy("a", "b").agg(F.count("*").alias("overlap"), F.first("n").alias("n"), F.first("n").alias("m")).where(enough).select("a", "b")
+
+    stars = stored(candidates(lists.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"), "n", "m")), "stars")
     texts = rows.select("key", "text")
-    first = stored(_links(stars, sketches, texts, width, percent), "links")
+    first = _links(stars, nodes, texts, width, percent)
     joined = components(first)
     rest = lists.join(joined, "node", "left").select("value", "node", "n", F.coalesce("component", "node").alias("component"))
     mixed = rest.groupBy("value").agg(F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("first")).where("low <> high")
     rest = stored(rest.join(mixed.select("value", "members", "first"), "value"), "mixed-lists")
+    drop_stored(lists)
     # Short lists give pairs.
     short = rest.where(F.col("members") <= SHORT)
     right = short.select("value", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("to"))
-    cross = short.join(right, "value").where(near & (F.col("node") < F.col("b")) & (F.col("component") != F.col("to"))).select(F.col("node").alias("a"), "b").distinct()
-    tried = cross.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    second = _links(tried, sketches, texts, width, percent)
-    # Long lists that overlap form clusters. A cluster is compared list by list or as a whole, whichever moves fewer rows.
-    rest = rest.where(F.col("members") > SHORT)
+    cross = candidates(short.join(right, "value").where((F.col("node") < F.col("b")) & (F.col("component") != F.col("to"))).select(F.col("node").alias("a"), "b", "n", "m"))
+    tried = stored(cross.join(stars, ["a", "b"], "left_anti"), "cross-pairs")
+    second = _links(tried, nodes, texts, width, percent)
+    third = _long_lists(rest.where(F.col("members") > SHORT), nodes, texts, width, percent)
+    of = components(first.unionByName(second).unionByName(third))
+    # A component is named by its smallest document, not by its smallest node.
+    named = nodes.join(of, "node", "left").select("class", "least", F.coalesce("component", "node").alias("component"))
+    names = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = named.join(names, "component").select("class", "component", "component_id")
+    out = docs.join(named, "class", "left")
+    out = out.select("doc_id", "mark", F.when(F.col("n_shingles") > 0, F.col("component")).alias("component"), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _long_lists(rest: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between components of long lists (value, node, n, component, members, first)."""
+    # Lists that overlap form clusters. A cluster is compared list by list or as a whole, whichever moves fewer rows.
     cluster = components(rest.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")))
     inside = rest.join(cluster.select("node", F.col("component").alias("cluster")), "node")
     of_list = F.ceil(F.col("members") / BLOCK_MEMBERS)
@@ -412,22 +454,16 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, doc_id: st
     units = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
         "node", "component", F.xxhash64("group", F.least("block", "other"), F.greatest("block", "other")).alias("unit"), F.col("block").alias("side"), (F.col("block") == F.col("other")).alias("same")
     )
-    needed = stored(sketches.join(rest.select("node").distinct(), "node", "left_semi"), "mixed-classes")
-    ready = units.join(_whole_sets(needed, texts, width), "node").repartition("unit").sortWithinPartitions("unit")
-    of = components(first.unionByName(second).unionByName(ready.mapInArrow(_units(percent), "a long, b long")))
-    # A component is named by its smallest document, not by its smallest node.
-    named = nodes.join(of, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
-    names = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(names, "component").select("node", "component", "component_id")
-    out = docs.withColumn("node", F.when(F.col("n_shingles") > 0, F.col("node"))).join(named, "node", "left")
-    out = out.select("doc_id", "key", "component", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    needed = stored(nodes.join(rest.select("node").distinct(), "node", "left_semi").select("node", "key", "class"), "mixed-classes")
+    ready = units.join(_values(needed, texts, width), "node").repartition("unit").sortWithinPartitions("unit")
+    return stored(ready.mapInArrow(_units(percent), "a long, b long"), "unit-links")
 
 
 def one_of_each(df: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of ``df``: all without shingles, and of each component the one with the smallest id. Rows equal in id and text are one."""
+    """Rows of ``df``: all without shingles, and of each component one with the smallest id. Rows equal in id and text are one."""
+    keyed = df.select(F.struct(*df.columns).alias("row"), row_key(doc_id, text).alias("mark"))
     judged = near_duplicates(df, width, percent, doc_id, text)
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-    best = judged.where("component is not null").groupBy("component").agg(F.min(rank).alias("best")).select(F.col("best.key").alias("_key"))
-    stay = best.unionByName(judged.where("component is null").select(F.col("key").alias("_key"))).distinct()
-    return df.withColumn("_key", F.xxhash64(doc_id, text)).join(stay, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    best = judged.where("component is not null").groupBy("component").agg(F.min(rank).alias("best")).select("best.mark")
+    stay = best.unionByName(judged.where("component is null").select("mark")).distinct()
+    return keyed.join(stay, "mark", "left_semi").dropDuplicates(["mark"]).select("row.*")

@@ -8,8 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import ship_package
-from .common import fresh_dir, read_table
+from .common import fresh_dir, prepare, read_table
 
 TOKEN_LIMIT = 2048
 
@@ -145,7 +144,7 @@ FROM placed"""
 def _shipped(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @wraps(run)
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ship_package(spark)
+        prepare(spark)
         return run(spark, sf_dir)
 
     return query

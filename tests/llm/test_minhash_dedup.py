@@ -96,4 +96,5 @@ def test_similar_sets_share_a_listed_value():
         other = np.concatenate([base[int(len(base) * (1 - t) * r.random()) :], r.integers(0, 2**63, int(len(base) * 0.05)).astype(np.uint64)])
         a, b = np.unique(base), np.unique(other)
         if len(np.intersect1d(a, b)) >= t * len(np.union1d(a, b)):
-            assert len(np.intersect1d(*(M.to_list(x, crowd, 1000.0, t) for x in (a, b))))
+            shared = len(np.intersect1d(*(M.to_list(x, crowd, 1000.0, t) for x in (a, b))))
+            assert shared >= min(M.OVERLAP, -(-int(100 * t + 0.5) * max(len(a), len(b)) // 100))
