@@ -18,15 +18,16 @@ in equal columns, a column's order is all the next one needs; finished columns (
 common prefixes) go to sequential external files, and one sequential pass over these marks the
 windows whose common prefix with a neighbour reaches ``length``.
 
-Hot groups. Where an anchor has more than GROUP distinct pieces, these are cut into stretches of STRETCH windows
-at fixed distances from the anchor. Stretches whose bytes recur repeat whole; stretches whose core, the bytes that all their
-windows share, is found with one content only hold no repeats; the windows of what is left, the stretches that reach
-over the edge of a common passage, are compared one by one. All by 128-bit digests that are counted before
-they move, so no task holds such a group.
+Hot groups. Where an anchor has more than GROUP distinct pieces, these are split by further bytes: cut into stretches of STRETCH windows
+at fixed distances from the anchor, and grouped by their core, the bytes that all windows of a stretch share. Stretches whose bytes recur
+repeat whole, a core that is found with one content only holds no repeats, and the distinct stretches of any other core are a collection
+that goes through the same construction. A core with more than GROUP of them, the edge of a passage that very many documents share,
+is split further to its single windows, where nothing is left to sort: equal ones are found by count. Digests have 128 bits, are
+counted before they move, and are taken as equality; no task holds a crowded group.
 
 Edge cases: null counts as the empty text. Documents shorter than ``length`` keep all bytes.
 Rows with equal ids are documents of their own: repeated rows repeat each other's bytes. Null
-ids are kept. Extra columns of the input are not read. An empty table gives an empty table.
+ids are kept. Texts of any length are taken whole, in blocks. Extra columns of the input, whatever their names, are not read. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, stored
+from .common import drop_stored, row_key, stored, thrifty
 from .rolling import mix
 
 ANCHOR = 32
@@ -96,14 +97,14 @@ def _list_pieces(length: int):
                     counts.append(count)
                     offsets.append(place - first)
                     hashes.append(h)
-                    digests += [int.from_bytes(hashlib.blake2b(text[a : a + n + length - 1], digest_size=8).digest(), "little", signed=True) for a, n in zip(first.tolist(), count.tolist(), strict=True)]
+                    digests += [_digest(text[a : a + n + length - 1]) for a, n in zip(first.tolist(), count.tolist(), strict=True)]
             cat = lambda x, t: pa.array(np.concatenate(x) if x else [], t)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), cat(starts, pa.int64()), cat(counts, pa.int32()), cat(offsets, pa.int32()), cat(hashes, pa.int64()), pa.array(digests, pa.int64())], names=["doc", "start", "windows", "lead", "anchor", "digest"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), cat(starts, pa.int64()), cat(counts, pa.int32()), cat(offsets, pa.int32()), cat(hashes, pa.int64()), pa.array(digests, pa.binary())], names=["doc", "start", "windows", "lead", "anchor", "digest"])
 
-    return run
+    return thrifty(run)
 
 
-PIECE = "doc binary, start long, windows int, lead int, anchor long, digest long"
+PIECE = "doc binary, start long, windows int, lead int, anchor long, digest binary"
 
 
 def repeats_in(group: np.ndarray, lead: np.ndarray, windows: np.ndarray, texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +128,7 @@ def repeats_in(group: np.ndarray, lead: np.ndarray, windows: np.ndarray, texts:
     del grid
     _, group = np.unique(group, return_inverse=True)
     order = np.argsort(group, kind="stable")
-    prefix = np.zeros(m, np.int16)  # common prefix of each suffix in the order with the one before
+    prefix = np.zeros(m, np.int32)  # common prefix of each suffix in the order with the one before
     own = group.astype(np.uint16) if group.max() < 1 << 16 else group
     with tempfile.TemporaryFile() as ranks, tempfile.TemporaryFile() as prefixes:
         kept: list[int] = []
@@ -147,7 +148,7 @@ def repeats_in(group: np.ndarray, lead: np.ndarray, windows: np.ndarray, texts:
         found: list[tuple[np.ndarray, np.ndarray]] = []
         for c in kept:
             at = np.frombuffer(ranks.read(4 * m), np.int32)
-            near = np.frombuffer(prefixes.read(2 * m), np.int16) >= length
+            near = np.frombuffer(prefixes.read(4 * m), np.int32) >= length
             hit = near.copy()
             hit[:-1] |= near[1:]
             i = at[hit]
@@ -159,14 +160,14 @@ def repeats_in(group: np.ndarray, lead: np.ndarray, windows: np.ndarray, texts:
 
 def _updated(prefix: np.ndarray, move: np.ndarray, symbol: np.ndarray, group: np.ndarray) -> np.ndarray:
     """Common prefixes in the new order: one more than the least between the two suffixes' places in the old order."""
-    out = np.zeros(len(move), np.int16)
+    out = np.zeros(len(move), np.int32)
     same = np.flatnonzero((symbol[1:] == symbol[:-1]) & (symbol[1:] > 0) & (group[1:] == group[:-1])) + 1
     if not len(same):
         return out
     a, b = move[same - 1] + 1, move[same] + 1  # the least of prefix[a:b]
     gap = b - a
     level = np.frexp(gap)[1] - 1
-    least = np.empty(len(same), np.int16)
+    least = np.empty(len(same), np.int32)
     table, width = prefix, 1
     for k in range(int(level.max()) + 1):
         at = np.flatnonzero(level == k)
@@ -174,7 +175,7 @@ def _updated(prefix: np.ndarray, move: np.ndarray, symbol: np.ndarray, group: np
             least[at] = np.minimum(table[a[at]], table[b[at] - width])
         table = np.minimum(table[:-width], table[width:]) if len(table) > width else table
         width *= 2
-    out[same] = np.minimum(least, 32000) + 1
+    out[same] = least + 1
     return out
 
 
@@ -207,7 +208,7 @@ def _construct(length: int):
         if held:
             yield solve(held)
 
-    return run
+    return thrifty(run)
 
 
 RUN = "doc binary, start long, windows long"
@@ -217,11 +218,12 @@ def _digest(piece: bytes) -> bytes:
     return hashlib.blake2b(piece, digest_size=16).digest()
 
 
-def _block_digests(length: int):
+def _stretches(length: int):
     """Pieces -> stretches of at most STRETCH windows, cut at fixed distances from the anchor.
 
     ``all`` digests the bytes of the stretch's windows together, ``core`` the bytes that every window of a whole
-    stretch holds. Equal windows stand in stretches of equal places, and these have equal cores.
+    stretch holds, ``lead`` counts from the first window to the place that the last one of a whole stretch has. Equal windows stand in
+    stretches of equal places, and these have equal cores.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,16 +237,16 @@ def _block_digests(length: int):
                     n = min(ahead - low + 1, windows - place)
                     part = piece[place : place + n + length - 1]
                     core = piece[lead - low : max(lead - low, lead - low - STRETCH + 1 + length)]
-                    rows.append((doc, start + place, n, _digest(part + b"%d" % low), _digest(core + b"%d %d" % (low, anchor)), part))
+                    rows.append((doc, start + place, n, ahead - low, _digest(part + b"%d" % low), _digest(core + b"%d %d" % (low, anchor)), part))
                     place += n
-            yield pa.RecordBatch.from_pylist([dict(zip(("doc", "start", "windows", "all", "core", "piece"), r, strict=True)) for r in rows], schema=STRETCH_SCHEMA)
+            yield pa.RecordBatch.from_pylist([dict(zip(STRETCH_SCHEMA.names, r, strict=True)) for r in rows], schema=STRETCH_SCHEMA)
 
     return run
 
 
 STRETCH = 16
-STRETCH_SCHEMA = pa.schema([("doc", pa.binary()), ("start", pa.int64()), ("windows", pa.int32()), ("all", pa.binary()), ("core", pa.binary()), ("piece", pa.binary())])
-STRETCHES = "doc binary, start long, windows int, all binary, core binary, piece binary"
+STRETCH_SCHEMA = pa.schema([("doc", pa.binary()), ("start", pa.int64()), ("windows", pa.int32()), ("lead", pa.int32()), ("all", pa.binary()), ("core", pa.binary()), ("piece", pa.binary())])
+STRETCHES = "doc binary, start long, windows int, lead int, all binary, core binary, piece binary"
 
 
 def _window_digests(length: int):
@@ -257,18 +259,23 @@ def _window_digests(length: int):
     return run
 
 
-def _hot_runs(cut: DataFrame, length: int) -> DataFrame:
-    """Repeated runs among pieces of crowded anchors, by digests that are counted before they move."""
-    hot = cut.where("hot").select("doc", "start", "windows", "lead", "anchor", "piece")
-    stretches = stored(hot.mapInArrow(_block_digests(length), STRETCHES), "stretches")
+def _hot_runs(hot: DataFrame, length: int) -> DataFrame:
+    """Repeated runs among pieces of crowded anchors.
+
+    What joins share is stored first, so that both sides are dealt anew and a partition that is large can be split.
+    """
+    stretches = stored(hot.mapInArrow(_stretches(length), STRETCHES), "stretches")
     kinds = stored(stretches.groupBy("core", "all").agg(F.count("*").alias("n"), F.min(F.struct("doc", "start")).alias("p")), "stretch-kinds")
     same = stretches.join(kinds.where("n > 1").select("all"), "all", "left_semi").select("doc", "start", F.col("windows").cast("long").alias("windows"))
-    open_cores = stored(kinds.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1").select("core"), "stretch-cores")
-    ones = kinds.join(open_cores, "core", "left_semi").select("p.doc", "p.start")
-    windows = stretches.join(ones, ["doc", "start"], "left_semi").select("doc", "start", "windows", "piece").mapInArrow(_window_digests(length), "doc binary, start long, digest binary")
-    again = windows.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
+    cores = stored(kinds.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1"), "stretch-cores")
+    # One stretch stands for all with its bytes.
+    ones = stored(kinds.join(cores, "core").select("core", "p.doc", "p.start", (F.col("kinds") > GROUP).alias("crowded")), "stretch-ones")
+    bytes_of = stored(stretches.join(ones, ["doc", "start"]).select("crowded", F.xxhash64(stretches["core"]).alias("anchor"), "doc", "start", "lead", "windows", "piece"), "stretch-pieces")
+    built = bytes_of.where("not crowded").drop("crowded").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_construct(length), RUN)
+    windows = stored(bytes_of.where("crowded").select("doc", "start", "windows", "piece").mapInArrow(_window_digests(length), "doc binary, start long, digest binary"), "windows")
+    again = stored(windows.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "equal-windows")
     found = windows.join(again, "digest", "left_semi").select("doc", "start", F.lit(1).cast("long").alias("windows"))
-    return same.unionByName(found)
+    return same.unionByName(built).unionByName(found)
 
 
 def _cut_pieces(length: int):
@@ -290,22 +297,26 @@ CUT = "doc binary, start long, windows int, lead int, anchor long, hot boolean,
 
 def repeated_runs(docs: DataFrame, length: int) -> DataFrame:
     """Runs of windows that repeat, as (doc, start, windows); docs has ``doc`` (a key) and ``bytes``."""
-    pieces = stored(docs.mapInArrow(_list_pieces(length), PIECE), "pieces")
-    # Stored, so that the join deals both sides anew and large partitions can be split.
-    shared = stored(pieces.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "shared-anchors")
-    pieces = stored(pieces.join(shared, "anchor", "left_semi"), "shared-pieces")
-    kinds = pieces.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(F.struct("doc", "start", "windows", "lead")).alias("p"))
-    copies = kinds.where("n > 1").select("anchor", "digest")
-    whole = pieces.join(copies, ["anchor", "digest"], "left_semi").select("doc", "start", F.col("windows").cast("long").alias("windows"))
-    groups = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    listed = stored(docs.mapInArrow(_list_pieces(length), PIECE), "pieces")
+    # Stored, here and below, so that joins deal both sides anew and large partitions can be split.
+    shared = stored(listed.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "shared-anchors")
+    pieces = stored(listed.join(shared, "anchor", "left_semi"), "shared-pieces")
+    drop_stored(listed, shared)
+    kinds = stored(pieces.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(F.struct("doc", "start", "windows", "lead")).alias("p")), "piece-kinds")
+    whole = pieces.join(kinds.where("n > 1").select("anchor", "digest"), ["anchor", "digest"], "left_semi").select("doc", "start", F.col("windows").cast("long").alias("windows"))
+    groups = stored(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"), "piece-groups")
     # One piece stands for all with its bytes.
     ones = kinds.join(groups, "anchor").select("anchor", "p.*", (F.col("kinds") > GROUP).alias("hot"))
     wanted = ones.groupBy("doc").agg(F.collect_list(F.struct("start", "windows", "lead", "anchor", "hot")).alias("pieces"))
     cut = stored(docs.join(wanted, "doc").mapInArrow(_cut_pieces(length), CUT), "cut-pieces")
-    small = cut.where("not hot").select("anchor", "doc", "start", "lead", "windows", "piece")
-    built = small.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_construct(length), RUN)
-    hot = _hot_runs(cut, length)
-    return whole.unionByName(built).unionByName(hot)
+    built = cut.where("not hot").select("anchor", "doc", "start", "lead", "windows", "piece").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_construct(length), RUN)
+    hot = cut.where("hot")
+    runs = whole.unionByName(built)
+    if not hot.isEmpty():
+        runs = runs.unionByName(_hot_runs(hot.select("doc", "start", "windows", "lead", "anchor", "piece"), length))
+    runs = stored(runs, "runs")
+    drop_stored(pieces, kinds, groups, cut)
+    return runs
 
 
 def _remove(length: int):
