@@ -1,106 +1,95 @@
-"""Blocks of HTML and Markdown files with byte ranges, and chunks of consecutive blocks."""
+"""Blocks of HTML and Markdown files with byte ranges, and chunks of consecutive blocks.
+
+A file is exploded into lines or markup tokens; running sums over them give bytes, states and block numbers,
+and one aggregation makes the blocks. Only character references need Python, in texts that have any.
+"""
 
 from __future__ import annotations
 
 import html
-import re
-from collections.abc import Callable, Iterator
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 # Tags that end a block.
-BLOCK_TAGS = frozenset(b"p li tr h1 h2 h3 h4 h5 h6 div pre section table ul ol title header main br dt dd blockquote details summary".split())
-_MARKUP = re.compile(rb"<(/?)([a-zA-Z0-9]+)[^>]*>|<!--.*?-->", re.S)
-_MD_HEADING = re.compile(rb"#{1,6}\s+")
-_MD_ITEM = re.compile(rb"\s*([-*+]|\d+\.)\s|\|")
-SCHEMA = "ordinal int, start long, stop long, text string, is_heading boolean"
+BLOCK_TAGS = "p li tr h1 h2 h3 h4 h5 h6 div pre section table ul ol title header main br dt dd blockquote details summary".split()
+#: White space of bytes, and of characters besides.
+_ASCII = " \t\n\r\x0b\f"
+_WHITE = r"[ \t\n\r\x0B\f\x1C-\x1F\x85\xA0  -     　]+"
 CHUNK_TOKENS = 450
 
 
-def plain(text: str) -> str:
-    return " ".join(html.unescape(text).split())
-
-
-def html_blocks(raw: bytes) -> Iterator[tuple[int, int, str, bool]]:
-    """(start, stop, text, is_heading); scripts and styles are skipped, the title is dropped."""
-    pieces: list[tuple[int, int]] = []
-    inside: bytes | None = None  # the heading or title that is open
-    silent = False
-    at = 0
-
-    def closed() -> Iterator[tuple[int, int, str, bool]]:
-        text = plain(" ".join(raw[a:b].decode("utf-8", "replace") for a, b in pieces))
-        if text and inside != b"title":
-            yield pieces[0][0], pieces[-1][1], text, inside is not None
-        pieces.clear()
-
-    def gather(stop: int) -> None:
-        piece = raw[at:stop]
-        if not silent and (bare := piece.strip()):
-            first = at + piece.index(bare[:1]) if bare else at
-            pieces.append((first, first + len(bare)))
-
-    for m in _MARKUP.finditer(raw):
-        gather(m.start())
-        at = m.end()
-        name = (m[2] or b"").lower()
-        if name in (b"script", b"style"):
-            silent = not m[1]
-        elif name in BLOCK_TAGS:
-            yield from closed()
-            if name == b"title" or len(name) == 2 and name[:1] == b"h" and name[1:].isdigit():
-                inside = None if m[1] else name
-    gather(len(raw))
-    yield from closed()
-
-
-def md_blocks(raw: bytes) -> Iterator[tuple[int, int, str, bool]]:
-    """The same of Markdown and plain text: paragraphs, single list items, table rows and code lines, headings."""
-    held: list[tuple[int, int]] = []
-    code = False
-
-    def closed() -> Iterator[tuple[int, int, str, bool]]:
-        if held and (text := plain(raw[held[0][0] : held[-1][1]].decode("utf-8", "replace"))):
-            yield held[0][0], held[-1][1], text, False
-        held.clear()
-
-    at = 0
-    for line in raw.split(b"\n"):
-        span, bare = (at, at + len(line)), line.strip()
-        at += len(line) + 1
-        if bare.startswith(b"```"):
-            code = not code
-            yield from closed()
-        elif not bare:
-            yield from closed()
-        elif not code and (m := _MD_HEADING.match(bare)):
-            yield from closed()
-            yield *span, plain(bare[m.end() :].decode("utf-8", "replace")), True
-        elif code or _MD_ITEM.match(line):
-            yield from closed()
-            held.append(span)
-            yield from closed()
-        else:
-            held.append(span)
-    yield from closed()
-
-
-def scan_blocks(files: DataFrame, body: str, scan: Callable[[bytes], Iterator[tuple[int, int, str, bool]]], key: str) -> DataFrame:
-    """key and SCHEMA: one row per block of each file, in order."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows += [(k, i, *x) for i, x in enumerate(scan((text or "").encode()))]
-            cols = list(zip(*rows, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (b.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.bool_()), strict=True)], names=[key, "ordinal", "start", "stop", "text", "is_heading"])
-
-    kind = files.schema[key].dataType.simpleString()
-    return files.select(key, body).mapInArrow(run, f"{key} {kind}, {SCHEMA}")
+@F.pandas_udf(StringType())
+def _unescaped(text: pd.Series) -> pd.Series:
+    return text.map(html.unescape, na_action="ignore")
+
+
+def plain(text: Column) -> Column:
+    """Character references resolved, white space collapsed."""
+    resolved = F.when(F.contains(text, F.lit("&")), _unescaped(text)).otherwise(text)
+    return F.btrim(F.regexp_replace(resolved, _WHITE, " "), F.lit(" "))
+
+
+def _running(rows: DataFrame, key: str, order: str, unit: str, more: Column | int = 0) -> DataFrame:
+    """``rows`` with the byte where each unit starts and stops; ``more`` bytes stand between units."""
+    before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.octet_length(unit) + more).over(before), F.lit(0)).cast("long")
+    return rows.withColumn("start", start).withColumn("stop", F.col("start") + F.octet_length(unit))
+
+
+def _gathered(parts: DataFrame, key: str, order: str, between: str) -> DataFrame:
+    """Parts (key, block, order, start, stop, part, is_heading) -> key, ordinal, start, stop, text, is_heading."""
+    texts = F.sort_array(F.collect_list(F.struct(order, "part")))
+    found = parts.groupBy(key, "block").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), texts.alias("_texts"), F.max("is_heading").alias("is_heading"))
+    found = found.withColumn("text", plain(F.array_join(F.transform("_texts", lambda t: t["part"]), between))).where("text <> ''")
+    ordinal = (F.row_number().over(Window.partitionBy(key).orderBy("start")) - 1).alias("ordinal")
+    return found.select(key, ordinal, "start", "stop", "text", "is_heading")
+
+
+def md_blocks(files: DataFrame, key: str, body: str) -> DataFrame:
+    """Paragraphs, single list items, table rows and code lines, and headings of Markdown and plain text."""
+    lines = files.select(key, F.posexplode(F.split(F.coalesce(F.col(body), F.lit("")), "\n", -1)).alias("line", "raw"))
+    lines = _running(lines, key, "line", "raw", 1).withColumn("bare", F.btrim("raw", F.lit(_ASCII)))
+    by = Window.partitionBy(key).orderBy("line")
+    fence = F.startswith("bare", F.lit("```"))
+    in_code = F.coalesce(F.sum(fence.cast("int")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) % 2 == 1
+    heading = F.col("bare").rlike(r"^#{1,6}[ \t\n\r\x0B\f]")
+    single = F.col("raw").rlike(r"^(?:[ \t\n\r\x0B\f]*(?:[-*+]|[0-9]+\.)[ \t\n\r\x0B\f]|\|)")
+    kind = F.when(fence | (F.col("bare") == ""), "none").when(~F.col("in_code") & heading, "heading").when(F.col("in_code") | single, "single").otherwise("prose")
+    lines = lines.withColumn("in_code", in_code).withColumn("kind", kind)
+    # Prose goes on in the block of the prose line before; all else has a block of its own.
+    goes_on = (F.col("kind") == "prose") & F.coalesce(F.lag("kind").over(by) == "prose", F.lit(False))
+    lines = lines.withColumn("block", F.sum((~goes_on).cast("int")).over(by)).where("kind <> 'none'")
+    part = F.when(F.col("kind") == "heading", F.regexp_replace("bare", r"^#{1,6}[ \t\n\r\x0B\f]+", "")).otherwise(F.col("raw"))
+    return _gathered(lines.withColumn("part", part).withColumn("is_heading", F.col("kind") == "heading"), key, "line", "\n")
+
+
+def html_blocks(files: DataFrame, key: str, body: str) -> DataFrame:
+    """Texts between tags that end a block; scripts and styles are skipped, the title is dropped."""
+    tokens = F.regexp_extract_all(F.coalesce(F.col(body), F.lit("")), F.lit(r"(?s)(<!--.*?-->|</?[a-zA-Z0-9]+[^>]*>|[^<]+|<)"), 1)
+    rows = _running(files.select(key, F.posexplode(tokens).alias("place", "token")), key, "place", "token")
+    by = Window.partitionBy(key).orderBy("place")
+    rows = rows.withColumn("markup", F.startswith("token", F.lit("<")) & (F.length("token") > 1))
+    rows = rows.withColumn("name", F.when(F.col("markup"), F.lower(F.regexp_extract("token", "^</?([a-zA-Z0-9]+)", 1))))
+    opens = ~F.startswith("token", F.lit("</"))
+    named = F.when(F.col("name").rlike("^(title|h[1-6])$"), F.when(opens, F.col("name")).otherwise(F.lit("")))
+    rows = rows.select(
+        key, "place", "start", "token", "markup",
+        F.coalesce(F.last(F.when(F.col("name").isin("script", "style"), opens), ignorenulls=True).over(by), F.lit(False)).alias("silent"),
+        F.coalesce(F.last(named, ignorenulls=True).over(by), F.lit("")).alias("within"),
+        F.sum(F.coalesce(F.col("name").isin(*BLOCK_TAGS), F.lit(False)).cast("int")).over(by).alias("block"),
+        F.sum(F.col("markup").cast("int")).over(by).alias("run"),
+    )
+    # A sign that opens no tag is text, so what stands between two tags may be several tokens.
+    texts = rows.where("not markup and not silent and within <> 'title'").groupBy(key, "block", "run", "within")
+    texts = texts.agg(F.min("start").alias("start"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "token"))), lambda t: t["token"]), "").alias("whole"))
+    texts = texts.withColumn("part", F.btrim("whole", F.lit(_ASCII))).where("part <> ''")
+    first = F.col("start") + F.octet_length("whole") - F.octet_length(F.ltrim("whole", F.lit(_ASCII)))
+    texts = texts.withColumn("start", first.cast("long")).withColumn("stop", F.col("start") + F.octet_length("part"))
+    return _gathered(texts.withColumn("is_heading", F.col("within") != ""), key, "run", " ")
 
 
 def with_heading(blocks: DataFrame, key: str) -> DataFrame:
@@ -110,6 +99,19 @@ def with_heading(blocks: DataFrame, key: str) -> DataFrame:
     return blocks.withColumn("_h", F.last(here, ignorenulls=True).over(before)).select(*blocks.columns, F.col("_h.ordinal").alias("heading_ordinal"), F.col("_h.text").alias("heading"))
 
 
+def answer_blocks(blocks: DataFrame, spans: DataFrame, key: str) -> DataFrame:
+    """spans (key, from_byte, to_byte and others) with the blocks that they overlap, in order, and the heading of the first.
+
+    ``blocks`` carry headings, see ``with_heading``. A span that meets no block has none, and no heading.
+    """
+    names = spans.columns
+    met = spans.join(blocks.select(key, "ordinal", "start", "stop", "heading"), key, "left")
+    inside = (F.col("start") < F.col("to_byte")) & (F.col("stop") > F.col("from_byte"))
+    hit = F.when(inside, F.struct("ordinal", "heading"))
+    out = met.groupBy(*names).agg(F.sort_array(F.collect_list(F.when(inside, F.col("ordinal")))).alias("ordinals"), F.min(hit).alias("_first"))
+    return out.select(*names, "ordinals", F.col("_first.heading").alias("heading"))
+
+
 def chunks(blocks: DataFrame, key: str, tokens: str = "n_tokens", most: int = CHUNK_TOKENS) -> DataFrame:
     """key, chunk, start, stop, text: consecutive blocks while they fit; a larger block is a chunk of its own."""
     rows = blocks.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("ordinal", F.col(tokens).cast("long").alias("n"), "start", "stop", "text"))).alias("_b"))

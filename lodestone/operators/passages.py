@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -11,65 +12,61 @@ from pyspark.sql import types as T
 
 PASSAGE_BYTES = 1024
 MOST_PASSAGES = 65_536
-# Fixed values of the passage format: what starts a heading, a list item, a fence.
-_HEADING = re.compile(rb" {0,3}#{1,6}(?:[ \t\n]|$)")
-_LIST = re.compile(rb"[-*+][ \t]|[0-9]{1,9}[.)][ \t]")
-_FENCE = re.compile(rb" {0,3}(`{3,}|~{3,})(.*)", re.S)
-#: White space of a blank line.
+# Fixed values of the passage format: what starts a heading, a list item, a fence; a blank line has none but these signs.
 _SPACES = " \t\n\v\f\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-
-
-def _bare(line: bytes) -> bytes:
-    return line.decode("utf-8", "replace").strip(_SPACES).encode()
-
-
-def _kind(line: bytes) -> str:
-    if _HEADING.match(line):
-        return "heading"
-    if _LIST.match(_bare(line)):
-        return "list"
-    return "table" if b"|" in line else "paragraph"
-
-
-def _blank(line: bytes) -> bool:
-    return not _bare(line)
+_FENCE = re.compile(rb" {0,3}(`{3,}|~{3,})(.*)", re.S)
+_SHAPES = [
+    ("heading", re.compile(r" {0,3}#{1,6}(?:[ \t\n]|$)")),
+    ("item", re.compile(r"[-*+][ \t]|[0-9]{1,9}[.)][ \t]")),
+    ("row", re.compile(r"[^|]*\|")),
+]
+
+
+def _shape(line: bytes) -> str:
+    """blank, heading, item, row or prose, by how the line looks."""
+    text = line.decode("utf-8", "replace")
+    if not text.strip(_SPACES):
+        return "blank"
+    # An item's mark is looked for where trailing white space is off, so a bare mark is none.
+    looks = {"heading": text, "item": text.strip(_SPACES), "row": text}
+    return next((name for name, shape in _SHAPES if shape.match(looks[name])), "prose")
+
+
+def _marked(lines: list[bytes]) -> Iterator[tuple[str, bool]]:
+    """Shape of each line, and whether it starts a block if no blank line stands before it."""
+    fence: tuple[bytes, int] | None = None  # the sign and length of the fence that is open
+    held = "blank"  # shape of the block that is open
+    for line in lines:
+        mark = _FENCE.match(line)
+        if fence:
+            yield "code", False
+            if mark and mark[1][:1] == fence[0] and len(mark[1]) >= fence[1] and not mark[2].strip(b" \t\n"):
+                fence, held = None, "closed"
+            continue
+        shape = _shape(line)
+        if shape == "blank":
+            yield shape, False
+            held = "closed" if held != "blank" else held
+        elif mark:
+            yield "code", True
+            fence = mark[1][:1], len(mark[1])
+        else:
+            apart = held in ("blank", "closed", "heading") or shape == "heading" or (shape == "row") != (held == "row") or shape == "item" != held
+            yield shape, apart
+            held = shape if apart else held
 
 
 def blocks(data: bytes) -> Iterator[tuple[int, int, bool]]:
     """(start, stop, heading) of the blocks, which tile the text; blank lines belong to the block before, or to the first."""
     lines = re.findall(rb"[^\n]*\n|[^\n]+", data)
-    at = i = 0
-    n = len(lines)
-    while i < n:
-        start = at
-        while i < n and _blank(lines[i]):
-            at += len(lines[i])
-            i += 1
-        if i == n:
-            yield start, at, False
-            return
-        fence, kind = _FENCE.match(lines[i]), _kind(lines[i])
-        at += len(lines[i])
-        i += 1
-        if fence:
-            mark, width = fence[1][:1], len(fence[1])
-            while i < n:
-                close = _FENCE.match(lines[i])
-                at += len(lines[i])
-                i += 1
-                if close and close[1][:1] == mark and len(close[1]) >= width and not close[2].strip(b" \t\n"):
-                    break
-        elif kind != "heading":
-            while i < n and not _blank(lines[i]) and not _FENCE.match(lines[i]):
-                nxt = _kind(lines[i])
-                if nxt == "heading" or nxt == "list" and kind != "list" or (nxt == "table") != (kind == "table"):
-                    break
-                at += len(lines[i])
-                i += 1
-        while i < n and _blank(lines[i]):
-            at += len(lines[i])
-            i += 1
-        yield start, at, kind == "heading" and not fence
+    edges = [0, *itertools.accumulate(map(len, lines))]
+    marked = list(_marked(lines))
+    starts = [i for i, (_, starts) in enumerate(marked) if starts]
+    for n, i in enumerate(starts):
+        stop = starts[n + 1] if n + 1 < len(starts) else len(lines)
+        yield edges[i if n else 0], edges[stop], marked[i][0] == "heading"
+    if lines and not starts:
+        yield 0, len(data), False
 
 
 def _cut(data: bytes, start: int, stop: int, size: int) -> int:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions.identity import PREFIX
+from ..operators.blocks import BLOCK_TAGS
 
 
 def field(e: str) -> str:
@@ -110,3 +111,62 @@ walk(query_id, rank, used, omission, seen) AS (
     CASE WHEN list_contains(seen, content_sha256) THEN 'duplicate' WHEN used + bytes > 8192 THEN 'budget' END,
     CASE WHEN list_contains(seen, content_sha256) OR used + bytes > 8192 THEN seen ELSE list_append(seen, content_sha256) END
   FROM walk w JOIN cands c ON c.query_id = w.query_id AND c.rank = w.rank + 1)"""
+
+
+_WHITE = r"[ \t\n\r\x0B\f\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
+def _plain(e: str) -> str:
+    # The character references that the tables hold; the ampersand's own comes last.
+    for name, sign in (("quot", '"'), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+        e = f"replace({e}, '&{name};', '{sign}')"
+    return f"trim(regexp_replace({e}, '{_WHITE}', ' ', 'g'))"
+
+
+def _blocks(key: str) -> str:
+    """From parts (block, o, start, stop, part, heading) to blocks with the nearest heading."""
+    return f"""
+found AS (SELECT {key}, block, min(start) AS start, max(stop) AS stop, {{text}} AS text, bool_or(heading) AS is_heading FROM parts GROUP BY {key}, block),
+blocks AS (SELECT {key}, CAST(row_number() OVER (PARTITION BY {key} ORDER BY start) - 1 AS INT) AS ordinal, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop, text, is_heading FROM found WHERE text <> ''),
+headed AS (SELECT *, last_value(CASE WHEN is_heading THEN ordinal END IGNORE NULLS) OVER w AS heading_ordinal, last_value(CASE WHEN is_heading THEN text END IGNORE NULLS) OVER w AS heading
+  FROM blocks WINDOW w AS (PARTITION BY {key} ORDER BY ordinal ROWS UNBOUNDED PRECEDING))"""
+
+
+MD_BLOCKS = (
+    r"""
+line1 AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS l, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS o FROM documents),
+line2 AS (SELECT *, regexp_replace(regexp_replace(l, '^[ \t\n\r\x0B\f]+', ''), '[ \t\n\r\x0B\f]+$', '') AS bare, strlen(l) AS n FROM line1),
+line3 AS (SELECT *, coalesce(sum(n + 1) OVER w, 0) AS start, coalesce(count(*) FILTER (starts_with(bare, '```')) OVER w, 0) % 2 = 1 AS in_code
+  FROM line2 WINDOW w AS (PARTITION BY doc_id ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+line4 AS (SELECT *, start + n AS stop, CASE WHEN starts_with(bare, '```') OR bare = '' THEN 'none' WHEN NOT in_code AND regexp_matches(bare, '^#{1,6}[ \t\n\r\x0B\f]') THEN 'heading'
+  WHEN in_code OR regexp_matches(l, '^(?:[ \t\n\r\x0B\f]*(?:[-*+]|[0-9]+\.)[ \t\n\r\x0B\f]|\|)') THEN 'single' ELSE 'prose' END AS kind FROM line3),
+line5 AS (SELECT *, CASE WHEN kind = 'prose' AND lag(kind) OVER (PARTITION BY doc_id ORDER BY o) = 'prose' THEN 0 ELSE 1 END AS opens FROM line4),
+line6 AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY o ROWS UNBOUNDED PRECEDING) AS block FROM line5),
+parts AS (SELECT doc_id, block, o, start, stop, kind = 'heading' AS heading, CASE WHEN kind = 'heading' THEN regexp_replace(bare, '^#{1,6}[ \t\n\r\x0B\f]+', '') ELSE l END AS part FROM line6 WHERE kind <> 'none'),"""
+    + _blocks("doc_id").replace("{text}", _plain("string_agg(part, chr(10) ORDER BY o)"))
+)
+
+HTML_BLOCKS = (
+    r"""
+tok1 AS (SELECT page_id, regexp_extract_all(coalesce(html, ''), '(?s)<!--.*?-->|</?[a-zA-Z0-9]+[^>]*>|[^<]+|<') AS t FROM pages),
+tok2 AS (SELECT page_id, unnest(t) AS t, generate_subscripts(t, 1) AS o FROM tok1),
+tok3 AS (SELECT *, coalesce(sum(strlen(t)) OVER (PARTITION BY page_id ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, t[1] = '<' AND len(t) > 1 AS markup,
+  CASE WHEN t[1] = '<' AND len(t) > 1 THEN lower(regexp_extract(t, '^</?([a-zA-Z0-9]+)', 1)) END AS name, t[1:2] = '</' AS closes FROM tok2),
+tok4 AS (SELECT *, coalesce(last_value(CASE WHEN name IN ('script', 'style') THEN NOT closes END IGNORE NULLS) OVER w, false) AS silent,
+  coalesce(last_value(CASE WHEN regexp_full_match(name, 'title|h[1-6]') THEN CASE WHEN closes THEN '' ELSE name END END IGNORE NULLS) OVER w, '') AS inside,
+  count(*) FILTER (name IN ({tags})) OVER w AS block, count(*) FILTER (markup) OVER w AS run
+  FROM tok3 WINDOW w AS (PARTITION BY page_id ORDER BY o ROWS UNBOUNDED PRECEDING)),
+runs AS (SELECT page_id, block, run AS o, min(start) AS start, inside <> '' AS heading, string_agg(t, '' ORDER BY o) AS whole FROM tok4 WHERE NOT markup AND NOT silent AND inside <> 'title' GROUP BY page_id, block, run, inside),
+run2 AS (SELECT *, regexp_replace(whole, '^[ \t\n\r\x0B\f]+', '') AS cut FROM runs),
+parts AS (SELECT page_id, block, o, heading, start + strlen(whole) - strlen(cut) AS start, regexp_replace(cut, '[ \t\n\r\x0B\f]+$', '') AS part, start + strlen(whole) - strlen(cut) + strlen(regexp_replace(cut, '[ \t\n\r\x0B\f]+$', '')) AS stop FROM run2 WHERE cut <> ''),""".replace(
+        "{tags}", ", ".join(f"'{t}'" for t in BLOCK_TAGS)
+    )
+    + _blocks("page_id").replace("{text}", _plain("string_agg(part, ' ' ORDER BY o)"))
+)
+
+CHUNKS = f"""{MD_BLOCKS},
+sized AS (SELECT *, len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s]')) AS n FROM blocks),
+fold(doc_id, ordinal, chunk, used) AS (
+  SELECT doc_id, ordinal, CAST(0 AS BIGINT), n FROM sized WHERE ordinal = 0
+  UNION ALL
+  SELECT b.doc_id, b.ordinal, CASE WHEN used + n > 450 THEN chunk + 1 ELSE chunk END, CASE WHEN used + n > 450 THEN n ELSE used + n END FROM fold JOIN sized b ON b.doc_id = fold.doc_id AND b.ordinal = fold.ordinal + 1)"""

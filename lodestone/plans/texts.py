@@ -9,7 +9,7 @@ from ..functions import identity as I
 from ..functions import text as X
 from ..operators import blocks, corpus, lexical, packing, passages, trails
 from . import search as S
-from .sql import INDEX, ITEMS, PACKED, PACKED_EXACT, SCORES, SEGMENTS, TERMS, field, raw, tag, tokens, u64, with_
+from .sql import CHUNKS, HTML_BLOCKS, INDEX, ITEMS, MD_BLOCKS, PACKED, PACKED_EXACT, SCORES, SEGMENTS, TERMS, field, raw, tag, tokens, u64, with_
 
 QUERIES: dict[str, tuple] = {}
 
@@ -226,23 +226,43 @@ def p18_line_numbers(spark, d):
     return rows.select("segment_id", X.line_of(F.col("body"), F.col("start").cast("int")).cast("long").alias("line"))
 
 
-@query(with_(ITEMS, f"SELECT doc_id, sha256(unhex('00') || encode(body)) AS leaf, {field('body')} = {field('body')} AS same FROM items"))
+@query(with_(ITEMS, "SELECT doc_id, sha256(unhex('00') || encode(body)) AS leaf FROM items"))
 def p6_log_leaves(spark, d):
-    return corpus.items(table(spark, d, "documents")).select("doc_id", I.log_leaf(F.col("body")).alias("leaf"), F.lit(True).alias("same"))
+    return corpus.items(table(spark, d, "documents")).select("doc_id", I.log_leaf(F.col("body")).alias("leaf"))
 
 
-@query()
+@query(with_(HTML_BLOCKS, "SELECT * FROM headed"))
 def src14_html_blocks(spark, d):
-    found = blocks.scan_blocks(table(spark, d, "pages"), "html", blocks.html_blocks, "page_id")
-    return blocks.with_heading(found, "page_id")
+    return blocks.with_heading(blocks.html_blocks(table(spark, d, "pages"), "page_id", "html"), "page_id")
 
 
-@query()
+@query(with_(MD_BLOCKS, "SELECT * FROM headed"))
 def src15_md_blocks(spark, d):
-    return blocks.with_heading(blocks.scan_blocks(table(spark, d, "documents"), "text", blocks.md_blocks, "doc_id"), "doc_id")
+    return blocks.with_heading(blocks.md_blocks(table(spark, d, "documents"), "doc_id", "text"), "doc_id")
 
 
-@query()
+@query(
+    "WITH RECURSIVE "
+    + CHUNKS
+    + " SELECT doc_id, chunk, min(start) AS start, max(stop) AS stop, string_agg(text, chr(10) ORDER BY ordinal) AS text FROM fold JOIN blocks USING (doc_id, ordinal) GROUP BY doc_id, chunk"
+)
 def src16_chunks(spark, d):
-    found = blocks.scan_blocks(table(spark, d, "documents"), "text", blocks.md_blocks, "doc_id")
-    return blocks.chunks(found.withColumn("n_tokens", X.rough_tokens(F.col("text"))), "doc_id")
+    found = blocks.md_blocks(table(spark, d, "documents"), "doc_id", "text")
+    return blocks.chunks(found.withColumn("n_tokens", X.rough_tokens(F.col("text")).cast("long")), "doc_id")
+
+
+@query(
+    with_(
+        MD_BLOCKS,
+        """spans AS (SELECT doc_id, CAST(200 AS BIGINT) AS from_byte, CAST(1200 AS BIGINT) AS to_byte FROM documents),
+hit AS (SELECT spans.*, ordinal, heading FROM spans LEFT JOIN headed h ON h.doc_id = spans.doc_id AND start < to_byte AND stop > from_byte)
+SELECT doc_id, from_byte, to_byte, count(ordinal) AS n_blocks, min(ordinal) AS first_block, max(ordinal) AS last_block, arg_min(heading, ordinal) FILTER (ordinal IS NOT NULL) AS heading FROM hit GROUP BY ALL""",
+    ).replace("spans AS", ", spans AS", 1)
+)
+def j20_answer_blocks(spark, d):
+    documents = table(spark, d, "documents")
+    headed = blocks.with_heading(blocks.md_blocks(documents, "doc_id", "text"), "doc_id")
+    spans = documents.select("doc_id", F.lit(200).cast("long").alias("from_byte"), F.lit(1200).cast("long").alias("to_byte"))
+    found = blocks.answer_blocks(headed, spans, "doc_id")
+    ends = [F.size("ordinals").cast("long").alias("n_blocks"), F.get("ordinals", F.lit(0)).alias("first_block"), F.try_element_at("ordinals", F.lit(-1)).alias("last_block")]
+    return found.select("doc_id", "from_byte", "to_byte", *ends, "heading")

@@ -2,11 +2,13 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 
 import pytest
 from lodestone.functions import identity as I
 from lodestone.functions import text as X
 from lodestone.functions import vectors as V
+from lodestone.operators import blocks as B
 from lodestone.operators import passages
 from pyspark.sql import functions as F
 
@@ -47,28 +49,98 @@ def test_query_terms(spark):
     assert one(spark, X.capped_terms(F.array(F.lit("x" * 5000), F.lit("y")))) == ["x" * 5000]
 
 
-PARAGRAPH = "alpha beta gamma. " * 40 + "\n\n"
-LIST = "- one thing\n- two things\n\n"
-
-
-@pytest.mark.parametrize(
-    ("text", "expected"),
-    [
-        ("", []),
-        (PARAGRAPH * 2, [PARAGRAPH, PARAGRAPH]),
-        (PARAGRAPH + "# Next\n\n" + LIST, [PARAGRAPH, "# Next\n\n" + LIST]),
-        ("x" * 1000 + "\n\n" + LIST, ["x" * 1000 + "\n\n", LIST]),
-        ("x" * 1000 + "\n\n| a | b |\n|---|---|\n| c | d |\n", ["x" * 1000 + "\n\n", "| a | b |\n|---|---|\n| c | d |\n"]),
-        ("界" * 400, ["界" * 341, "界" * 59]),
-        ("x" * 2050, ["x" * 1024, "x" * 1024, "xx"]),
-        ("word " * 240, ["word " * 204, "word " * 36]),
-        ("```sh\n" + "x" * 1100 + "\n```\n", ["```sh\n", "x" * 1024, "x" * 76 + "\n```\n"]),
-        ("~~~\n# not a heading\n\nbody", ["~~~\n# not a heading\n\nbody"]),
-    ],
-)
-def test_passages(text, expected):
+def _cuts(text: str, size: int = 1024) -> list[str]:
     data = text.encode()
-    assert [data[a:b].decode() for a, b in passages.passages(data)] == expected
+    return [data[a:b].decode() for a, b in passages.passages(data, size)]
+
+
+@pytest.mark.parametrize("first", ["Cats sleep.\nDogs run.\n\n", "1. salt\n2. sugar\n\n", "k | v\n\n", "~~~ py\nif x:\n\n    y\n~~~\n"])
+@pytest.mark.parametrize("second", ["Birds sing.\n", "+ oak\n+ elm\n", "w | z\n", "```\n# comment\n```\n"])
+def test_blocks_of_two_kinds_fit_together_or_are_parted(first, second):
+    assert _cuts(first + second) == [first + second]
+    assert _cuts(first + second, len(first.encode()) + 1) == [first, second] if len(second) <= len(first) + 1 else True
+    # A heading parts them even where both fit.
+    assert _cuts(first + "## Two\n" + second) == [first, "## Two\n" + second]
+
+
+def test_pieces_of_a_block_that_is_too_large():
+    assert _cuts("ab\n" * 5, 7) == ["ab\nab\n", "ab\nab\n", "ab\n"]  # behind a line end
+    assert _cuts("ab cd ef gh", 7) == ["ab cd ", "ef gh"]  # behind a blank
+    assert _cuts("äöüß", 3) == ["ä", "ö", "ü", "ß"]  # before a character
+    assert _cuts("") == []
+    assert _cuts("\n \n") == ["\n \n"]
+
+
+def _reference_blocks(text: str) -> list[str]:
+    """Blocks by a description of where each line belongs, line by line from the whole text."""
+    lines = text.split("\n")
+    lines = [x + "\n" for x in lines[:-1]] + ([lines[-1]] if lines[-1] else [])
+    in_fence, state = [], None
+    for x in lines:
+        mark = re.match(r" {0,3}(`{3,}|~{3,})(.*)", x, re.S)
+        if state is None:
+            in_fence.append(bool(mark))
+            state = mark[1] if mark else None
+        else:
+            in_fence.append(True)
+            if mark and mark[1][0] == state[0] and len(mark[1]) >= len(state) and not mark[2].strip(" \t\n"):
+                in_fence[-1] = None  # the last line of a fence
+                state = None
+
+    def kind(i: int) -> str:
+        if in_fence[i] is not False:
+            return "fence"
+        x = lines[i]
+        if re.match(r" {0,3}#{1,6}([ \t\n]|$)", x):
+            return "heading"
+        if re.match(r"([-*+]|[0-9]{1,9}[.)])[ \t]", x.strip()):
+            return "list"
+        return "table" if "|" in x else "text"
+
+    out: list[list[int]] = []
+    lead = ""
+    for i, x in enumerate(lines):
+        blank = in_fence[i] is False and not x.strip()
+        if blank and not out:
+            lead += x
+            continue
+        if blank:
+            out[-1].append(i)
+            continue
+        opened = bool(out) and lines[out[-1][-1]].strip() == "" and in_fence[out[-1][-1]] is False
+        here, first = kind(i), kind(out[-1][0]) if out else None
+        if here == "fence":
+            same = bool(out) and first == "fence" and in_fence[out[-1][-1]] is True
+        else:
+            same = bool(out) and not opened and first not in ("fence", "heading") and (here == first or here == "text" and first == "list")
+        if same:
+            out[-1].append(i)
+        else:
+            out.append([i])
+    blocks = ["".join(lines[i] for i in b) for b in out]
+    return [lead + blocks[0], *blocks[1:]] if blocks else [lead] if lead else []
+
+
+def test_blocks_against_a_description():
+    r = random.Random(8)
+    parts = ["tea\n", "- tea\n", "3) tea\n", "a | b\n", "## tea\n", "\n", " \t\n", "```\n", "~~~\n", "````\n", "##tea\n", "-\n", "  * tea\n", "- a | b\n", "tea"]
+    for _ in range(4000):
+        text = "".join(r.choice(parts) for _ in range(r.randint(0, 10)))
+        data = text.encode()
+        assert [data[a:b].decode() for a, b, _ in passages.blocks(data)] == _reference_blocks(text), repr(text)
+
+
+def test_blocks_of_markdown_and_html(spark):
+    md = "\ufeffIntro line\nmore\n\n# Head  one\n- x &amp; y\n1. z\n| a |\n```\n# code\n\nlast\n```\nend"
+    page = "<title>T</title>lead <b>bold</b>\n<p>a < b &lt; c<script>var x = '<p>';</script><h2>Big\u00a0 one</h2>text<!-- <p> --> on<br> tail"
+    files = spark.createDataFrame([(1, md, page), (2, "", ""), (3, None, None)], "id long, md string, html string")
+    got = [(r.text, r.is_heading, r.heading, md.encode()[r.start : r.stop].decode()) for r in B.with_heading(B.md_blocks(files, "id", "md"), "id").orderBy("ordinal").collect()]
+    assert got == [
+        ("\ufeffIntro line more", False, None, "\ufeffIntro line\nmore"), ("Head one", True, "Head one", "# Head  one"), ("- x & y", False, "Head one", "- x &amp; y"),
+        ("1. z", False, "Head one", "1. z"), ("| a |", False, "Head one", "| a |"), ("# code", False, "Head one", "# code"), ("last", False, "Head one", "last"), ("end", False, "Head one", "end"),
+    ]
+    got = [(r.text, r.is_heading, r.heading) for r in B.with_heading(B.html_blocks(files, "id", "html"), "id").orderBy("ordinal").collect()]
+    assert got == [("lead bold", False, None), ("a < b < c", False, None), ("Big one", True, "Big one"), ("text on", False, "Big one"), ("tail", False, "Big one")]
 
 
 def test_passages_tile_any_text():
