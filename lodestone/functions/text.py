@@ -105,3 +105,14 @@ def line_of(text: Column, byte: Column) -> Column:
     """Line number (from 1) of a byte offset."""
     before = F.substring(text.cast("binary"), F.lit(1), byte).cast("string")
     return F.length(before) - F.length(F.replace(before, F.lit("\n"))) + 1
+
+
+# The words that the baseline leaves out.
+STOP_WORDS = "the a an of to in on for and or is are was be with by at as it this that from".split()
+
+
+def baseline_expression(text: Column) -> Column:
+    """The OR of the distinct ASCII terms that aren't stop words, in order; null without any."""
+    words = F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), 1)
+    kept = F.array_distinct(F.filter(words, lambda w: ~w.isin(STOP_WORDS)))
+    return F.when(F.size(kept) > 0, F.array_join(F.transform(kept, lambda w: F.concat(F.lit('"'), w, F.lit('"'))), " OR "))
