@@ -1,6 +1,6 @@
 """Lexical index and BM25 ranking for batches of queries.
 
-The index is two tables: postings (term, segment, positions) and lengths. Corpus
+The index is two tables: postings (term, segment, position; or stored ones, with tf and positions) and lengths. Corpus
 statistics always come from the whole index, never from a filtered part of it. Postings are
 joined by term, contributions are added in the order of the expression.
 """
@@ -50,10 +50,14 @@ def phrase_matches(posted: DataFrame, wanted: DataFrame, key: str = "segment_id"
     A phrase of one token is a term; longer ones need their tokens on end.
     """
     parts = wanted.select("phrase").distinct().withColumn("_parts", F.split("phrase", " "))
-    one = posted.join(parts.where(F.size("_parts") == 1).select(F.col("phrase").alias("term")), "term", "left_semi")
-    single = one.groupBy(F.col("term").alias("phrase"), key).agg(F.count("*").alias("f"))
+    ones = parts.where(F.size("_parts") == 1).select(F.col("phrase").alias("term"))
     long = parts.where(F.size("_parts") > 1).select("phrase", F.size("_parts").alias("_n"), F.posexplode("_parts").alias("_j", "term"))
-    starts = posted.join(long, "term").groupBy("phrase", key, (F.col("position") - F.col("_j")).alias("_at")).agg(F.count("*").alias("_hit"), F.first("_n").alias("_n"))
+    stored = "positions" in posted.columns
+    one = posted.join(ones, "term", "left_semi")
+    single = one.select(F.col("term").alias("phrase"), key, F.col("tf").alias("f")) if stored else one.groupBy(F.col("term").alias("phrase"), key).agg(F.count("*").alias("f"))
+    placed = posted.join(long, "term")
+    placed = placed.withColumn("position", F.explode("positions")) if stored else placed
+    starts = placed.groupBy("phrase", key, (F.col("position") - F.col("_j")).alias("_at")).agg(F.count("*").alias("_hit"), F.first("_n").alias("_n"))
     multi = starts.where("_hit = _n").groupBy("phrase", key).agg(F.count("*").alias("f"))
     return single.unionByName(multi)
 

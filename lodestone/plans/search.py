@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..index import index_of
 from ..operators import corpus, lexical, packing
 
 BUDGET = 8192
@@ -20,10 +21,16 @@ def terms_of(queries: DataFrame, distinct: bool = False) -> DataFrame:
     return queries.select("query_id", X.capped_terms(X.query_terms(F.coalesce("text", F.lit(""))), distinct).alias("terms"))
 
 
-def search(segments: DataFrame, queries: DataFrame, limit: int | None = lexical.LIMIT, source: str | None = None, distinct: bool = False) -> DataFrame:
-    """query_id, segment_id, score, rank. A source restricts what is ranked, not the statistics."""
-    posted, n = lexical.postings(segments), lexical.lengths(segments)
-    scored = lexical.scores(terms_of(queries, distinct), posted, n)
+def search(segments: DataFrame, queries: DataFrame, limit: int | None = lexical.LIMIT, source: str | None = None, distinct: bool = False, drop_floor: bool = False) -> DataFrame:
+    """query_id, segment_id, score, rank. A source restricts what is ranked, not the statistics.
+
+    Terms as given, each once (``distinct``), or without those that weigh next to nothing (``drop_floor``).
+    """
+    posted, n = index_of(segments)
+    terms = terms_of(queries, distinct)
+    if drop_floor:
+        terms = lexical.floor_reduced(terms, posted, n).select("query_id", "terms")
+    scored = lexical.scores(terms, posted, n)
     if source is not None:
         scored = scored.join(segments.where(F.col("source") == source).select("segment_id"), "segment_id", "left_semi")
     return lexical.ranked(scored, limit=limit)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .functions import identity as I
 from .functions import text as X
+from .index import index_of
 from .operators import audit, corpus, ireval, lexical, lifecycle, packing, passages, policy, trails, vectors
 
 SCHEMAS = {
@@ -156,7 +157,7 @@ class Store:
         segments = self.table("segments")
         asked = self.spark.createDataFrame([(0, text)], "query_id long, text string")
         terms = asked.select("query_id", X.capped_terms(X.query_terms(F.col("text"))).alias("terms"))
-        scored = lexical.scores(terms, lexical.postings(segments), lexical.lengths(segments))
+        scored = lexical.scores(terms, *index_of(segments))
         mine = segments.where(F.col("source") == source)
         found = lexical.ranked(scored.join(mine.select("segment_id"), "segment_id", "left_semi"), limit=limit)
         return self._answer(source, "lexical", text, found, budget, exact)
@@ -188,7 +189,7 @@ class Store:
     def hybrid_query(self, source: str, space: str, text: str, values: list[float], budget: int = 8192, limit: int = 100, exact: bool = False) -> DataFrame:
         segments = self.table("segments")
         terms = self.spark.createDataFrame([(0, text)], "query_id long, text string").select("query_id", X.capped_terms(X.query_terms(F.col("text"))).alias("terms"))
-        scored = lexical.scores(terms, lexical.postings(segments), lexical.lengths(segments))
+        scored = lexical.scores(terms, *index_of(segments))
         mine = segments.where(F.col("source") == source).select("segment_id")
         lex = lexical.ranked(scored.join(mine, "segment_id", "left_semi"), limit=limit)
         fused = vectors.fuse(lex, self._near(source, space, values), ["query_id", "segment_id"], "segment_id")
