@@ -6,7 +6,9 @@ automaton over the symbols says where a slice starts. Its transition functions
 are closed under composition (a finite monoid), so they are scanned associatively:
 blocks of the text are reduced column by column with one table lookup a symbol, the
 block functions are composed, and a second pass marks the starts. The slices
-then go through pair merging, each distinct slice once a worker.
+then go through pair merging, each distinct slice once a worker while its cache, bounded
+in slices and bytes, has room. The byte where each token starts is retained; decoding puts
+each token's bytes there, without a loop over tokens.
 
 Edge cases: a null text encodes as the empty text: no ids, no offsets, empty
 bytes. Texts are processed whole, whatever their length. Repeated rows, null ids
@@ -18,6 +20,7 @@ Lone surrogates can't occur in Spark strings.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import itertools
 import sys
@@ -40,6 +43,8 @@ S_NONE, S_SPACE, S_LETTERS, S_NUMBERS, S_OTHERS, S_PEND1, S_PEND2, S_BLANKS = ra
 #: Fixed values of the published pattern: endings after an apostrophe, by length.
 SHORT_ENDINGS, LONG_ENDINGS = "stmd", ("re", "ve", "ll")
 BLOCK = 64
+#: Bytes up to which a slice is merged by looking over all its pairs.
+SHORT_SLICE = 64
 
 
 def _step(state: int, symbol: int) -> tuple[int, bool]:
@@ -172,12 +177,33 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 def merge_pairs(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one slice: the pair of lowest rank is merged first, leftmost among equals.
-
-    Neighbours are linked and candidates kept in a heap, so a slice of n bytes takes O(n log n).
-    """
+    """Ids of one slice: the pair of lowest rank is merged first, leftmost among equals."""
     if piece in ranks:
         return [ranks[piece]]
+    return _merged_short(piece, ranks) if len(piece) <= SHORT_SLICE else _merged_long(piece, ranks)
+
+
+def _merged_short(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """All pairs are looked over for each merge: the quicker way for words."""
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    never = len(ranks) + max(256, len(piece)) + (1 << 40)
+    pairs = [ranks.get(a + b, never) for a, b in itertools.pairwise(parts)]
+    while pairs:
+        low = min(pairs)
+        if low == never:
+            break
+        i = pairs.index(low)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        del pairs[i]
+        if i < len(pairs):
+            pairs[i] = ranks.get(parts[i] + parts[i + 1], never)
+        if i:
+            pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], never)
+    return [ranks[x] for x in parts]
+
+
+def _merged_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Neighbours are linked and candidates kept in a heap, so a slice of n bytes takes O(n log n)."""
     n = len(piece)
     end = list(range(1, n + 1))  # end of the part that starts here
     back = list(range(-1, n - 1))  # start of the part before
@@ -208,22 +234,13 @@ def merge_pairs(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class _Merger(dict):
-    """Ids by slice; a missing slice is merged and kept while the cache has room.
-
-    The tokenizer library merges the bytes of one slice where it is installed, ``merge_pairs`` elsewhere.
-    """
-
-    def __init__(self, ranks: dict[bytes, int], room: int = 400_000) -> None:
-        self.room = room
-        try:
-            from tiktoken import Encoding
+    """Ids by slice; a missing slice is merged, and kept if it is short. A full cache starts anew."""
 
-            self.merge = Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-        except (ImportError, AttributeError):
-            self.merge = lambda piece: merge_pairs(piece, ranks)
+    def __init__(self, ranks: dict[bytes, int], room: int = 150_000) -> None:
+        self.ranks, self.room = ranks, room
 
     def __missing__(self, piece: bytes) -> tuple[int, ...]:
-        ids = tuple(self.merge(piece))
+        ids = tuple(merge_pairs(piece, self.ranks))
         if len(piece) <= 64:
             if len(self) >= self.room:
                 self.clear()
@@ -231,19 +248,46 @@ class _Merger(dict):
         return ids
 
 
-_tables: dict[str, tuple] = {}
+class Vocabulary:
+    """Ranks, the cache of merged slices, and the tokens' bytes on end with their places."""
 
-
-def _table(path: str) -> tuple[_Merger, list[bytes]]:
-    if path not in _tables:
+    def __init__(self, path: str) -> None:
         ranks = load_ranks(path)
-        _tables[path] = _Merger(ranks), [k for k, _ in sorted(ranks.items(), key=lambda x: x[1])], max(ranks.values())
-        if len(ranks) != _tables[path][2] + 1:  # ids with holes
-            names: list[bytes] = [b""] * (_tables[path][2] + 1)
-            for k, v in ranks.items():
-                names[v] = k
-            _tables[path] = _tables[path][0], names, _tables[path][2]
-    return _tables[path][:2]
+        self.merger = _Merger(ranks)
+        last = max(ranks.values(), default=-1)
+        self.widths = np.zeros(last + 1, np.int64)  # an id without a token has no bytes
+        for token, rank in ranks.items():
+            self.widths[rank] = len(token)
+        self.places = np.cumsum(self.widths) - self.widths
+        self.data = np.frombuffer(b"".join(sorted(ranks, key=ranks.__getitem__)), np.uint8)
+
+    def offsets(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The byte of its text at which each token starts; ids of texts on end, ``counts`` of each."""
+        sizes = self.widths[ids]
+        ahead = np.cumsum(sizes) - sizes
+        first = np.cumsum(counts) - counts
+        base = np.zeros(len(counts), np.int64)
+        some = counts > 0
+        base[some] = ahead[first[some]]
+        return (ahead - np.repeat(base, counts)).astype(np.int32)
+
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> bytes:
+        """Bytes of one text: those of each token from its offset on."""
+        sizes = self.widths[ids]
+        # Places in the table minus places in the text are constant within a token.
+        shift = np.repeat(self.places[ids] - offsets, sizes)
+        return self.data[shift + np.arange(len(shift))].tobytes()
+
+
+_held: dict[str, Vocabulary] = {}
+
+
+def vocabulary(path: str) -> Vocabulary:
+    """One table at a time stays with a worker."""
+    if path not in _held:
+        _held.clear()
+        _held[path] = Vocabulary(path)
+    return _held[path]
 
 
 def _ids_of_slices(data: bytes, cuts: np.ndarray, merger: _Merger) -> tuple[np.ndarray, np.ndarray]:
@@ -268,7 +312,7 @@ def _ids_of_slices(data: bytes, cuts: np.ndarray, merger: _Merger) -> tuple[np.n
 
 def encode_texts(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts on end, and how many ids each text has."""
-    merger, _ = _table(path)
+    merger = vocabulary(path).merger
     joined = "".join(texts)
     data = joined.encode()
     if not data:
@@ -298,13 +342,20 @@ def _chunks(texts: list[str], limit: int = 500_000) -> Iterator[list[str]]:
         yield held
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+def _few(batches: Iterator[pa.RecordBatch], rows: int = 64) -> Iterator[pa.RecordBatch]:
     """Few rows at a time, so that a worker holds little besides the batch."""
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
 
 
+def _coded(texts: list[str | None], path: str) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Chunks of the texts: how many texts, their ids on end, offsets, ids of each text."""
+    for chunk in _chunks([x or "" for x in texts]):
+        flat, counts = encode_texts(chunk, path)
+        yield len(chunk), flat, vocabulary(path).offsets(flat, counts), counts
+
+
 def encode(df: DataFrame, tokenizer_path: str, text: str = "text") -> DataFrame:
     """``df`` with ``ids`` (array<int>) and ``offsets`` (array<int>: the byte where each token starts)."""
     keep = [f for f in df.schema.fields if f.name not in ("ids", "offsets")]
@@ -313,49 +364,82 @@ def encode(df: DataFrame, tokenizer_path: str, text: str = "text") -> DataFrame:
     names = [f.name for f in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, vocabulary = _table(tokenizer_path)
-        wide = np.fromiter(map(len, vocabulary), np.int32, len(vocabulary))
-        for batch in _slices(batches):
+        for batch in _few(batches):
             done = 0
-            texts = [x or "" for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-            for chunk in _chunks(texts):
-                flat, counts = encode_texts(chunk, tokenizer_path)
-                borders = np.concatenate([[0], np.cumsum(counts)])
-                sizes = wide[flat]
-                ahead = np.cumsum(sizes, dtype=np.int64) - sizes
-                base = np.concatenate([ahead, [0]])[np.minimum(borders[:-1], max(len(flat) - 1, 0))] if len(flat) else np.zeros(len(counts), np.int64)
-                offsets = (ahead - np.repeat(base, counts)).astype(np.int32)
-                part = batch.slice(done, len(chunk))
-                done += len(chunk)
-                arrays = [part.column(part.schema.get_field_index(n)) for n in names]
-                edge = pa.array(borders, pa.int32())
-                yield pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(edge, pa.array(flat)), pa.ListArray.from_arrays(edge, pa.array(offsets))], names=[*names, "ids", "offsets"])
+            for n, flat, offsets, counts in _coded(batch.column(text).to_pylist(), tokenizer_path):
+                part = batch.slice(done, n)
+                done += n
+                edge = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.ListArray.from_arrays(edge, pa.array(flat)), pa.ListArray.from_arrays(edge, pa.array(offsets))], names=[*names, "ids", "offsets"])
 
     return df.mapInArrow(run, schema)
 
 
-def decode(df: DataFrame, tokenizer_path: str, ids: str = "ids") -> DataFrame:
-    """``df`` with ``decoded`` (binary): the bytes of the tokens in ``ids``, on end; null ids give no bytes."""
+def _decoded(vocabulary: Vocabulary, ids: pa.Scalar, offsets: pa.Scalar) -> bytes:
+    if not ids.is_valid or not len(ids.values):
+        return b""
+    codes = ids.values.to_numpy()
+    return vocabulary.decode(codes, offsets.values.to_numpy())
+
+
+def decode(df: DataFrame, tokenizer_path: str, ids: str = "ids", offsets: str = "offsets") -> DataFrame:
+    """``df`` with ``decoded`` (binary): the bytes of the tokens in ``ids`` at their ``offsets``; null ids give no bytes."""
     keep = [f for f in df.schema.fields if f.name != "decoded"]
     schema = T.StructType([*keep, T.StructField("decoded", T.BinaryType())])
     names = [f.name for f in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, vocabulary = _table(tokenizer_path)
-        for batch in _slices(batches):
-            lists = batch.column(batch.schema.get_field_index(ids))
-            out = [b"".join(map(vocabulary.__getitem__, x)) if x else b"" for x in (y.values.to_numpy().tolist() if y.is_valid else None for y in lists)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(n)) for n in names], pa.array(out, pa.binary())], names=[*names, "decoded"])
+        table = vocabulary(tokenizer_path)
+        for batch in _few(batches):
+            out = [_decoded(table, x, y) for x, y in zip(batch.column(ids), batch.column(offsets), strict=True)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(out, pa.binary())], names=[*names, "decoded"])
 
     return df.mapInArrow(run, schema)
 
 
+def _passed(df: DataFrame, keep: tuple[str, ...], text: str) -> tuple[DataFrame, list[str], list[T.StructField]]:
+    """Columns to pass on under names that clash with nothing, the text last; and the fields of the result."""
+    fields = [df.schema[c] for c in keep]
+    inner = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text).alias("t"))
+    return inner, [f.name for f in fields], fields
+
+
+def encode_checked(df: DataFrame, tokenizer_path: str, keep: tuple[str, ...], text: str = "text") -> DataFrame:
+    """``keep`` columns with ids, n_tokens and decodes: whether the ids decode to the text, found where they are made."""
+    inner, names, fields = _passed(df, keep, text)
+    schema = T.StructType([*fields, T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("n_tokens", T.LongType()), T.StructField("decodes", T.BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = vocabulary(tokenizer_path)
+        for batch in _few(batches):
+            done, texts = 0, batch.column("t").to_pylist()
+            for n, flat, offsets, counts in _coded(texts, tokenizer_path):
+                edge = np.concatenate([[0], np.cumsum(counts)])
+                same = [table.decode(flat[a:b], offsets[a:b]) == (x or "").encode() for x, (a, b) in zip(texts[done : done + n], itertools.pairwise(edge), strict=True)]
+                part = batch.slice(done, n)
+                done += n
+                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(len(names))], pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(flat)), pa.array(counts, pa.int64()), pa.array(same)], names=[*names, "ids", "n_tokens", "decodes"])
+
+    return inner.mapInArrow(run, schema)
+
+
 def round_trip(df: DataFrame, tokenizer_path: str, text: str = "text") -> DataFrame:
-    """Digests of ``encode`` and ``decode``: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    coded = decode(encode(df.select("doc_id", F.col(text).alias("text")), tokenizer_path).select("doc_id", "ids"), tokenizer_path)
-    return coded.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    """Digests of what encoding and then decoding give: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    inner, names, fields = _passed(df, ("doc_id",), text)
+    schema = T.StructType([*fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = vocabulary(tokenizer_path)
+        for batch in _few(batches):
+            done = 0
+            for n, flat, offsets, counts in _coded(batch.column("t").to_pylist(), tokenizer_path):
+                edge = np.concatenate([[0], np.cumsum(counts)])
+                ids, texts = [], []
+                for a, b in itertools.pairwise(edge):
+                    ids.append(hashlib.sha256(" ".join(map(str, flat[a:b].tolist())).encode()).hexdigest())
+                    texts.append(hashlib.sha256(table.decode(flat[a:b], offsets[a:b])).hexdigest())
+                part = batch.slice(done, n)
+                done += n
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], names=[*names, "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return inner.mapInArrow(run, schema)

@@ -76,3 +76,28 @@ def test_only_misses_are_encoded_and_appended(spark, tmp_path):
     assert cached() == 3
     assert C.count_tokens(first.limit(0), WORDS, str(tmp_path)).count() == 0
     assert cached() == 3
+
+
+def test_checked_ids_with_clashing_columns(spark, library):
+    rows = [(i, t, "x", 1, 2) for i, t in enumerate(texts()[:200])] + [(0, "again", "x", 1, 2), (None, "é" * 700_000, None, 1, 2)]
+    df = spark.createDataFrame(rows, SCHEMA.replace("decoded", "k0"))
+    got = {(r.doc_id, r.text): r for r in B.encode_checked(df, RANKS, keep=("doc_id", "text", "k0")).collect()}
+    for i, t, *_ in rows:
+        assert list(got[i, t].ids) == library.encode_ordinary(t or "")
+        assert (got[i, t].n_tokens, got[i, t].decodes, got[i, t].k0) == (len(got[i, t].ids), True, 2)
+    assert B.encode_checked(df.limit(0), RANKS, keep=("doc_id",)).columns == ["doc_id", "ids", "n_tokens", "decodes"]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "piece_bpe_32k.model"])
+def test_other_tokenizers_go_to_their_library_whole(spark, tmp_path, name):
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    path = P.path(name)
+    if name.endswith(".model"):
+        count = lambda t, m=sentencepiece.SentencePieceProcessor(model_file=path): len(m.encode(t))
+    else:
+        count = lambda t, m=Tokenizer.from_file(path): len(m.encode(t, add_special_tokens=False))
+    rows = [(i, t) for i, t in enumerate([*texts()[:120], "a  b", "a b", "A b"])]
+    got = {r.doc_id: r.n_tokens for r in C.count_tokens(spark.createDataFrame(rows, "doc_id long, text string"), path, str(tmp_path)).collect()}
+    assert got == {i: count(t or "") for i, t in rows}
