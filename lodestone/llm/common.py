@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..runtime import ship_package
 
 #: Bytes of an Arrow batch that goes to a worker, so that rows of long texts don't make it large.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -27,17 +27,32 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
 
 
+def rest(spark: SparkSession) -> None:
+    """Has executors collect garbage, as buffers outside the heap are freed and the heap shrinks only then.
+
+    Some small tasks for each core, so that nearly all executors get one; nothing depends on it.
+    """
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    collects = F.java_method(F.lit("java.lang.System"), F.lit("gc"))
+    spark.range(0, tasks, 1, tasks).where(collects.isNull()).count()
+
+
+def release() -> None:
+    """Hands memory that a worker has no use for back to the system, as workers are used again."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def thrifty(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """``run``, which hands unused memory back to the system when its partition ends, as workers are used again."""
+    """``run``, with ``release`` when its partition ends."""
 
     @wraps(run)
     def call(batches: Iterator) -> Iterator:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # another C library
-                ctypes.CDLL(None).malloc_trim(0)
+            release()
 
     return call
 
