@@ -7,9 +7,8 @@ make ORACLE_SQL impossible. Their operators have tests of their own; no test run
 from __future__ import annotations
 
 from lodestone.llm import byte_bpe, minhash_dedup, mixing, quality_lm, suffix_dedup
-from lodestone.llm.common import fresh_dir, read_table
+from lodestone.llm.common import fresh_dir, prepare, read_table, rest
 from lodestone.llm.queries import tokenizer_path
-from lodestone.runtime import ship_package
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,22 +17,27 @@ PASSAGE = 250
 MIX = mixing.Mix(percent=90, max_epochs=2)
 
 
+def _begin(spark: SparkSession) -> None:
+    """What the stage before left in executors' memory is freed before the next one needs it."""
+    prepare(spark)
+    rest(spark)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity isn't far above that of trusted text in their language."""
-    ship_package(spark)
-    judged = quality_lm.judge(docs, read_table(spark, sf_dir, "labels"), keep=docs.columns)
-    return judged.where("not rejected").select(*docs.columns)
+    _begin(spark)
+    return quality_lm.accepted(docs, read_table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, Jaccard 0.8 or more)."""
-    ship_package(spark)
+    _begin(spark)
     return minhash_dedup.one_of_each(docs, width=5, percent=80)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that occur more than once; a document of which nothing is left goes."""
-    ship_package(spark)
+    _begin(spark)
     rest = [c for c in docs.columns if c != "text"]
     cut = suffix_dedup.remove_repeats(docs, PASSAGE, keep=tuple(rest))
     left = suffix_dedup.whole_characters(cut.where("n_removed = 0 or n_removed < n_bytes"))
@@ -42,17 +46,15 @@ def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents by the weights of their domain, language and source; a second epoch repeats rows."""
-    ship_package(spark)
+    _begin(spark)
     return mixing.mix_sources(docs, MIX).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, and whether they decode to the text."""
-    ship_package(spark)
+    _begin(spark)
     path = tokenizer_path("byte_bpe_50k.tiktoken")
-    coded = byte_bpe.decode(byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"), path), path)
-    same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return coded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("decodes"))
+    return byte_bpe.encode_checked(docs, path, keep=("doc_id", "lang", "source"))
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("passage_dedup", passage_dedup), ("mix", mix), ("tokens", tokens)]
