@@ -42,6 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_stored, row_key, stored, thrifty
+from .common import rest as collect_garbage
 from .graph import components
 from .rolling import mix, slice_hashes
 
@@ -375,6 +376,7 @@ def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, per
     whole = sketches.where(F.col("n") <= K).select("node", "values").unionByName(_values(large, texts, width))
     out = stored(_with(close, whole).mapInArrow(_exact(percent), "a long, b long"), "links")
     drop_stored(asked, sketches, close)
+    collect_garbage(pairs.sparkSession)
     return out
 
 
@@ -405,6 +407,7 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, doc_id: st
     heavy = plain.join(weight, "node").groupBy("value").agg(F.max(F.struct("weight", "node", "n")).alias("top"))
     lists = stored(plain.select("value", "node", "n").join(heavy.select("value", F.col("top.node").alias("pivot"), F.col("top.n").alias("m")), "value"), "pivoted-lists")
     drop_stored(plain)
+    collect_garbage(df.sparkSession)
     near = f"100 * least(n, m) >= {percent} * greatest(n, m)"
     enough = f"overlap >= least({OVERLAP}, ({percent} * greatest(n, m) + 99) div 100)"
 
