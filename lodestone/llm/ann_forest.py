@@ -4,13 +4,14 @@ Each vector has one long string of hash bits per tree, the signs of random proje
 mean of a bounded sample is taken off. A tree is the sorted array of its strings. A query descends in
 every tree to the longest prefix that any string shares with its own; then all trees
 ascend together, one bit at a time, each step widening the ranges in the arrays to the
-strings that share one bit less, until enough candidates are met. Their cosines are
-computed in double precision on the original vectors.
+strings that share one bit less, until enough candidates are met; within the last step, tree after tree. Their cosines are
+computed in double precision on the original vectors, those that decide by correctly rounded sums, so that equal
+vectors tie wherever they stand.
 
 The index is dealt into shards; each shard holds a forest of its own rows. Queries come in blocks,
 and each pair of a block and a shard is a unit of work, which gives the best of its shard for
-each query; the best of all shards follow by an aggregation. The number of
-candidates is a share of the shard (at least CANDIDATES), so recall doesn't depend on the number of rows.
+each query; the best of all shards follow by an aggregation. Of n rows, SPREAD * n ** POWER are enough candidates:
+many trees find neighbours at long prefixes, where few others are met, so the share that is scored falls as n grows.
 
 Equal vectors tie, and only the smallest ids among them can be returned: of each vector the
 ``top`` + 1 smallest ids are kept (one may be the query's own), which loses nothing.
@@ -23,6 +24,7 @@ are not read. An empty table gives an empty table.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,84 +36,131 @@ from pyspark.sql.window import Window
 from .common import stored
 from .embedding_dedup import _matrix, usable
 
-TREES, BITS = 24, 48
-CANDIDATES, SHARE = 512, 0.6
-SHARD, QUERIES = 8192, 2048
+TREES, BITS = 384, 32
+SPREAD, POWER = 2.5, 0.75
+SHARD, QUERIES = 32768, 4096
 #: Rows of which the mean is taken.
 SAMPLE = 4096
+#: Scores this close to a place in the ranking are computed again by correctly rounded sums.
+NEAR = 1e-9
+
+
+def enough_of(n: int) -> int:
+    """Candidates that a query meets at least among n rows."""
+    return min(n, math.ceil(SPREAD * n**POWER))
 
 
 class Forest:
     def __init__(self, vectors: np.ndarray, mean: np.ndarray, trees: int = TREES, bits: int = BITS) -> None:
         self.trees, self.bits, self.mean = trees, bits, mean
-        self.planes = np.random.default_rng([11, vectors.shape[1]]).standard_normal((vectors.shape[1], trees * bits))
+        self.planes = np.random.default_rng([11, vectors.shape[1]]).standard_normal((trees, vectors.shape[1], bits)).astype(np.float32)
         strings = self.strings(vectors)
-        self.order = np.argsort(strings, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(strings, self.order, 0)
+        self.order = np.empty(strings.shape, np.int32)
+        for t in range(trees):
+            self.order[t] = np.argsort(strings[t], kind="stable")
+            strings[t] = strings[t, self.order[t]]
+        self.sorted = strings
 
     def strings(self, vectors: np.ndarray) -> np.ndarray:
-        """One word per tree, its first bit highest."""
-        unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-        signs = ((unit - self.mean) @ self.planes > 0).reshape(len(vectors), self.trees, self.bits)
-        return signs @ (np.int64(1) << np.arange(self.bits - 1, -1, -1, dtype=np.int64))
+        """By tree, one word for each vector, its first bit highest."""
+        unit = (vectors / np.linalg.norm(vectors, axis=1, keepdims=True) - self.mean).astype(np.float32)
+        out = np.empty((self.trees, len(vectors)), np.uint32)
+        for t in range(self.trees):
+            signs = np.packbits(unit @ self.planes[t] > 0, axis=1)
+            out[t] = np.ascontiguousarray(signs).view(">u4")[:, 0]
+        return out
 
     def ranges(self, strings: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each query and tree the range of strings that share ``depth`` bits."""
-        low = (strings >> (self.bits - depth)) << (self.bits - depth)
-        high = low + (np.int64(1) << np.int64(self.bits - depth)) - 1
-        a, b = np.empty_like(low), np.empty_like(low)
+        """For each tree and query the range of strings that share ``depth`` bits."""
+        rest = np.uint64(self.bits - depth)
+        low = (strings.astype(np.uint64) >> rest) << rest
+        high = low + (np.uint64(1) << rest) - np.uint64(1)
+        a, b = np.empty(low.shape, np.int64), np.empty(low.shape, np.int64)
         for t in range(self.trees):
-            a[:, t] = np.searchsorted(self.sorted[:, t], low[:, t], "left")
-            b[:, t] = np.searchsorted(self.sorted[:, t], high[:, t], "right")
+            a[t] = np.searchsorted(self.sorted[t], low[t].astype(np.uint32), "left")
+            b[t] = np.searchsorted(self.sorted[t], high[t].astype(np.uint32), "right")
         return a, b
 
     def descend(self, strings: np.ndarray) -> np.ndarray:
         """Longest prefix that any string of a tree shares with each query's."""
         best = np.zeros(strings.shape, np.int64)
         for t in range(self.trees):
-            at = np.searchsorted(self.sorted[:, t], strings[:, t])
+            at = np.searchsorted(self.sorted[t], strings[t])
             for k in (at - 1, at):
-                near = self.sorted[np.clip(k, 0, len(self.sorted) - 1), t] ^ strings[:, t]
-                shared = self.bits - np.frexp(near.astype(np.float64))[1]
-                best[:, t] = np.maximum(best[:, t], np.where((k >= 0) & (k < len(self.sorted)), shared, 0))
+                apart = self.sorted[t][np.clip(k, 0, self.sorted.shape[1] - 1)] ^ strings[t]
+                shared = self.bits - np.frexp(apart.astype(np.float64))[1]
+                best[t] = np.maximum(best[t], np.where((k >= 0) & (k < self.sorted.shape[1]), shared, 0))
         return best
 
-    def candidates(self, vectors: np.ndarray, enough: int) -> list[np.ndarray]:
+    def candidates(self, vectors: np.ndarray, enough: int) -> Iterator[np.ndarray]:
         """Rows for each query, at least ``enough`` of them if there are so many."""
         strings = self.strings(vectors)
-        depth = self.descend(strings).max(1)
-        enough = min(enough, len(self.order))
-        found: list[np.ndarray] = [np.empty(0, np.int64)] * len(vectors)
-        seen = np.zeros((len(vectors), len(self.order)), bool)
-        count = np.zeros(len(vectors), np.int64)
-        for d in range(int(depth.max()), -1, -1):
-            todo = np.flatnonzero((count < enough) & (depth >= d))
-            if not len(todo):
-                continue
-            a, b = self.ranges(strings[todo], d)
-            for q, first, last in zip(todo.tolist(), a, b, strict=True):
-                row = seen[q]
-                for t in range(self.trees):
-                    row[self.order[first[t] : last[t], t]] = True
-                count[q] = np.count_nonzero(row)
+        depth = self.descend(strings).max(0)
+        n = self.sorted.shape[1]
+        enough = min(enough, n)
+        # Where all trees together hold too few strings, no union can be enough: only the last two steps are looked at.
+        last = np.zeros(len(vectors), np.int64)
+        inner: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for d in range(int(depth.max(initial=0)), -1, -1):
+            inner[d] = self.ranges(strings, d)
+            last = np.where((last == 0) & ((inner[d][1] - inner[d][0]).sum(0) >= enough), d + 1, last)
+            if (last > 0).all():
+                break
+        floor = min(inner, default=0)
+        row = np.zeros(n, bool)
         for q in range(len(vectors)):
-            found[q] = np.flatnonzero(seen[q])
-        return found
+            row[:] = False
+            d = max(int(last[q]) - 1, floor)
+            met = 0
+            if d + 1 in inner:
+                met = self._mark(row, inner[d + 1], q, n)
+            while met < enough:
+                if d not in inner:
+                    inner[d] = self.ranges(strings, d)
+                met = self._mark(row, inner[d], q, enough)
+                if d == 0:
+                    break
+                d -= 1
+            yield np.flatnonzero(row)
+
+    def _mark(self, row: np.ndarray, ranges: tuple[np.ndarray, np.ndarray], q: int, enough: int) -> int:
+        """Marks what the trees' ranges hold, eight trees at a time, until enough is marked."""
+        met = 0
+        for t in range(self.trees):
+            row[self.order[t, ranges[0][t, q] : ranges[1][t, q]]] = True
+            if t % 8 == 7 or t == self.trees - 1:
+                met = int(np.count_nonzero(row))
+                if met >= enough:
+                    break
+        return met
+
+
+def cosine(a: list[float], b: list[float]) -> float:
+    """By correctly rounded sums: the same for the same components, whatever stands around them."""
+    size = math.sqrt(math.fsum(x * x for x in a)) * math.sqrt(math.fsum(x * x for x in b))
+    return math.fsum(x * y for x, y in zip(a, b, strict=True)) / size
 
 
 def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, mean: np.ndarray, top: int) -> tuple[list, list, list]:
     """Best of these rows for each query: (query ids, ids, scores)."""
     forest = Forest(vectors, mean)
-    enough = max(CANDIDATES, int(SHARE * len(ids)))
+    # Scaled, so that squares neither overflow nor vanish.
+    vectors = vectors / np.abs(vectors).max(1, keepdims=True)
     norms = np.linalg.norm(vectors, axis=1)
     out: tuple[list, list, list] = ([], [], [])
-    for q, (query, rows) in enumerate(zip(queries, forest.candidates(queries, enough + top + 1), strict=True)):
+    for q, (query, rows) in enumerate(zip(queries, forest.candidates(queries, enough_of(len(ids)) + top + 1), strict=True)):
         rows = rows[ids[rows] != query_ids[q]]
+        if not len(rows):
+            continue
+        query = query / np.abs(query).max()
         score = vectors[rows] @ query / (norms[rows] * np.linalg.norm(query))
-        best = np.lexsort((ids[rows], -score))[:top]
+        least = np.partition(score, max(len(score) - top, 0))[max(len(score) - top, 0)]
+        close = rows[score >= least - NEAR]
+        exact = np.array([cosine(vectors[i].tolist(), query.tolist()) for i in close])
+        best = np.lexsort((ids[close], -exact))[:top]
         out[0].extend([query_ids[q]] * len(best))
-        out[1].extend(ids[rows[best]])
-        out[2].extend(score[best])
+        out[1].extend(ids[close[best]])
+        out[2].extend(exact[best])
     return out
 
 

@@ -75,3 +75,26 @@ def test_empty_and_repeated(spark):
     assert sorted((r.query_id, r.vec_id) for r in A.nearest(df).collect()) == [(0, 50), (50, 0), (50, 0)]
     assert E.link_vectors(df.limit(0)).count() == 0
     assert A.nearest(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("n", "most"), [(2_000, 0.45), (20_000, 0.25)])
+def test_recall_while_a_share_is_scored(n, most):
+    """Vectors without structure, the hardest case: nothing is near. The whole forest prunes, no shard is scanned."""
+    r = np.random.default_rng(6)
+    rows = r.standard_normal((n, 64))
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    asked = rows[::50][:100]
+    forest = A.Forest(rows, rows.mean(0))
+    found = list(forest.candidates(asked, A.enough_of(n)))
+    cosines = asked @ rows.T
+    cosines[np.arange(len(asked)), np.arange(len(asked)) * 50] = -2
+    best = np.argsort(-cosines, 1)[:, :5]
+    assert np.mean([np.isin(b, f).mean() for b, f in zip(best, found, strict=True)]) >= 0.9
+    assert np.mean([len(f) / n for f in found]) <= most
+
+
+def test_equal_vectors_tie_wherever_they_stand(spark):
+    v = [0.1, 0.7, -0.3, 0.2]
+    rows = [(i, v if i % 3 else [0.1, 0.69, -0.31, 0.2], 0, "") for i in range(1, 40)] + [(0, [0.1, 0.7, -0.3, 0.21], 0, "")]
+    got = sorted((r["rank"], r.vec_id) for r in A.nearest(spark.createDataFrame(rows, SCHEMA), every=50, top=5).collect())
+    assert got == [(1, 1), (2, 2), (3, 4), (4, 5), (5, 7)]
