@@ -13,7 +13,8 @@ with manifests is read by them, so files of lost tasks are never seen.
 Paths are URIs of any file system that pyarrow reaches, or local paths.
 
 Edge cases: a null payload is empty. Missing headers are null. A record cut off by the end of a file is an error. An empty
-folder gives no rows; null ids get a random one.
+folder gives no rows; null ids get a random one. Repeated rows are records of their own. Payloads of any length are read in pieces and
+given whole. Of pages, only id, address and html are read, so other columns may have any names; an empty table of pages gives no records.
 """
 
 from __future__ import annotations
@@ -28,11 +29,13 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from .common import stored
+
 #: Columns that come from headers, by name of the header (fixed values of the format).
 HEADERS = {
     "record_type": "warc-type",
@@ -45,7 +48,7 @@ HEADERS = {
 }
 SCHEMA = ", ".join([*(f"{c} string" for c in HEADERS), "content_length long, headers map<string,string>, payload binary, file string, offset long"])
 #: Bytes of a partition, and of a file after which a writer starts another.
-PARTITION, FILE = 64 << 20, 512 << 20
+PARTITION, FILE = 64 << 20, 64 << 20
 CHUNK = 1 << 18
 
 
@@ -110,7 +113,7 @@ class _Member:
     """One record in a gzip member of its own."""
 
     def __init__(self, source: _Source) -> None:
-        self.source, self.inflate, self.out = source, zlib.decompressobj(31), b""
+        self.source, self.inflate, self.out = source, zlib.decompressobj(31), bytearray()
         self.length = self._stated()
         self.used = 0
 
@@ -146,14 +149,15 @@ class _Member:
             if not self.more():
                 return None
         n = self.out.index(b"\r\n\r\n") + 4
-        head, self.out = self.out[:n], self.out[n:]
+        head = bytes(self.out[:n])
+        del self.out[:n]
         return head
 
     def body(self, n: int) -> bytes:
         while len(self.out) < n:
             if not self.more():
                 raise ValueError("a member is shorter than its record")
-        got = self.out[:n]
+        got = bytes(memoryview(self.out)[:n])
         self.leave(n)
         return got
 
@@ -163,7 +167,7 @@ class _Member:
             self.inflate = zlib.decompressobj()
             return
         while self.more():
-            self.out = b""
+            self.out.clear()
 
 
 def parse_headers(head: bytes) -> dict[str, str]:
@@ -408,6 +412,8 @@ def write_pages(pages: DataFrame, path: str, least_bytes: int = 0, page_id: str
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
     rows = pages.select(F.col(page_id).cast("long").alias("page"), F.col(url).alias("target_uri"), payload.alias("payload"), F.unhex(F.sha1(payload)).alias("payload_sha1"))
     first = rows.where(F.octet_length("payload") >= least_bytes).groupBy("payload_sha1").agg(F.min("page").alias("first"))
+    # Stored, so that the join deals both sides anew, and the rows of one payload, such as all null pages, can be split.
+    first = stored(first, "first-pages")
     joined = rows.join(first, "payload_sha1", "left")
     again = F.col("first").isNotNull() & ~F.col("page").eqNullSafe(F.col("first"))
     joined.select(
@@ -433,5 +439,11 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
         bare.alias("payload_digest"),
         "record_type",
         number("refers_to").alias("refers_to"),
-        F.when(F.col("record_type") == "response", (F.octet_length("payload") == stated)).alias("intact"),
+        F.when(F.col("record_type") == "response", (F.octet_length("payload") == stated) & (base32(F.sha1("payload")) == bare)).alias("intact"),
     )
+
+
+def base32(digest: Column) -> Column:
+    """A hexadecimal digest of whole groups of five digits in base 32: upper case, no padding."""
+    groups = [F.lpad(F.conv(F.substring(digest, 5 * k + 1, 5), 16, 32), 4, "0") for k in range(8)]
+    return F.translate(F.concat(*groups), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
