@@ -16,7 +16,8 @@ Tokens are words ``[^\\x20\\x09-\\x0D]+``. Edge cases: a null or blank text has
 rides along wherever its place in the order is within the prefix, and in each full epoch;
 a leaf without tokens gives nothing. Null languages and sources are nodes named "none";
 a null id hashes as the empty string. Ties of the hash are ordered by id, tokens and text.
-Repeated rows count each. Extra columns pass through; an empty table gives an empty table.
+Texts of any length count whole. Repeated rows count each. Extra columns of any names pass through, but for ``domain``, ``n_tokens`` and
+``epoch``, which the result's own replace; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpointed, stored
+from .common import checkpointed, join_table, stored
 
 LEVELS = ("_domain", "_lang", "_source")
 
@@ -102,38 +103,41 @@ def leaf_budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     return leaves.select(*LEVELS, "tokens").join(shares, list(LEVELS))
 
 
-def _order_hash(mix: Mix, doc_id: str) -> Column:
-    return F.md5(F.concat(F.lit(f"{mix.seed}:"), F.col("_full").cast("string"), F.lit(":"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).cast("binary"))
+def _order_hash(mix: Mix) -> Column:
+    return F.md5(F.concat(F.lit(f"{mix.seed}:"), F.col("_full").cast("string"), F.lit(":"), F.col("_id")).cast("binary"))
 
 
 def mix_sources(df: DataFrame, mix: Mix = Mix(), doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """Rows of ``df``, one for each epoch that selects them, with ``domain``, ``n_tokens`` and ``epoch``."""
     keep = [c for c in df.columns if c not in ("domain", "n_tokens", "epoch")]
+    # The input's columns travel in a struct, so their names clash with nothing.
     rows = df.select(
-        *keep,
+        F.struct(*keep).alias("_row"),
+        F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("_id"),
         domain_of(source, mix.domains).alias("_domain"),
         F.coalesce(F.col(lang), F.lit("none")).alias("_lang"),
         F.coalesce(F.col(source), F.lit("none")).alias("_source"),
-        word_count(text).alias("n_tokens"),
+        word_count(text).alias("_tokens"),
     )
-    slim = checkpointed(rows.select(F.col(doc_id).alias("_id"), *LEVELS, "n_tokens"))
-    leaves = slim.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"))
+    slim = checkpointed(rows.select("_id", *LEVELS, "_tokens"))
+    leaves = slim.groupBy(*LEVELS).agg(F.sum("_tokens").alias("tokens"))
     plan = leaf_budgets(leaves, mix).where("tokens > 0").selectExpr(*LEVELS, "cast(budget div tokens as int) as _full", "budget % tokens as _left")
     plan = stored(plan, "leaf-shares")
+    spread = F.xxhash64("_id", "_tokens")
     ranges = (
-        slim.join(plan, list(LEVELS))
+        join_table(slim, plan, list(LEVELS), spread)
         .where("_left > 0")
-        .groupBy(*LEVELS, "_left", F.substring(_order_hash(mix, "_id"), 1, 3).alias("_range"))
-        .agg(F.sum("n_tokens").alias("_sum"))
+        .groupBy(*LEVELS, "_left", F.substring(_order_hash(mix), 1, 3).alias("_range"))
+        .agg(F.sum("_tokens").alias("_sum"))
         .withColumn("_upto", F.sum("_sum").over(Window.partitionBy(*LEVELS).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)))
     )
     # The range in which the prefix ends: the first whose running sum is over the budget. It exists, as _left < tokens.
     ends = ranges.where("_upto > _left").groupBy(*LEVELS).agg(F.min(F.struct("_range", (F.col("_upto") - F.col("_sum")).alias("_before"))).alias("_end"))
     plan = stored(plan.join(ends, list(LEVELS), "left").select(*LEVELS, "_full", "_left", F.col("_end._range").alias("_range"), F.col("_end._before").alias("_before")), "leaf-plan")
-    placed = rows.join(plan, list(LEVELS)).withColumn("_hash", _order_hash(mix, doc_id))
+    placed = join_table(rows, plan, list(LEVELS), spread).withColumn("_hash", _order_hash(mix))
     place = F.substring("_hash", 1, 3)
-    tied = Window.partitionBy(*LEVELS).orderBy("_hash", F.col(doc_id), "n_tokens", F.col(text)).rowsBetween(Window.unboundedPreceding, 0)
-    last = placed.where(place == F.col("_range")).withColumn("_in", F.col("_before") + F.sum("n_tokens").over(tied) <= F.col("_left"))
+    tied = Window.partitionBy(*LEVELS).orderBy("_hash", F.col("_row").getField(doc_id), "_tokens", F.col("_row").getField(text)).rowsBetween(Window.unboundedPreceding, 0)
+    last = placed.where(place == F.col("_range")).withColumn("_in", F.col("_before") + F.sum("_tokens").over(tied) <= F.col("_left"))
     sure = placed.where(F.col("_range").isNull() | (place != F.col("_range"))).withColumn("_in", F.coalesce(place < F.col("_range"), F.lit(False)))
     epochs = F.expr("if(_full + if(_in, 1, 0) > 0, sequence(0, _full + if(_in, 1, 0) - 1), cast(array() as array<int>))")
-    return sure.unionByName(last).select(*keep, F.col("_domain").alias("domain"), "n_tokens", F.explode(epochs).alias("epoch"))
+    return sure.unionByName(last).select("_row.*", F.col("_domain").alias("domain"), F.col("_tokens").alias("n_tokens"), F.explode(epochs).alias("epoch"))
