@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 from functools import wraps
@@ -28,10 +29,13 @@ def prepare(spark: SparkSession) -> None:
 
 
 def rest(spark: SparkSession) -> None:
-    """Has executors collect garbage, as buffers outside the heap are freed and the heap shrinks only then.
+    """Has the driver and executors collect garbage, as buffers outside the heap are freed and the heap shrinks only then.
 
     Some small tasks for each core, so that nearly all executors get one; nothing depends on it.
     """
+    gc.collect()
+    release()
+    spark.sparkContext._jvm.System.gc()
     tasks = 4 * spark.sparkContext.defaultParallelism
     collects = F.java_method(F.lit("java.lang.System"), F.lit("gc"))
     spark.range(0, tasks, 1, tasks).where(collects.isNull()).count()
