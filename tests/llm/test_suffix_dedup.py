@@ -57,3 +57,21 @@ def test_repeated_rows_and_empty_table(spark):
     got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in S.remove_repeats(df, 40).collect())
     assert got == [(0, 0, 0), (1, 61, 61), (1, 61, 61)]
     assert S.remove_repeats(df.limit(0), 40).count() == 0
+
+
+@pytest.mark.parametrize(("length", "words"), [(400, 50), (400, 65), (400, 80), (250, 55)])
+def test_planted_passages_over_many_documents(spark, monkeypatch, length, words):
+    """Passages of 50 to 80 words in many documents, crowded anchors: as brute force has it at either length."""
+    monkeypatch.setattr(S, "GROUP", 8)
+    r = random.Random(words)
+    vocabulary = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9))) for _ in range(400)]
+    prose = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    planted = [prose(words) for _ in range(4)]
+    texts = [f"{prose(r.randint(5, 60))} {planted[i % 4] if i % 5 else ''} {prose(r.randint(5, 60))}" for i in range(110)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(31)
+    got = {x.doc_id: (x.n_removed, x.n_spans, bytes(x.kept)) for x in S.remove_repeats(df, length).collect()}
+    for i, expected in enumerate(brute(texts, length)):
+        assert got[i] == expected, i
+    caught = [i % 5 != 0 and got[i][0] > 0 for i in range(len(texts))]
+    long = [len(p) >= length for p in planted]
+    assert all(c for i, c in enumerate(caught) if i % 5 and long[i % 4])
