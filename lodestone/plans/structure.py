@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import audit, corpus, lexical, lifecycle, lineage, trails
 from ..sources import directory, jsonl
 from . import search as S
-from .sql import ITEMS, SEGMENTS, with_
+from .sql import INDEX, ITEMS, SEGMENTS, with_
 
 QUERIES: dict[str, tuple] = {}
 
@@ -193,9 +193,8 @@ def src11_vector_import(spark, d):
     return got.select(F.col("segment_id").cast("long").alias("vec_id"), F.col("space.dimensions").alias("dimensions"), F.round(F.aggregate("values", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
-@query("SELECT count(*) AS n_rows FROM documents")
+@query(with_(INDEX, "SELECT doc_id, segment_id, n_tokens FROM segs JOIN lens USING (segment_id)"))
 def i9_current_passages(spark, d):
-    """Active items meet their segments and the index: as many items as documents."""
+    """Active items meet their segments, and these the index."""
     segments = S.segments_of(table(spark, d, "documents"))
-    n = lexical.lengths(segments)
-    return segments.join(n, "segment_id").select("doc_id").distinct().agg(F.count("*").alias("n_rows"))
+    return segments.join(lexical.lengths(segments), "segment_id").select("doc_id", "segment_id", "n_tokens")

@@ -54,10 +54,13 @@ def x2_fixed_segments(spark, d):
     return _segments(spark, d).select("doc_id", F.col("ordinal").cast("int").alias("ordinal"), "start", "stop", "content_sha256", "segment_id")
 
 
-@query("SELECT doc_id, source FROM documents WHERE false")
+# Faults are planted: ends of every seventh document's segments, digests of every fifth's.
+@query(with_(SEGMENTS, "SELECT doc_id, segment_id FROM segs WHERE doc_id % 7 = 0 OR doc_id % 5 = 0"))
 def p16_coordinate_violations(spark, d):
-    segments = _segments(spark, d)
-    return segments.where(~corpus.coordinates_hold(segments)).select("doc_id", "source")
+    stop = F.when(F.col("doc_id") % 7 == 0, F.col("stop") + 1).otherwise(F.col("stop"))
+    digest = F.when(F.col("doc_id") % 5 == 0, F.sha2(F.lit(""), 256)).otherwise(F.col("content_sha256"))
+    segments = _segments(spark, d).withColumns({"stop": stop, "content_sha256": digest})
+    return segments.where(~corpus.coordinates_hold(segments)).select("doc_id", "segment_id")
 
 
 @query()
