@@ -39,9 +39,11 @@ def a3_current_access(spark, d):
     return policy.current_access(_access(spark, d))
 
 
-@query(f"WITH {ACCESS_SQL} SELECT source_id, seq, time, before FROM (SELECT *, lag(time) OVER (PARTITION BY source_id ORDER BY seq) AS before FROM access_events) WHERE time <= before")
+# Every seventh event's clock is planted to be a year behind.
+@query(f"WITH {ACCESS_SQL}, late AS (SELECT source_id, seq, CASE WHEN seq % 7 = 0 THEN time - 31536000000000 ELSE time END AS time FROM access_events) SELECT source_id, seq, time, before FROM (SELECT *, lag(time) OVER (PARTITION BY source_id ORDER BY seq) AS before FROM late) WHERE time <= before")
 def w8_time_violations(spark, d):
-    return policy.time_violations(_access(spark, d)).select("source_id", "seq", "time", "before")
+    late = F.when(F.col("seq") % 7 == 0, F.col("time") - 31536000000000).otherwise(F.col("time"))
+    return policy.time_violations(_access(spark, d).withColumn("time", late)).select("source_id", "seq", "time", "before")
 
 
 @query(f"WITH {ACCESS_SQL} SELECT source_id, seq, greatest(time, coalesce(lag(time) OVER (PARTITION BY source_id ORDER BY seq) + 1, time)) AS next_time FROM access_events")
