@@ -1,11 +1,13 @@
 """A store of items on Parquet tables, with the calls of an evidence service: sync, query, trail, access, audit.
 
 Tables are immutable snapshots: each change writes new folders and then a new manifest, so a reader sees a
-whole state or the one before. One writer at a time.
+whole state or the one before. One writer at a time. Tables by source lie in buckets of sources, and a sync writes
+its source's bucket only; logs grow by parts, which are merged by the dozen as they become many.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import time
 import uuid
@@ -27,6 +29,10 @@ SCHEMAS = {
     "trails": "trail_id string, source string, mode string, query string, outcome string, budget long, used long, packet_id string, candidates array<struct<segment_id:string,content_sha256:string,rank:bigint,bytes:bigint,selected:boolean,omission:string>>",
 }
 SEGMENTATION = ("fixed", "passage")
+#: Tables dealt by source, by the first byte of its digest.
+BUCKETED = ("items", "segments")
+#: Parts of a log that become one.
+MERGED = 12
 
 
 class Store:
@@ -43,26 +49,54 @@ class Store:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifests")
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
-    def _manifest(self) -> dict[str, str]:
+    def _manifest(self) -> dict[str, list[dict]]:
+        """Parts by table: place, bucket (null: not dealt), and how many parts of a log it was made of."""
         fs, path = self._fs()
         if not fs.exists(path):
             return {}
         last = max((n for s in fs.listStatus(path) if (n := s.getPath().getName()).endswith(".json")), default=None)
         return json.loads(self.spark.read.text(f"{path}/{last}", wholetext=True).first()[0]) if last else {}
 
+    def _read(self, name: str, parts: list[dict]) -> DataFrame:
+        return self.spark.read.schema(SCHEMAS[name]).parquet(*[f"{self.root}/{p['place']}" for p in parts]) if parts else self.spark.createDataFrame([], SCHEMAS[name])
+
     def table(self, name: str) -> DataFrame:
-        place = self._manifest().get(name)
-        return self.spark.createDataFrame([], SCHEMAS[name]) if place is None else self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{place}")
-
-    def _replace(self, **tables: DataFrame) -> None:
-        """New snapshots of tables, visible all at once."""
-        places = {}
-        for name, df in tables.items():
-            places[name] = f"{name}/{uuid.uuid4().hex}"
-            df.select(*self.spark.createDataFrame([], SCHEMAS[name]).columns).write.parquet(f"{self.root}/{places[name]}")
-        self._publish(self.root, self._manifest() | places)
-
-    def _publish(self, root: str, places: dict[str, str]) -> None:
+        return self._read(name, self._manifest().get(name, []))
+
+    def _bucket(self, name: str, source: str) -> DataFrame:
+        """The rows of a dealt table that share the source's bucket, its own among them."""
+        bucket = _bucket_of(source)
+        return self._read(name, [p for p in self._manifest().get(name, []) if p["bucket"] == bucket])
+
+    def _written(self, root: str, name: str, df: DataFrame) -> list[dict]:
+        place = f"{name}/{uuid.uuid4().hex}"
+        df = df.select(*self.spark.createDataFrame([], SCHEMAS[name]).columns)
+        if name not in BUCKETED:
+            df.write.parquet(f"{root}/{place}")
+            return [{"place": place, "bucket": None, "weight": 1}]
+        df.withColumn("bucket", F.substring(F.sha2(F.col("source").cast("binary"), 256), 1, 2)).write.partitionBy("bucket").parquet(f"{root}/{place}")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{place}")
+        found = sorted(s.getPath().getName() for s in path.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(path) if s.isDirectory())
+        return [{"place": f"{place}/{n}", "bucket": n.removeprefix("bucket="), "weight": 1} for n in found if n.startswith("bucket=")]
+
+    def _replace(self, source: str | None = None, logs: dict[str, DataFrame] | None = None, **tables: DataFrame) -> None:
+        """New snapshots of tables, or of the source's bucket of them, and rows of logs, visible all at once."""
+        before = self._manifest()
+        bucket = source and _bucket_of(source)
+        stay = {name: [p for p in before.get(name, []) if bucket and p["bucket"] != bucket] for name in tables}
+        made = {name: stay[name] + self._written(self.root, name, df) for name, df in tables.items()}
+        self._publish(self.root, before | made | {name: self._grown(name, df) for name, df in (logs or {}).items()})
+
+    def _grown(self, name: str, df: DataFrame) -> list[dict]:
+        """Parts of a log with further rows. MERGED parts of equal weight become one, so a row is written again a logarithm of times."""
+        parts = self._manifest().get(name, []) + self._written(self.root, name, df)
+        while len(parts) >= MERGED and len({p["weight"] for p in parts[-MERGED:]}) == 1:
+            last = parts[-MERGED:]
+            merged = self._written(self.root, name, self._read(name, last).coalesce(MERGED))
+            parts = parts[:-MERGED] + [p | {"weight": sum(x["weight"] for x in last)} for p in merged]
+        return parts
+
+    def _publish(self, root: str, places: dict[str, list[dict]]) -> None:
         """Written under another name first: a manifest is there whole or not at all."""
         name = f"{root}/manifests/{time.time_ns():020d}.json"
         path = self.spark._jvm.org.apache.hadoop.fs.Path
@@ -74,17 +108,26 @@ class Store:
 
     # Sync.
 
-    def sync_snapshot(self, source: str, listing: DataFrame) -> DataFrame:
+    def sync_snapshot(self, source: str, listing: DataFrame, resume: str | None = None) -> DataFrame:
         """listing: item, text. Items that it lacks are deleted. Gives item, action."""
-        return self._sync(source, listing.select("item", "text", F.lit(False).alias("deleted")), snapshot=True)
+        return self._sync(source, listing.select("item", "text", F.lit(False).alias("deleted")), True, resume)
 
-    def sync_changes(self, source: str, changes: DataFrame) -> DataFrame:
+    def sync_changes(self, source: str, changes: DataFrame, resume: str | None = None) -> DataFrame:
         """changes: item, text, deleted. Items that they lack stay."""
-        return self._sync(source, changes.select("item", "text", "deleted"), snapshot=False)
-
-    def _sync(self, source: str, given: DataFrame, snapshot: bool) -> DataFrame:
+        return self._sync(source, changes.select("item", "text", "deleted"), False, resume)
+
+    def _state(self, source: str):
+        """The source's last state, or None."""
+        return self.table("states").where(F.col("source") == source).orderBy(F.desc("seq")).limit(1).first()
+
+    def _sync(self, source: str, given: DataFrame, snapshot: bool, resume: str | None) -> DataFrame:
+        """A withdrawn source comes back only by a sync that names its current withdrawal; any other name is an error."""
+        state = self._state(source)
+        withdrawal = state.withdrawal if state and state.state == "withdrawn" else None
+        if resume != withdrawal:
+            raise ValueError(f"the source is withdrawn by {withdrawal!r}, the sync resumes {resume!r}" if withdrawal else "the sync resumes a source that isn't withdrawn")
         given = given.withColumn("source", F.lit(source)).withColumn("digest", I.content_digest(F.coalesce("text", F.lit(""))))
-        current, states = self.table("items"), self.table("states")
+        current = self._bucket("items", source)
         mine = current.where(F.col("source") == source)
         decide = lifecycle.snapshot_actions if snapshot else lifecycle.changelog_actions
         actions = decide(mine, given.drop("deleted") if snapshot else given)
@@ -93,14 +136,17 @@ class Store:
         gone = mine.join(actions.where("action = 'deleted'"), ["source", "item"], "left_semi").withColumn("active", F.lit(False))
         touched = actions.where(F.col("action").isin("added", "updated", "restored", "deleted"))
         items = current.join(touched.select("source", "item"), ["source", "item"], "left_anti").unionByName(new).unionByName(gone)
-        segments = self.table("segments").join(touched.select("source", "item"), ["source", "item"], "left_anti").unionByName(self._segmented(new))
-        seq = states.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0] + 1
-        active = self.spark.createDataFrame([(source, seq, "active", None)], SCHEMAS["states"])
+        segments = self._bucket("segments", source).join(touched.select("source", "item"), ["source", "item"], "left_anti").unionByName(self._segmented(new))
         # Before the tables that they derive from are replaced.
         actions.select("item", "action").write.parquet(place := f"{self.root}/reports/{uuid.uuid4().hex}")
-        self._replace(items=items, segments=segments, states=states.unionByName(active))
+        states = {} if state and state.state == "active" else {"states": self._next_state(source, "active", None)}
+        self._replace(source, **{"items": items, "segments": segments}, logs=states)
         return self.spark.read.parquet(place)
 
+    def _next_state(self, source: str, state: str, withdrawal: str | None) -> DataFrame:
+        seq = self.table("states").agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0] + 1
+        return self.spark.createDataFrame([(source, seq, state, withdrawal)], SCHEMAS["states"])
+
     def _segmented(self, items: DataFrame) -> DataFrame:
         named = items.select("source", "item", X.normalized(F.coalesce("text", F.lit(""))).alias("body"), "digest")
         named = named.withColumn("_source", I.source_id("store", F.col("source")))
@@ -134,13 +180,19 @@ class Store:
         if mine and (only_if_unset or mine.access == access):
             return False
         at = max(now if now is not None else time.time_ns() // 1000, mine.time + 1 if mine else 0)
-        self._replace(access=log.unionByName(self.spark.createDataFrame([(source, last + 1, at, access, actor)], SCHEMAS["access"])))
+        self._replace(logs={"access": self.spark.createDataFrame([(source, last + 1, at, access, actor)], SCHEMAS["access"])})
         return True
 
     def withdraw(self, source: str, withdrawal: str) -> None:
-        states = self.table("states")
-        seq = states.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0] + 1
-        self._replace(states=states.unionByName(self.spark.createDataFrame([(source, seq, "withdrawn", withdrawal)], SCHEMAS["states"])))
+        """Nothing changes if that withdrawal is current; another one of a withdrawn source is an error."""
+        if not withdrawal:
+            raise ValueError("a withdrawal has a name")
+        state = self._state(source)
+        if state and state.state == "withdrawn":
+            if state.withdrawal != withdrawal:
+                raise ValueError(f"the source is withdrawn by {state.withdrawal!r}")
+            return
+        self._replace(logs={"states": self._next_state(source, "withdrawn", withdrawal)})
 
     def decision(self, source: str) -> tuple[str, list[str]]:
         """outcome and reasons."""
@@ -152,8 +204,7 @@ class Store:
 
     def query(self, source: str, text: str, budget: int = 8192, limit: int = 100, exact: bool = False) -> DataFrame:
         """rank, segment_id, item, start, stop, text, score, selected, omission; a trail is recorded."""
-        if not 0 < len(text.encode()) <= 4096 or "\0" in text or not 1 <= limit <= 100:
-            raise ValueError("a query has 1 to 4096 bytes without NUL, the limit is 1 to 100")
+        _check_query(text, limit)
         segments = self.table("segments")
         asked = self.spark.createDataFrame([(0, text)], "query_id long, text string")
         terms = asked.select("query_id", X.capped_terms(X.query_terms(F.col("text"))).alias("terms"))
@@ -184,9 +235,11 @@ class Store:
         return vectors.exact_neighbours(mine, asked, key="segment_id")
 
     def vector_query(self, source: str, space: str, values: list[float], budget: int = 8192, limit: int = 100, exact: bool = False) -> DataFrame:
+        _check_query(None, limit)
         return self._answer(source, "vector", json.dumps(values), self._near(source, space, values).where(F.col("rank") <= limit), budget, exact)
 
     def hybrid_query(self, source: str, space: str, text: str, values: list[float], budget: int = 8192, limit: int = 100, exact: bool = False) -> DataFrame:
+        _check_query(text, limit)
         segments = self.table("segments")
         terms = self.spark.createDataFrame([(0, text)], "query_id long, text string").select("query_id", X.capped_terms(X.query_terms(F.col("text"))).alias("terms"))
         scored = lexical.scores(terms, *index_of(segments))
@@ -227,13 +280,21 @@ class Store:
             I.packet_id(F.lit(budget), F.col("used"), F.col("k")).alias("packet_id"),
             F.transform("c", lambda c: F.struct(c["segment_id"].alias("segment_id"), c["content_sha256"].alias("content_sha256"), c["rank"].alias("rank"), c["bytes"].alias("bytes"), c["selected"].alias("selected"), c["omission"].alias("omission"))).alias("candidates"),
         )
-        named = trail.withColumn("trail_id", I.tuple_hash(I.tag("trail"), F.lit(uuid.uuid4().hex), F.col("source"), F.col("mode"), F.col("query"), F.col("outcome"), I.u64(F.col("budget")), F.col("packet_id")))
-        self._replace(trails=self.table("trails").unionByName(named.select(*self.table("trails").columns)))
+        # Ids are of content: the same answer to the same request is the same trail, however often it is recorded.
+        request = I.tuple_hash(I.tag("request"), F.col("source"), F.col("mode"), F.col("query"))
+        decision = I.tuple_hash(I.tag("decision"), I.raw(request), F.lit(outcome), *[F.lit(r) for r in reasons])
+        shown = F.transform("candidates", lambda c: F.struct(*[c[n].alias(n) for n in ("segment_id", "content_sha256", "rank", "bytes", "selected")], F.lit("accepted").alias("disposition"), F.array_compact(F.array(c["omission"])).alias("reasons")))
+        named = trail.withColumn("trail_id", trails.trail_id(I.tag("trail"), request, decision, F.col("outcome"), F.col("query"), F.col("budget"), F.col("used"), F.col("packet_id"), shown))
+        self._replace(logs={"trails": named})
+
+    def trails(self) -> DataFrame:
+        """Recorded trails, each once."""
+        return self.table("trails").dropDuplicates(["trail_id"])
 
     def trail(self, source: str, trail_id: str) -> DataFrame:
         """Candidates of a trail of the source with whether they are still indexed; nothing at all if the source is denied."""
         allowed = self.decision(source)[0] == "allow"
-        mine = self.table("trails").where((F.col("source") == source) & (F.col("trail_id") == trail_id) & F.lit(allowed))
+        mine = self.trails().where((F.col("source") == source) & (F.col("trail_id") == trail_id) & F.lit(allowed))
         return trails.indexed_now(trails.exploded(mine), self.table("segments"))
 
     # Evaluation and audit.
@@ -257,14 +318,25 @@ class Store:
                 "access_times": policy.time_violations(self.table("access"), source="source"),
                 "access_log": audit.sequence_gaps(self.table("access")),
                 "state_log": audit.sequence_gaps(self.table("states")),
-                "trail_ranks": audit.consecutive_rank_violations(trails.exploded(self.table("trails")), "trail_id"),
+                "trail_ranks": audit.consecutive_rank_violations(trails.exploded(self.trails()), "trail_id"),
             }
         )
 
     def backup(self, destination: str) -> None:
         """A copy of the present snapshot, refused if the destination exists, verified by reading it."""
-        for name in SCHEMAS:
-            self.table(name).write.mode("errorifexists").parquet(f"{destination}/{name}/backup")
-        self._publish(destination.rstrip("/"), {n: f"{n}/backup" for n in SCHEMAS})
+        destination = destination.rstrip("/")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(destination)
+        if path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            raise ValueError("the destination exists")
+        self._publish(destination, {name: self._written(destination, name, self._read(name, parts)) for name, parts in self._manifest().items()})
         if not Store(self.spark, destination, self.segmentation).audit().where("n_rows > 0").isEmpty():
             raise ValueError("the copy fails its audit")
+
+
+def _bucket_of(source: str) -> str:
+    return hashlib.sha256(source.encode()).hexdigest()[:2]
+
+
+def _check_query(text: str | None, limit: int) -> None:
+    if (text is not None and (not 0 < len(text.encode()) <= 4096 or "\0" in text)) or not 1 <= limit <= 100:
+        raise ValueError("a query has 1 to 4096 bytes without NUL, the limit is 1 to 100")

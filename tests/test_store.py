@@ -35,6 +35,8 @@ def test_a_life(spark, store, tmp_path):
     assert store.decision("s") == ("deny", ["withdrawn"])
     assert store.trail("s", kept.trail_id).count() == 0
     store.backup(str(tmp_path / "copy"))
+    with pytest.raises(ValueError, match="exists"):
+        store.backup(str(tmp_path / "copy"))
     assert Store(spark, str(tmp_path / "copy"), store.segmentation).table("items").count() == 4
 
 
@@ -56,6 +58,44 @@ def test_vectors(spark, store):
     assert best.text == "five"
 
 
+def test_a_withdrawn_source_stays_so(spark, store):
+    one = listing(spark, a="one two")
+    with pytest.raises(ValueError, match="isn't withdrawn"):
+        store.sync_snapshot("s", one, resume="w1")
+    store.sync_snapshot("s", one)
+    store.sync_snapshot("t", listing(spark, a="three"))
+    store.withdraw("s", "w1")
+    store.withdraw("s", "w1")
+    for other in (None, "w2"):
+        with pytest.raises(ValueError, match="withdrawn by 'w1'"):
+            store.sync_snapshot("s", one, resume=other)
+    with pytest.raises(ValueError, match="withdrawn by 'w1'"):
+        store.withdraw("s", "w2")
+    store.sync_snapshot("s", one, resume="w1")
+    assert [(r.source, r.state) for r in store.table("states").orderBy("seq").collect()] == [("s", "active"), ("t", "active"), ("s", "withdrawn"), ("s", "active")]
+    assert store.table("items").count() == 2
+    assert store.audit().where("n_rows > 0").count() == 0
+
+
+def test_logs_grow_by_parts(spark, store, monkeypatch):
+    monkeypatch.setattr("lodestone.store.MERGED", 3)
+    for i in range(7):
+        assert store.set_access("s", ("allow", "deny")[i % 2], "me", now=i)
+    assert [p["weight"] for p in store._manifest()["access"]] == [3, 3, 1]
+    assert sorted(r.seq for r in store.table("access").collect()) == list(range(1, 8))
+
+
+def test_equal_trails_have_one_id(spark, store):
+    store.sync_snapshot("s", listing(spark, a="one two"))
+    store.set_access("s", "allow", "me")
+    for text in ("one", "one", "two"):
+        store.query("s", text)
+    assert (store.table("trails").count(), store.trails().count()) == (3, 2)
+    for bad in ("", "a\0", "a" * 4097):
+        with pytest.raises(ValueError, match="4096"):
+            store.hybrid_query("s", "v", bad, [1.0])
+
+
 def test_an_audit_sees_tampering(spark, store):
     store.sync_snapshot("s", listing(spark, a="one two", b="three"))
     store._replace(segments=store.table("segments").withColumn("text", F.upper("text")))
