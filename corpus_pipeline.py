@@ -1,7 +1,7 @@
 """From raw documents to token ids: five stages, each over all that the one before kept.
 
 Rows without a counterpart in SQL (language model, sketches, repeated strings, tokenizer)
-make ORACLE_SQL impossible. Their operators have tests of their own; no test runs the stages.
+make ORACLE_SQL impossible; tests hold the stages against plain versions on a small table.
 """
 
 from __future__ import annotations
