@@ -88,6 +88,41 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).drop("text")
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .importance import resample
+
+    return resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+# The CRC goes byte by byte through a table made in SQL, once for each distinct feature.
+OP11_SQL = """
+WITH RECURSIVE step(i, k, c) AS (
+  SELECT CAST(range AS BIGINT), 0, CAST(range AS BIGINT) FROM range(256)
+  UNION ALL
+  SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM step WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY i) AS t FROM step WHERE k = 8),
+texts AS (SELECT 'd' AS side, row_number() OVER () AS r, doc_id, text FROM documents UNION ALL SELECT 'b', row_number() OVER (), NULL, text FROM benchmark),
+cut AS (SELECT side, r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+spread AS (SELECT side, r, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM cut),
+runs AS (SELECT side, r, w, lead(w, 1) OVER a AS w2, lead(w, 2) OVER a AS w3 FROM spread WINDOW a AS (PARTITION BY side, r ORDER BY i)),
+grams AS (SELECT side, r, unnest([w, w || ' ' || w2, w || ' ' || w2 || ' ' || w3]) AS f FROM runs),
+hashed AS (
+  SELECT f, xor(list_reduce(list_transform(range(1, octet_length(encode(f)) + 1), lambda i: CAST(('0x' || substr(hex(encode(f)), 2 * i - 1, 2)) AS BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT f FROM grams WHERE f IS NOT NULL), crc_table),
+found AS (SELECT side, r, bucket, count(*) AS n FROM grams JOIN hashed USING (f) GROUP BY ALL),
+sums AS (SELECT bucket, coalesce(sum(n) FILTER (side = 'd'), 0) AS s, coalesce(sum(n) FILTER (side = 'b'), 0) AS t FROM found GROUP BY bucket),
+every AS (SELECT coalesce(sum(s), 0) AS all_s, coalesce(sum(t), 0) AS all_t FROM sums),
+gains AS (SELECT bucket, floor(1000 * ln((CAST(t AS DOUBLE) + 1) * (CAST(all_s AS DOUBLE) + 10000) / ((CAST(s AS DOUBLE) + 1) * (CAST(all_t AS DOUBLE) + 10000)))) AS gain FROM sums, every),
+weights AS (SELECT r, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS weight FROM found JOIN gains USING (bucket) WHERE side = 'd' GROUP BY r),
+scored AS (
+  SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, len(w) >= 20 AS may,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST(('0x' || substr(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8)) AS BIGINT) + 0.5) / 4294967296))) AS BIGINT) AS score
+  FROM texts JOIN cut USING (side, r) LEFT JOIN weights USING (r) WHERE side = 'd'),
+placed AS (SELECT *, row_number() OVER (PARTITION BY may ORDER BY score DESC, doc_id, n_features) AS place, count(*) OVER (PARTITION BY may) AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN may AND place <= 5 * n // 100 THEN place END AS rank FROM placed"""
+
+
 OP7_SQL = """
 WITH RECURSIVE given AS (
   SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
@@ -151,12 +186,13 @@ def _shipped(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    runs = [op1_warc, op2_hash_prefix_forest, op3_minhash_dedup, op4_html_text, op5_suffix_dedup, op6_quality_lm, op7_embedding_dedup, op8_byte_bpe, op9_token_counts, op10_source_mix]
+    runs = [op1_warc, op2_hash_prefix_forest, op3_minhash_dedup, op4_html_text, op5_suffix_dedup, op6_quality_lm, op7_embedding_dedup, op8_byte_bpe, op9_token_counts, op10_source_mix, op11_importance]
     return {f.__name__: _shipped(f) for f in runs}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op10_source_mix": _op10_sql(),
+        "op11_importance": OP11_SQL,
         "op7_embedding_dedup": OP7_SQL,
     }
