@@ -20,6 +20,11 @@ def connect(memory: str = "700MB") -> duckdb.DuckDBPyConnection:
     return duckdb.connect(":memory:", config=settings)
 
 
+def first(db: duckdb.DuckDBPyConnection, query: str) -> tuple:
+    """The first row, with all others read: a connection does nothing else before."""
+    return db.execute(query).fetchall()[0]
+
+
 def _cuts(text: str, word: re.Pattern, gap: re.Pattern, ahead: int, most: int) -> Iterator[tuple[str, int]]:
     """Parts of a text that end between words, each with up to ``ahead`` words of what follows, and their number."""
     start = 0

@@ -123,6 +123,36 @@ placed AS (SELECT *, row_number() OVER (PARTITION BY may ORDER BY score DESC, do
 SELECT doc_id, n_features, weight, score, CASE WHEN may AND place <= 5 * n // 100 THEN place END AS rank FROM placed"""
 
 
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .source_audit import divergence
+
+    return divergence(read_table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+OP13_SQL = """
+WITH docs AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+hits AS (
+  SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+kept AS (SELECT lang, term, CAST(count(*) AS HUGEINT) AS n FROM hits GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+counts AS (SELECT lang, source, term, count(*) AS n FROM hits JOIN kept USING (lang, term) GROUP BY ALL),
+langs AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+totals AS (SELECT lang, source, v, langs.total AS lang_total, coalesce(CAST(s.n AS HUGEINT), 0) AS total FROM groups JOIN langs USING (lang) LEFT JOIN (SELECT lang, source, sum(n) AS n FROM counts GROUP BY ALL) s USING (lang, source)),
+shares AS (
+  SELECT lang, source, term, coalesce(c.n, 0) AS n, 1 + 1000000000 * (coalesce(c.n, 0) + 1) // (t.total + v) AS p, 1 + 1000000000 * (kept.n + 1) // (lang_total + v) AS q
+  FROM totals t JOIN kept USING (lang) LEFT JOIN counts c USING (lang, source, term)),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value FROM shares x JOIN shares y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) s
+    ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT lang, source, term AS item, (p - q) * (p - q) // q AS value FROM shares WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT lang, source, 'pair' AS part, item, CAST(value AS BIGINT) AS value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+  UNION ALL
+  SELECT lang, source, 'term', item, CAST(value AS BIGINT), row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) FROM terms)
+SELECT lang, source, part, item, value, CAST(rank AS INT) AS rank FROM ranked WHERE part = 'pair' OR rank <= 200"""
+
+
 OP7_SQL = """
 WITH RECURSIVE given AS (
   SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
@@ -186,7 +216,7 @@ def _shipped(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    runs = [op1_warc, op2_hash_prefix_forest, op3_minhash_dedup, op4_html_text, op5_suffix_dedup, op6_quality_lm, op7_embedding_dedup, op8_byte_bpe, op9_token_counts, op10_source_mix, op11_importance]
+    runs = [op1_warc, op2_hash_prefix_forest, op3_minhash_dedup, op4_html_text, op5_suffix_dedup, op6_quality_lm, op7_embedding_dedup, op8_byte_bpe, op9_token_counts, op10_source_mix, op11_importance, op13_source_audit]
     return {f.__name__: _shipped(f) for f in runs}
 
 
@@ -194,5 +224,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op10_source_mix": _op10_sql(),
         "op11_importance": OP11_SQL,
+        "op13_source_audit": OP13_SQL,
         "op7_embedding_dedup": OP7_SQL,
     }
