@@ -123,6 +123,12 @@ placed AS (SELECT *, row_number() OVER (PARTITION BY may ORDER BY score DESC, do
 SELECT doc_id, n_features, weight, score, CASE WHEN may AND place <= 5 * n // 100 THEN place END AS rank FROM placed"""
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import identify
+
+    return identify(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .source_audit import divergence
 
@@ -216,7 +222,7 @@ def _shipped(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    runs = [op1_warc, op2_hash_prefix_forest, op3_minhash_dedup, op4_html_text, op5_suffix_dedup, op6_quality_lm, op7_embedding_dedup, op8_byte_bpe, op9_token_counts, op10_source_mix, op11_importance, op13_source_audit]
+    runs = [op1_warc, op2_hash_prefix_forest, op3_minhash_dedup, op4_html_text, op5_suffix_dedup, op6_quality_lm, op7_embedding_dedup, op8_byte_bpe, op9_token_counts, op10_source_mix, op11_importance, op12_language_id, op13_source_audit]
     return {f.__name__: _shipped(f) for f in runs}
 
 
