@@ -11,8 +11,10 @@ changes for terms of one source (by how often each count occurs), plus what chan
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import closing
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,8 +24,10 @@ from .common import join_table, prepare, stored, thrifty
 
 SCALE = 1_000_000_000
 TERM, GAP = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x40\x5B-\x60\x7B-\x7F]"
-#: Counted rows that a task holds before it hands them on, and rows of a shard that one statement takes.
-HELD = 400_000
+#: Counted rows that a task holds before it sums them, and hands them on if half as many are left.
+HELD = 1_500_000
+#: Rows of a shard that one statement takes.
+PART = 60_000
 #: Parts of a group whose best terms are found apart.
 SALTS = 64
 
@@ -40,53 +44,48 @@ def _term_counter(piece: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
     """lang, source, text to lang, source, term, n, n_docs: sums over the rows that a task holds at a time."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        db = duck.connect()
-        db.execute("CREATE TABLE held (lang VARCHAR, source VARCHAR, term VARCHAR, n BIGINT, n_docs BIGINT)")
-        size = 0
-        for batch in batches:
-            db.register("of", pa.table({"row": pa.array(range(batch.num_rows), pa.int32()), "lang": batch.column(0), "source": batch.column(1)}))
-            db.execute("CREATE OR REPLACE TABLE by_row (row INTEGER, term VARCHAR, n BIGINT)")
-            for given in duck.statements(batch.column(2), GAP, most=piece):
-                db.register("given", given)
-                db.execute(f"INSERT INTO by_row SELECT row, term, count(*) FROM (SELECT row, unnest(regexp_extract_all({duck.LOWER.format('text')}, '{TERM}')) AS term FROM given) GROUP BY ALL")
-                db.unregister("given")
-            db.execute("INSERT INTO held SELECT lang, source, term, sum(n), count(DISTINCT row) FROM by_row JOIN of USING (row) GROUP BY ALL")
-            size = duck.first(db, "SELECT count(*) FROM held")[0]
-            if size > HELD:
-                db.execute(f"CREATE OR REPLACE TABLE held AS {_SUMMED.format('held')}")
-                size = duck.first(db, "SELECT count(*) FROM held")[0]
-            if size > HELD // 2:
-                yield from _handed(db.sql("FROM held").to_arrow_table(), _COUNTED)
-                db.execute("DELETE FROM held")
-        yield from _handed(db.sql(_SUMMED.format("held")).to_arrow_table(), _COUNTED)
+        with closing(duck.connect("500MB")) as db:
+            db.execute("CREATE TABLE held (lang VARCHAR, source VARCHAR, term VARCHAR, n BIGINT, n_docs BIGINT)")
+            size = 0
+            for batch in batches:
+                db.register("rows_of", pa.table({"row": pa.array(range(batch.num_rows), pa.int32()), "lang": batch.column(0), "source": batch.column(1)}))
+                db.execute("CREATE OR REPLACE TABLE by_row (row INTEGER, term VARCHAR, n BIGINT)")
+                for given in duck.statements(batch.column(2), GAP, most=piece):
+                    db.register("given", given)
+                    db.execute(f"INSERT INTO by_row SELECT row, term, count(*) FROM (SELECT row, unnest(regexp_extract_all({duck.LOWER.format('text')}, '{TERM}')) AS term FROM given) GROUP BY ALL")
+                    db.unregister("given")
+                size += duck.first(db, "INSERT INTO held SELECT lang, source, term, sum(n), count(DISTINCT row) FROM by_row JOIN rows_of USING (row) GROUP BY ALL")[0]
+                db.unregister("rows_of")
+                if size > HELD:
+                    size = duck.first(db, f"CREATE OR REPLACE TABLE held AS {_SUMMED.format('held')}")[0]
+                if size > HELD // 2:
+                    yield from _handed(db.sql("FROM held").to_arrow_table(), _COUNTED)
+                    db.execute("DELETE FROM held")
+                    size = 0
+            yield from _handed(db.sql(_SUMMED.format("held")).to_arrow_table(), _COUNTED)
 
     return thrifty(count)
 
 
-def _whole_terms(batches: Iterator[pa.RecordBatch], db, summed: str | None = None) -> Iterator[None]:
-    """Fills the table ``part`` with rows of whole terms of a sorted shard, time after time. ``summed`` makes fewer rows of those of a term that goes on."""
-    rest = None
+def _whole_terms(batches: Iterator[pa.RecordBatch], db, summed: str | None = None) -> Iterator[pa.Table]:
+    """Rows of whole terms of a sorted shard, part by part. ``summed`` makes fewer rows of those of a term that goes on."""
+    rest: list[pa.RecordBatch] = []
     for batch in batches:
-        table = pa.Table.from_batches([batch])
-        table = pa.concat_tables([rest, table]) if rest is not None else table
-        db.register("come", table)
-        db.execute("CREATE OR REPLACE TABLE all_come AS FROM come")
-        db.unregister("come")
-        last = table.slice(table.num_rows - 1).select(["lang", "term"]).to_pylist()[0]
-        same = [last["lang"], last["term"]]
-        held = db.sql("SELECT * FROM all_come WHERE lang = ? AND term = ?", params=same).to_arrow_table()
-        if summed and held.num_rows > 10_000:
+        rest.append(batch)
+        if sum(x.num_rows for x in rest) < PART:
+            continue
+        table = pa.Table.from_batches(rest)
+        ends = [table.column(c)[table.num_rows - 1] for c in ("lang", "term")]
+        same = pc.sum(pc.and_(*[pc.equal(table.column(c), v) for c, v in zip(("lang", "term"), ends, strict=True)])).as_py()
+        held = table.slice(table.num_rows - same)
+        if summed and same > PART // 2:
             db.register("held_rows", held)
-            held = db.sql(summed.format("held_rows")).to_arrow_table()
+            held = db.sql(summed.format("held_rows")).to_arrow_table().select(table.schema.names).cast(table.schema)
             db.unregister("held_rows")
-        rest = held.select(batch.schema.names).cast(batch.schema)
-        db.execute("CREATE OR REPLACE TABLE part AS SELECT * FROM all_come WHERE NOT (lang = ? AND term = ?)", same)
-        yield
-    if rest is not None:
-        db.register("come", rest)
-        db.execute("CREATE OR REPLACE TABLE part AS FROM come")
-        db.unregister("come")
-        yield
+        rest = held.to_batches()
+        yield table.slice(0, table.num_rows - same)
+    if rest:
+        yield pa.Table.from_batches(rest)
 
 
 _KEPT = pa.schema([("lang", pa.string()), ("term", pa.string()), ("source", pa.string()), ("n", pa.int64()), ("lang_n", pa.int64()), ("leads", pa.bool_())])
@@ -97,13 +96,14 @@ def _keeper(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     """A sorted shard's counts summed, without terms of fewer than ``least`` documents of the language."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        db = duck.connect()
-        for _ in _whole_terms(batches, db, _SUMMED):
-            found = db.sql(
-                f"""SELECT lang, term, source, n, CAST(sum(n) OVER of_term AS BIGINT) AS lang_n, source = min(source) OVER of_term AS leads
-                FROM ({_SUMMED.format("part")}) WINDOW of_term AS (PARTITION BY lang, term) QUALIFY sum(n_docs) OVER of_term >= {int(least)}"""
-            ).to_arrow_table()
-            yield from _handed(found, _KEPT)
+        with closing(duck.connect("300MB")) as db:
+            for part in _whole_terms(batches, db, _SUMMED):
+                db.register("part", part)
+                found = db.sql(
+                    f"""SELECT lang, term, source, n, CAST(sum(n) OVER of_term AS BIGINT) AS lang_n, source = min(source) OVER of_term AS leads
+                    FROM ({_SUMMED.format("part")}) WINDOW of_term AS (PARTITION BY lang, term) QUALIFY sum(n_docs) OVER of_term >= {int(least)}"""
+                ).to_arrow_table()
+                yield from _handed(found, _KEPT)
 
     return thrifty(keep)
 
@@ -117,7 +117,7 @@ _PARTIAL_DDL = "part string, lang string, source string, item string, value deci
 #: What changes for a term of both sources, against the sum of what changes for it as one of the first and of the second.
 _SHARED = f"""INSERT INTO pairs SELECT a.lang, a.source, b.source,
   sum({_value("a.p", "b.p")} - {_value("a.p", "b.p0")} - {_value("a.p0", "b.p")} + {_value("a.p0", "b.p0")})
-FROM (SELECT * FROM part ORDER BY lang, term, source LIMIT {{many}} OFFSET {{first}}) a JOIN part b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL"""
+FROM these a JOIN part b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL"""
 _BEST = "SELECT * FROM {} QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) <= {}"
 
 
@@ -125,34 +125,37 @@ def _adder(top: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
     """A sorted shard's sums by pair of sources, and its best terms of each group."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        db = duck.connect()
-        db.execute("CREATE TABLE pairs (lang VARCHAR, source VARCHAR, item VARCHAR, value HUGEINT)")
-        db.execute("CREATE TABLE best (lang VARCHAR, source VARCHAR, item VARCHAR, value HUGEINT)")
-
-        def taken(name: str, query: str) -> Iterator[pa.RecordBatch]:
-            yield from _handed(db.sql(f"SELECT '{name}' AS part, lang, source, item, CAST(value AS DECIMAL(38, 0)) AS value FROM ({query})").to_arrow_table(), _PARTIAL)
-
-        summed = "SELECT lang, source, item, sum(value) AS value FROM pairs GROUP BY ALL"
-        for _ in _whole_terms(batches, db):
-            _, most = duck.first(db, "SELECT count(*), max(n) FROM (SELECT count(*) AS n FROM part GROUP BY lang, term)")
-            rows = duck.first(db, "SELECT count(*) FROM part")[0]
-            # A row meets the other sources of its term: rows go in such numbers that one statement stays small.
-            many = max(1, 4_000_000 // max(1, most or 1))
-            for first in range(0, rows, many):
-                db.execute(_SHARED.format(many=many, first=first))
-                if duck.first(db, "SELECT count(*) FROM pairs")[0] > HELD:
-                    db.execute(f"CREATE OR REPLACE TABLE pairs AS {summed}")
-                    if duck.first(db, "SELECT count(*) FROM pairs")[0] > HELD // 2:
-                        yield from taken("pair", "FROM pairs")
-                        db.execute("DELETE FROM pairs")
-            db.execute(f"INSERT INTO best SELECT lang, source, term, {_value('p', 'q')} AS value FROM part WHERE p > q QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, term) <= {int(top)}")
-            if duck.first(db, "SELECT count(*) FROM best")[0] > HELD:
-                db.execute(f"CREATE OR REPLACE TABLE best AS {_BEST.format('best', int(top))}")
-                if duck.first(db, "SELECT count(*) FROM best")[0] > HELD // 2:
-                    yield from taken("term", "FROM best")
-                    db.execute("DELETE FROM best")
-        yield from taken("pair", summed)
-        yield from taken("term", _BEST.format("best", int(top)))
+        with closing(duck.connect("500MB")) as db:
+            for name in ("pairs", "best"):
+                db.execute(f"CREATE TABLE {name} (lang VARCHAR, source VARCHAR, item VARCHAR, value HUGEINT)")
+            summed, best = "SELECT lang, source, item, sum(value) AS value FROM pairs GROUP BY ALL", _BEST.format("best", int(top))
+            sizes = {"pairs": 0, "best": 0}
+
+            def taken(part: str, query: str) -> Iterator[pa.RecordBatch]:
+                yield from _handed(db.sql(f"SELECT '{part}' AS part, lang, source, item, CAST(value AS DECIMAL(38, 0)) AS value FROM ({query})").to_arrow_table(), _PARTIAL)
+
+            def bounded(name: str, part: str, query: str) -> Iterator[pa.RecordBatch]:
+                """Makes fewer rows of a table that has become large, and hands them on if they are still many."""
+                if sizes[name] > HELD:
+                    sizes[name] = duck.first(db, f"CREATE OR REPLACE TABLE {name} AS {query}")[0]
+                    if sizes[name] > HELD // 2:
+                        yield from taken(part, f"FROM {name}")
+                        db.execute(f"DELETE FROM {name}")
+                        sizes[name] = 0
+
+            for part in _whole_terms(batches, db):
+                db.register("part", part)
+                most = duck.first(db, "SELECT max(n) FROM (SELECT count(*) AS n FROM part GROUP BY lang, term)")[0] or 1
+                # A row meets the other sources of its term: rows go in such numbers that one statement stays small.
+                many = max(1, 4_000_000 // most)
+                for first in range(0, part.num_rows, many):
+                    db.register("these", part.slice(first, many))
+                    sizes["pairs"] += duck.first(db, _SHARED)[0]
+                    yield from bounded("pairs", "pair", summed)
+                sizes["best"] += duck.first(db, f"INSERT INTO best SELECT lang, source, term, {_value('p', 'q')} AS value FROM part WHERE p > q QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, term) <= {int(top)}")[0]
+                yield from bounded("best", "term", best)
+            yield from taken("pair", summed)
+            yield from taken("term", best)
 
     return thrifty(add)
 

@@ -36,6 +36,7 @@ def plain(rows: list[tuple], top: int) -> list[tuple]:
 def test_divergence_against_plain(spark, monkeypatch, piece, held, top):
     rng = random.Random(11)
     monkeypatch.setattr(source_audit, "HELD", held)
+    monkeypatch.setattr(source_audit, "PART", held)
     vocabulary = ["the", "Of", "Étude", "a_b", "x9y", "日本", "zebra", "APPLE", "pear", *(f"w{'abcdefgh'[i % 8]}{'qrstuvwx'[i // 8]}" for i in range(64))]
     text = lambda n: " ".join(rng.choice(vocabulary[: rng.choice([9, 30, 73])]) for _ in range(n))
     rows = [(text(rng.choice([0, 1, 5, 30])), rng.choice(["en", "en", "en", "de", None]), rng.choice(["s0", "s0", "s0", "s1", "s2", None, "É"])) for _ in range(160)]
