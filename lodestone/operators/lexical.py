@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from ..index import weight
 
-K1, B = 1.2, 0.75
 FLOOR = 1e-6
 LIMIT = 100
 
@@ -68,7 +68,7 @@ def inverse_frequency(n_rows: Column, df: Column) -> Column:
 
 
 def contribution(idf: Column, f: Column, n: Column, avg: Column) -> Column:
-    return idf * ((f * (K1 + 1)) / (f + K1 * (1 - B + B * n / avg)))
+    return idf * weight(f, n, avg)
 
 
 def scores(queries: DataFrame, posted: DataFrame, lengths_: DataFrame, query_id: str = "query_id", terms: str = "terms", key: str = "segment_id") -> DataFrame:

@@ -1,55 +1,81 @@
-"""Ancestry over a derivation graph given as edges (child, parent)."""
+"""Ancestry over a derivation graph given as edges (child, parent).
+
+Reach is found by rounds: the nodes that the last round reached for the first time meet the edges, and what was reached before goes. Each
+round is a stored table, so a node that many paths lead to is met once, and a lost executor costs no earlier round.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import Scratch
+
+#: Rounds of a search, and paths of one leaf.
 MAX_DEPTH = 4096
+MAX_PATHS = 4096
+#: Rounds whose tables become one.
+MERGED = 16
+
+
+def _reached(start: DataFrame, edges: DataFrame, here: str, there: str) -> DataFrame:
+    """``start`` (root, node) and all that its nodes lead to along ``edges`` from ``here`` to ``there``, each pair once; cycles end too."""
+    work = Scratch(start.sparkSession, "reach")
+    edges = work.stored(edges.where(F.col(here).isNotNull() & F.col(there).isNotNull()).select(F.col(here).alias("node"), F.col(there).alias("next")).distinct(), "edges")
+    tables = [work.stored(start.where("node is not null").distinct(), "round0")]
+    frontier = tables[0]
+    for turn in range(1, MAX_DEPTH + 1):
+        known = tables[0]
+        for t in tables[1:]:
+            known = known.unionByName(t)
+        met = frontier.join(edges, "node").select("root", F.col("next").alias("node")).distinct()
+        frontier = work.stored(met.join(known, ["root", "node"], "left_anti"), f"round{turn}")
+        if frontier.isEmpty():
+            return known
+        tables.append(frontier)
+        if len(tables) == MERGED:
+            tables = [work.stored(known.unionByName(frontier), f"upto{turn}")]
+    raise ValueError(f"ancestry is deeper than {MAX_DEPTH}")
 
 
 def descendants(roots: DataFrame, edges: DataFrame) -> DataFrame:
-    """(root, node): all that derives from each root, the root included, each pair once.
-
-    The graph has no cycles, as ids contain the ids they derive from, so the recursion ends.
-    """
-    start = roots.select("root", F.col("root").alias("node")).distinct()
-    spark = roots.sparkSession
-    start.createOrReplaceTempView("_lineage_roots")
-    edges.select("child", "parent").distinct().createOrReplaceTempView("_lineage_edges")
-    spark.conf.set("spark.sql.cteRecursionLevelLimit", str(MAX_DEPTH))
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    return spark.sql(
-        """
-        WITH RECURSIVE reach(root, node) AS (
-          SELECT root, node FROM _lineage_roots
-          UNION ALL
-          SELECT r.root, e.child FROM reach r JOIN _lineage_edges e ON e.parent = r.node)
-        SELECT DISTINCT root, node FROM reach"""
-    )
+    """(root, node): all that derives from each root, the root included, each pair once."""
+    return _reached(roots.select("root", F.col("root").alias("node")), edges, "parent", "child")
+
+
+def origins(leaves: DataFrame, edges: DataFrame) -> DataFrame:
+    """leaf, origin: the nodes without parents that each leaf derives from, itself if it has none, each pair once."""
+    found = _reached(leaves.select(F.col("leaf").alias("root"), F.col("leaf").alias("node")), edges, "child", "parent")
+    inner = edges.where("parent is not null").select(F.col("child").alias("node")).distinct()
+    return found.join(inner, "node", "left_anti").select(F.col("root").alias("leaf"), F.col("node").alias("origin"))
 
 
 def evidence_paths(leaves: DataFrame, edges: DataFrame) -> DataFrame:
-    """(leaf, path): every chain of ids from a leaf up to a node without parents; a cycle is an error."""
-    spark = leaves.sparkSession
-    leaves.select("leaf").distinct().createOrReplaceTempView("_lineage_leaves")
-    edges.select("child", "parent").distinct().createOrReplaceTempView("_lineage_edges")
-    spark.conf.set("spark.sql.cteRecursionLevelLimit", str(MAX_DEPTH))
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    return spark.sql(
-        """
-        WITH RECURSIVE walk(leaf, node, path) AS (
-          SELECT leaf, leaf, array(leaf) FROM _lineage_leaves
-          UNION ALL
-          SELECT w.leaf, e.parent, if(array_contains(w.path, e.parent), raise_error('ancestry has a cycle'), array_append(w.path, e.parent))
-          FROM walk w JOIN _lineage_edges e ON e.child = w.node)
-        SELECT leaf, path FROM walk w WHERE NOT EXISTS (SELECT 1 FROM _lineage_edges e WHERE e.child = w.node)"""
-    )
-
-
-def single_origin(leaves: DataFrame, paths: DataFrame) -> DataFrame:
-    """leaf, origin, problem: the one root of each leaf, ``not_found`` without one, ``integrity`` with several."""
-    roots = paths.groupBy("leaf").agg(F.collect_set(F.element_at("path", -1)).alias("_roots"))
+    """(leaf, path): every chain of ids from a leaf up to a node without parents. A cycle is an error, and so are over MAX_PATHS of one leaf."""
+    work = Scratch(leaves.sparkSession, "paths")
+    edges = work.stored(edges.select(F.col("child").alias("node"), "parent").distinct(), "edges")
+    ends, rounds = [], work.stored(leaves.select("leaf", F.col("leaf").alias("node"), F.array("leaf").alias("path")).distinct(), "round0")
+    for turn in range(1, MAX_DEPTH + 1):
+        ends.append(rounds.join(edges, "node", "left_anti").select("leaf", "path"))
+        step = F.when(F.array_contains("path", F.col("parent")), F.raise_error(F.lit("ancestry has a cycle")).cast("array<string>")).otherwise(F.array_append("path", F.col("parent")))
+        rounds = work.stored(rounds.join(edges, "node").select("leaf", F.col("parent").alias("node"), step.alias("path")), f"round{turn}")
+        # Open paths of a leaf never become fewer: each leads to an end.
+        many = rounds.groupBy("leaf").count().where(F.col("count") > MAX_PATHS).first()
+        if many:
+            raise ValueError(f"over {MAX_PATHS} paths lead up from {many.leaf}")
+        if rounds.isEmpty():
+            break
+    else:
+        raise ValueError(f"ancestry is deeper than {MAX_DEPTH}")
+    out = ends[0]
+    for e in ends[1:]:
+        out = out.unionByName(e)
+    return out
+
+
+def single_origin(leaves: DataFrame, found: DataFrame) -> DataFrame:
+    """leaf, origin, problem: the one root of each leaf, ``not_found`` without one, ``integrity`` with several. ``found`` is of ``origins``."""
+    roots = found.groupBy("leaf").agg(F.collect_set("origin").alias("_roots"))
     out = leaves.select("leaf").distinct().join(roots, "leaf", "left")
     n = F.coalesce(F.size("_roots"), F.lit(0))
     return out.select("leaf", F.when(n == 1, F.col("_roots")[0]).alias("origin"), F.when(n < 1, "not_found").when(n > 1, "integrity").alias("problem"))

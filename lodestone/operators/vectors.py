@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,15 +12,60 @@ from ..functions import vectors as V
 from .lexical import ranked
 
 
-def exact_neighbours(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", query_id: str = "query_id", vector: str = "values", limit: int | None = None) -> DataFrame:
+#: Rows of a block of vectors and of a block of queries.
+BLOCK, QUERY_BLOCK = 8192, 512
+#: Far more than a matrix product can differ from sums in order, and more than rounding to nine places moves two scores.
+ROOM = 2e-9
+
+
+def exact_neighbours(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", query_id: str = "query_id", vector: str = "values", limit: int | None = None, digits: int | None = None) -> DataFrame:
     """query_id, key, score, rank by cosine, ties by key. Every query meets every vector of its length: exact by definition.
 
-    The queries are the broadcast side if Spark finds them small enough; else both are dealt out in blocks.
+    ``digits`` (nine or more) rounds scores before they are ranked, for comparison with engines that sum otherwise.
+
+    Both sides are dealt into blocks by a hash. A task takes the vectors of one pair of blocks, finds by a matrix product which may be among the
+    ``limit`` nearest of the block, and sums those again in the order of the components: scores are the same bits wherever and in
+    whatever company a vector is met. The blocks' nearest are merged. Queries of one block go to all blocks of
+    vectors and the other way round, which is the work of an exact search, in parts of bounded size.
     """
-    v = _prepared(vectors, key, vector, "v")
-    q = _prepared(queries, query_id, vector, "q")
-    scored = v.join(q, F.size("_v") == F.size("_q")).select(query_id, key, V.cosine_of_scaled(F.col("_v"), F.col("_vn"), F.col("_q"), F.col("_qn")).alias("score"))
-    return ranked(scored, query_id, key, limit, ascending=False)
+    v, q = _prepared(vectors, key, vector, "v"), _prepared(queries, query_id, vector, "q")
+    n_v, n_q = (-(-max(df.count(), 1) // size) for df, size in ((v, BLOCK), (q, QUERY_BLOCK)))
+
+    def dealt(df: DataFrame, name: str, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
+        return df.withColumn(own, F.pmod(F.xxhash64(name), F.lit(n_own))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_other - 1).cast("long"))))
+
+    left = dealt(v, key, "_vb", n_v, "_qb", n_q).select(F.col(key).alias("_key"), "_v", "_vn", "_vb", "_qb")
+    right = dealt(q, query_id, "_qb", n_q, "_vb", n_v).select(F.col(query_id).alias("_id"), "_q", "_qn", "_vb", "_qb")
+    kinds = f"_id {right.schema['_id'].dataType.simpleString()}, _key {left.schema['_key'].dataType.simpleString()}, score double"
+    found = left.groupBy("_vb", "_qb").cogroup(right.groupBy("_vb", "_qb")).applyInArrow(_block_nearest(limit), kinds)
+    score = F.col("score") if digits is None else F.round("score", digits).alias("score")
+    return ranked(found.select(F.col("_id").alias(query_id), F.col("_key").alias(key), score), query_id, key, limit, ascending=False)
+
+
+def _matrix(column: pa.ChunkedArray, size: int) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+
+
+def _block_nearest(limit: int | None):
+    def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        lengths = [pc.list_value_length(t.column(c)).to_numpy() for t, c in ((left, "_v"), (right, "_q"))]
+        for size in np.intersect1d(*map(np.unique, lengths)):
+            v, q = left.filter(pa.array(lengths[0] == size)), right.filter(pa.array(lengths[1] == size))
+            a, b = _matrix(v.column("_v"), size), _matrix(q.column("_q"), size)
+            norms = v.column("_vn").to_numpy(), q.column("_qn").to_numpy()
+            rows, at = np.indices((len(b), len(a))).reshape(2, -1)
+            if limit is not None and limit < len(a):
+                near = (b @ a.T) / norms[1][:, None] / norms[0]
+                rows, at = np.nonzero(near >= np.partition(near, len(a) - limit, 1)[:, [len(a) - limit]] - ROOM)
+            dots = np.zeros(len(rows))
+            for i in range(size):
+                dots += a[at, i] * b[rows, i]
+            scores = np.clip(dots / (norms[0][at] * norms[1][rows]), -1.0, 1.0)
+            out.append(pa.table([q.column("_id").take(pa.array(rows)), v.column("_key").take(pa.array(at)), pa.array(scores)], names=["_id", "_key", "score"]))
+        return pa.concat_tables(out) if out else pa.table([right.column("_id").slice(0, 0), left.column("_key").slice(0, 0), pa.array([], pa.float64())], names=["_id", "_key", "score"])
+
+    return nearest
 
 
 def _prepared(df: DataFrame, key: str, vector: str, name: str) -> DataFrame:

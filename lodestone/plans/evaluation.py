@@ -45,8 +45,7 @@ near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 def _near(spark: SparkSession, d: str, limit: int | None = 10) -> DataFrame:
     all_ = _vectors(spark, d)
     asked = all_.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "values")
-    scored = vectors.exact_neighbours(all_, asked).drop("rank").withColumn("score", F.round("score", 9))
-    return ranked(scored, "query_id", "vec_id", limit, ascending=False)
+    return vectors.exact_neighbours(all_, asked, limit=limit, digits=9)
 
 
 @query("SELECT vec_id, len(embedding) BETWEEN 1 AND 2048 AND len(list_filter(embedding, lambda x: isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS valid FROM embeddings")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..index import index_of
-from ..operators import corpus, lexical, packing
+from ..operators import corpus, lexical, packing, pruned
 
 BUDGET = 8192
 
@@ -26,14 +26,16 @@ def search(segments: DataFrame, queries: DataFrame, limit: int | None = lexical.
 
     Terms as given, each once (``distinct``), or without those that weigh next to nothing (``drop_floor``).
     """
-    posted, n = index_of(segments)
+    index = index_of(segments, scope="source" if "source" in segments.columns else None)
     terms = terms_of(queries, distinct)
     if drop_floor:
-        terms = lexical.floor_reduced(terms, posted, n).select("query_id", "terms")
-    scored = lexical.scores(terms, posted, n)
+        terms = lexical.floor_reduced(terms, index.postings(), index.lengths()).select("query_id", "terms")
+    if limit is not None:
+        return pruned.best(index, terms, limit, source)
+    scored = lexical.scores(terms, index.postings(), index.lengths())
     if source is not None:
         scored = scored.join(segments.where(F.col("source") == source).select("segment_id"), "segment_id", "left_semi")
-    return lexical.ranked(scored, limit=limit)
+    return lexical.ranked(scored, limit=None)
 
 
 def candidates(segments: DataFrame, found: DataFrame) -> DataFrame:

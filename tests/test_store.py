@@ -1,8 +1,12 @@
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
+from lodestone import tables
+from lodestone.operators import lexical
 from lodestone.sources import directory
-from lodestone.store import Store
+from lodestone.store import Conflict, Store
 from pyspark.sql import functions as F
 
 
@@ -91,11 +95,86 @@ def test_equal_trails_have_one_id(spark, store):
     for text in ("one", "one", "two"):
         store.query("s", text)
     assert (store.table("trails").count(), store.trails().count()) == (3, 2)
+    with pytest.raises(ValueError, match="budget"):
+        store.query("s", "one", budget=0)
     for bad in ("", "a\0", "a" * 4097):
         with pytest.raises(ValueError, match="4096"):
             store.hybrid_query("s", "v", bad, [1.0])
 
 
+def plain_ranking(spark, store, source, text):
+    """By an index of all present segments made for the occasion."""
+    rows = store.table("segments")
+    posted = lexical.postings(rows)
+    scored = lexical.scores(spark.createDataFrame([(0, text.split())], "query_id long, terms array<string>"), posted, lexical.lengths(rows))
+    return [(r.segment_id, r.score) for r in lexical.ranked(scored.join(rows.where(F.col("source") == source), "segment_id", "left_semi")).orderBy("rank").collect()]
+
+
+def test_the_index_grows_and_forgets(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("lodestone.store.MERGED", 4)
+    store = Store(spark, str(tmp_path / "store"))
+    store.set_access("s", "allow", "me")
+    texts = {f"i{i}": f"water {'river ' * (i % 3)} word{i} stone" for i in range(9)}
+    store.sync_snapshot("s", listing(spark, **texts))
+    parts = []
+    for i in range(3):
+        parts.append([p["place"] for p in store._manifest()["index"]])
+        texts[f"i{i}"] = f"water again {i} river"
+        texts.pop(f"i{i + 4}")
+        store.sync_snapshot("s", listing(spark, **texts))
+        store.sync_snapshot("t", listing(spark, a=f"water in another source {i}"))
+        got = [(r.segment_id, r.score) for r in store.query("s", "water river stone again").orderBy("rank").collect()]
+        assert got == plain_ranking(spark, store, "s", "water river stone again")
+    # A sync leaves older parts as they are, but for those that were merged; a part has its own postings only.
+    assert parts[1][:1] == parts[0] and len(parts[1]) == 3
+    assert [p["weight"] for p in store._manifest()["index"]] == [4, 1, 1, 1]
+    index = store.index()
+    names = {p["place"].rsplit("/", 1)[-1] for p in store._manifest()["index"]}
+    assert {r.part for r in store.table("gone").select("part").collect()} <= names
+    assert index.statistics().first().n_rows == store.table("segments").count() == 7
+    assert store.audit().where("n_rows > 0").count() == 0
+    store.backup(str(tmp_path / "copy"))
+    copy = Store(spark, str(tmp_path / "copy"))
+    assert [(r.segment_id, r.score) for r in copy.query("s", "water river stone again").orderBy("rank").collect()] == got
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    root = str(tmp_path / "store")
+    Store(spark, root).set_access("x", "allow", "me")
+
+    def write(who: int) -> None:
+        store = Store(spark, root)
+        for i in range(3):
+            store.set_access(f"s{who}-{i}", "allow", "me")
+        store.sync_snapshot(f"s{who}", listing(spark, a=f"text of {who}"))
+
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(write, range(3)))
+    store = Store(spark, root)
+    assert sorted(r.seq for r in store.table("access").collect()) == list(range(1, 11))
+    assert {r.source for r in store.table("items").collect()} == {"s0", "s1", "s2"}
+    assert store.index().statistics().first().n_rows == 3
+    assert store.audit().where("n_rows > 0").count() == 0
+    taken = store._pinned()
+    store.set_access("y", "allow", "me")
+    with pytest.raises(Conflict):
+        taken._replace(logs={"access": taken.table("access")})
+
+
+def test_put_if_absent(spark, tmp_path):
+    path = f"{tmp_path}/x"
+    assert tables.put_if_absent(spark, path, b"one") and not tables.put_if_absent(spark, path, b"two")
+    assert (tmp_path / "x").read_bytes() == b"one" and [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["x"]
+
+
+def test_a_changed_log_row_shows(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    for i in range(3):
+        store.set_access("s", ("allow", "deny")[i % 2], "me", now=i + 1)
+    store._replace(access=store.table("access").withColumn("actor", F.when(F.col("seq") == 2, "you").otherwise(F.col("actor"))))
+    assert {(r.check, r.n_rows) for r in store.audit().where("n_rows > 0").collect()} == {("leaves", 1)}
+
+
 def test_an_audit_sees_tampering(spark, store):
     store.sync_snapshot("s", listing(spark, a="one two", b="three"))
     store._replace(segments=store.table("segments").withColumn("text", F.upper("text")))
