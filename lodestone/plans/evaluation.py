@@ -70,14 +70,18 @@ lexical AS (SELECT * FROM lex WHERE rank <= 10), vector AS (SELECT * FROM near W
 both_sides AS (SELECT query_id, vec_id, l.rank AS lexical_rank, v.rank AS vector_rank, coalesce(1.0::DOUBLE / (60 + l.rank), 0) + coalesce(1.0::DOUBLE / (60 + v.rank), 0) AS s FROM lexical l FULL JOIN vector v USING (query_id, vec_id))"""
 
 
-@query(f"WITH {FUSED} SELECT query_id, vec_id, lexical_rank, vector_rank, round(s, 12) AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM both_sides")
-def v4_fused(spark, d):
+def v4_fused_exact(spark: SparkSession, d: str) -> DataFrame:
     """The other ranking goes by the distance of ids within a label."""
     all_ = table(spark, d, "embeddings").select("vec_id", "label")
     asked = all_.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label")
     other = all_.join(asked, "label").withColumn("score", F.abs(F.col("vec_id") - F.col("query_id")))
     other = ranked(other, "query_id", "vec_id", 10)
-    return vectors.fuse(other, _near(spark, d), ["query_id", "vec_id"], "vec_id").withColumn("score", F.round("score", 12))
+    return vectors.fuse(other, _near(spark, d), ["query_id", "vec_id"], "vec_id")
+
+
+@query(f"WITH {FUSED} SELECT query_id, vec_id, lexical_rank, vector_rank, round(s, 12) AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM both_sides")
+def v4_fused(spark, d):
+    return v4_fused_exact(spark, d).withColumn("score", F.round("score", 12))
 
 
 @query("SELECT (SELECT count(*) FROM documents) AS eligible, (SELECT count(*) FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)) AS indexed, (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)) AS missing")
