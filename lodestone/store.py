@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .functions import identity as I
 from .functions import text as X
 from .index import GONE, Index, merge_parts, read_parts, tokenised, write_part
-from .operators import audit, corpus, ireval, lifecycle, packing, passages, policy, pruned, trails, vectors
+from .operators import audit, corpus, ireval, lifecycle, packing, passages, policy, pruned, trails, vectors, verify
 from .tables import Scratch, put_if_absent
 
 SCHEMAS = {
@@ -31,7 +31,11 @@ SCHEMAS = {
     "states": "source string, seq long, state string, withdrawal string, leaf string",
     "gone": GONE,
     "embeddings": "space string, source string, segment_id string, content_sha256 string, values array<double>",
-    "trails": "trail_id string, source string, mode string, query string, outcome string, budget long, used long, packet_id string, candidates array<struct<segment_id:string,content_sha256:string,rank:bigint,bytes:bigint,selected:boolean,omission:string>>",
+    "trails": "trail_id string, source string, mode string, policy string, query string, outcome string, budget long, used long, packet_id string, space string, values array<double>, "
+    "candidates array<struct<segment_id:string,content_sha256:string,rank:bigint,bytes:bigint,selected:boolean,omission:string,duplicate_of:string,score:double,cosine:double,lexical_rank:bigint,vector_rank:bigint>>",
+    # What trails tell of outlives the items: facts of all segments that ever were, and what they derive from.
+    "facts": "segment_id string, representation_id string, start long, stop long, content_sha256 string",
+    "derivations": "child string, parent string",
 }
 SEGMENTATION = ("fixed", "passage")
 #: Tables dealt by source, by the first byte of its digest.
@@ -197,7 +201,8 @@ class Store:
         # Before the tables that they derive from are replaced.
         actions.select("item", "action").write.parquet(place := f"{self.root}/reports/{uuid.uuid4().hex}")
         states = {} if state and state.state == "active" else {"states": self._next_state(source, "active", None)}
-        self._replace(source, logs=states, index=(fresh, lost), **{"items": items, "segments": segments})
+        logs = states | {"facts": fresh, "derivations": self._derivations(new)}
+        self._replace(source, logs=logs, index=(fresh, lost), **{"items": items, "segments": segments})
         work.close()
         return self.spark.read.parquet(place)
 
@@ -205,7 +210,8 @@ class Store:
         seq = self.table("states").agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0] + 1
         return _leafed(self.spark.createDataFrame([(source, seq, state, withdrawal)], "source string, seq long, state string, withdrawal string"))
 
-    def _segmented(self, items: DataFrame) -> DataFrame:
+    def _named(self, items: DataFrame) -> DataFrame:
+        """source, item, body, and the ids of source, observation, artifact and representation of each item."""
         named = items.select("source", "item", X.normalized(F.coalesce("text", F.lit(""))).alias("body"), "digest")
         named = named.withColumn("_source", I.source_id("store", F.col("source")))
         named = named.withColumn("_observation", I.observation_id(F.col("_source"), I.observation_name(F.col("item"), F.col("digest"))))
@@ -213,7 +219,15 @@ class Store:
         content = I.content_digest(F.col("body"))
         parameters = F.lit(corpus.EMPTY_DIGEST) if self.segmentation == "fixed" else F.sha2(F.lit(b'{"segmentation":"passage-1"}'), 256)
         rep = I.representation_id([("artifact", F.col("_artifact"))], "text-normalizer", "1", parameters, "text/plain; charset=utf-8", content)
-        ready = named.select("source", "item", rep.alias("representation_id"), "body")
+        return named.withColumn("representation_id", rep)
+
+    def _derivations(self, items: DataFrame) -> DataFrame:
+        chain = ("representation_id", "_artifact", "_observation", "_source")
+        pairs = F.array(*[F.struct(F.col(a).alias("child"), F.col(b).alias("parent")) for a, b in zip(chain, chain[1:], strict=False)])
+        return self._named(items).select(F.inline(pairs)).distinct()
+
+    def _segmented(self, items: DataFrame) -> DataFrame:
+        ready = self._named(items).select("source", "item", "representation_id", "body")
         if self.segmentation == "passage":
             return corpus.addressed(passages.segment_passages(ready))
         return corpus.fixed_segments(ready.withColumn("content_sha256", F.lit("")))
@@ -304,22 +318,27 @@ class Store:
     def vector_query(self, source: str, space: str, values: list[float], budget: int = 8192, limit: int = 100, exact: bool = False) -> DataFrame:
         _check_query(None, limit, budget)
         now = self._pinned()
-        return now._answer(source, "vector", json.dumps(values), now._near(source, space, values).where(F.col("rank") <= limit), budget, exact)
+        found = now._near(source, space, values).where(F.col("rank") <= limit).withColumn("cosine", F.col("score"))
+        return now._answer(source, "vector", json.dumps(values), found, budget, exact, space, values)
 
     def hybrid_query(self, source: str, space: str, text: str, values: list[float], budget: int = 8192, limit: int = 100, exact: bool = False) -> DataFrame:
         _check_query(text, limit, budget)
         now = self._pinned()
         lex = now._lexical(source, text, limit)
-        fused = vectors.fuse(lex, now._near(source, space, values), ["query_id", "segment_id"], "segment_id")
-        return now._answer(source, "hybrid", text, fused.select("query_id", "segment_id", "score", "rank"), budget, exact)
+        near = now._near(source, space, values)
+        fused = vectors.fuse(lex, near, ["query_id", "segment_id"], "segment_id").join(near.select("segment_id", F.col("score").alias("cosine")), "segment_id", "left")
+        return now._answer(source, "hybrid", text, fused, budget, exact, space, values)
 
-    def _answer(self, source: str, mode: str, text: str, found: DataFrame, budget: int, exact: bool) -> DataFrame:
+    def _answer(self, source: str, mode: str, text: str, found: DataFrame, budget: int, exact: bool, space: str | None = None, values: list[float] | None = None) -> DataFrame:
         outcome, reasons = self.decision(source)
         if outcome == "deny":
             found = found.limit(0)
         about = self.table("segments").select("segment_id", "item", "start", "stop", "text", "content_sha256", (F.col("stop") - F.col("start")).alias("bytes"))
+        for name, kind in (("cosine", "double"), ("lexical_rank", "long"), ("vector_rank", "long")):
+            if name not in found.columns:
+                found = found.withColumn(name, F.lit(None).cast(kind))
         full = found.join(about, "segment_id")
-        packed = packing.gathered(full, "query_id", "segment_id", "item", "start", "stop", "text", "content_sha256", "bytes", "score")
+        packed = packing.gathered(full, "query_id", "segment_id", "item", "start", "stop", "text", "content_sha256", "bytes", "score", "cosine", "lexical_rank", "vector_rank")
         if exact:
             marks = packing.pack_distinct(F.col("candidates"), budget)["marks"]
         else:
@@ -327,13 +346,14 @@ class Store:
         rows = packed.select(F.explode(F.arrays_zip("candidates", marks.alias("marks"))).alias("x")).select("x.candidates.*", "x.marks.*")
         rows.write.parquet(place := f"{self.root}/answers/{uuid.uuid4().hex}")
         rows = self.spark.read.schema(rows.schema).parquet(place)
-        self._record(source, mode, text, outcome, reasons, rows, budget)
+        self._record(source, mode, text, outcome, reasons, rows, budget, verify.EXACT if exact else verify.ORIGINAL, space, values)
         return rows
 
-    def _record(self, source: str, mode: str, text: str, outcome: str, reasons: list[str], rows: DataFrame, budget: int) -> None:
+    def _record(self, source: str, mode: str, text: str, outcome: str, reasons: list[str], rows: DataFrame, budget: int, packed_by: str, space: str | None, values: list[float] | None) -> None:
+        fields = ("segment_id", "content_sha256", "rank", "bytes", "selected", "omission", "duplicate_of", "score", "cosine", "lexical_rank", "vector_rank")
         kept = F.when(F.col("selected"), F.struct("rank", "segment_id", "content_sha256", "bytes"))
         one = rows.agg(
-            F.sort_array(F.collect_list(F.struct("rank", "segment_id", "content_sha256", "bytes", "selected", "omission"))).alias("c"),
+            F.sort_array(F.collect_list(F.struct("rank", *[f for f in fields if f != "rank"]))).alias("c"),
             F.sort_array(F.collect_list(kept)).alias("k"),
             F.coalesce(F.sum(F.when(F.col("selected"), F.col("bytes"))), F.lit(0)).alias("used"),
         )
@@ -341,9 +361,10 @@ class Store:
         n = F.size("k")
         result = policy.lexical_outcome(F.lit(outcome == "deny"), F.lit(active), n, F.size("c") - n, F.lit(0))
         trail = one.select(
-            F.lit(source).alias("source"), F.lit(mode).alias("mode"), F.lit(text).alias("query"), result.alias("outcome"), F.lit(budget).cast("long").alias("budget"), "used",
+            F.lit(source).alias("source"), F.lit(mode).alias("mode"), F.lit(packed_by).alias("policy"), F.lit(text).alias("query"), result.alias("outcome"), F.lit(budget).cast("long").alias("budget"), "used",
             I.packet_id(F.lit(budget), F.col("used"), F.col("k")).alias("packet_id"),
-            F.transform("c", lambda c: F.struct(c["segment_id"].alias("segment_id"), c["content_sha256"].alias("content_sha256"), c["rank"].alias("rank"), c["bytes"].alias("bytes"), c["selected"].alias("selected"), c["omission"].alias("omission"))).alias("candidates"),
+            F.lit(space).cast("string").alias("space"), (F.array(*[F.lit(float(v)) for v in values]) if values is not None else F.lit(None)).cast("array<double>").alias("values"),
+            F.transform("c", lambda c: F.struct(*[c[f].alias(f) for f in fields])).alias("candidates"),
         )
         # Ids are of content: the same answer to the same request is the same trail, however often it is recorded.
         request = I.tuple_hash(I.tag("request"), F.col("source"), F.col("mode"), F.col("query"))
@@ -362,6 +383,27 @@ class Store:
         mine = self.trails().where((F.col("source") == source) & (F.col("trail_id") == trail_id) & F.lit(allowed))
         return trails.indexed_now(trails.exploded(mine), self.table("segments"))
 
+    def trail_faults(self) -> DataFrame:
+        """trail_id, position, check, fault: trails of any mode that disagree with themselves or with what the store holds. A sound store has none."""
+        kept = self.trails()
+        none = F.array().cast("array<string>")
+        rows = trails.exploded(kept).select("*", F.lit("accepted").alias("disposition"), none.alias("reasons"))
+        about = kept.select("trail_id", I.source_id("store", F.col("source")).alias("source"), (F.col("policy") == verify.EXACT).alias("exact"), "mode", "space", F.col("source").alias("_name"), "values")
+        met = rows.join(about, "trail_id")
+        told = kept.withColumn("candidates", F.transform("candidates", lambda c: F.struct(*[c[n].alias(n) for n in ("rank", "segment_id", "content_sha256", "bytes", "selected", "omission", "duplicate_of")], F.lit("accepted").alias("disposition"), none.alias("reasons"))))
+        texts = self.table("segments").select("segment_id", "text").distinct()
+        facts = self.table("facts").distinct().join(texts, "segment_id", "left")
+        near = met.where("mode = 'vector' or (mode = 'hybrid' and vector_rank is not null)").withColumn("source", F.col("_name"))
+        embedded = self.table("embeddings").select("space", "source", "segment_id", "content_sha256", "values")
+        found = {
+            "packing": verify.packing_faults(told),
+            "content": verify.content_faults(met, facts, self.table("derivations").distinct()),
+            "vector": verify.cosine_faults(near.drop("values"), kept.select("trail_id", "values"), embedded, ["space", "source", "segment_id"], ["content_sha256"]),
+            "fusion": verify.fusion_faults(met.where("mode = 'hybrid'")),
+        }
+        every = [df.select("trail_id", "position", F.lit(name).alias("check"), "fault") for name, df in found.items()]
+        return every[0].unionByName(every[1]).unionByName(every[2]).unionByName(every[3])
+
     # Evaluation and audit.
 
     def evaluate(self, rankings: DataFrame, judgments: DataFrame) -> DataFrame:
@@ -385,7 +427,7 @@ class Store:
                 "state_log": audit.sequence_gaps(self.table("states")),
                 "leaves": self._wrong_leaves(),
                 "index": self._wrong_index(),
-                "trail_ranks": audit.consecutive_rank_violations(trails.exploded(self.trails()), "trail_id"),
+                "trails": self.trail_faults(),
             }
         )
 

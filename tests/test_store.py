@@ -161,6 +161,38 @@ def test_two_writers_lose_nothing(spark, tmp_path):
         taken._replace(logs={"access": taken.table("access")})
 
 
+def test_trails_are_held_against_the_store(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    store.sync_snapshot("s", listing(spark, a="river water", b="river water", c="stone water river", d="dry"))
+    store.set_access("s", "allow", "me")
+    inputs = store.vector_inputs("s").collect()
+    rows = [(r.source, r.segment_id, r.content_sha256, [0.1 * i, 1.0, 0.3]) for i, r in enumerate(inputs)]
+    store.vector_import("v", spark.createDataFrame(rows, "source string, segment_id string, content_sha256 string, values array<double>"))
+    store.query("s", "river water", budget=20, exact=True)
+    store.query("s", "river water", budget=20)
+    store.vector_query("s", "v", [1.0, 0.7, 0.1])
+    store.hybrid_query("s", "v", "river", [1.0, 0.7, 0.1], exact=True)
+    # Items that are gone leave their facts.
+    store.sync_snapshot("s", listing(spark, c="stone water river", d="dry"))
+    assert store.trail_faults().count() == 0 and store.audit().where("n_rows > 0").count() == 0
+    kept = store.table("trails")
+
+    def faults(**changes):
+        """Of the trails with fields of their first candidate changed."""
+        first = F.transform("candidates", lambda c, i: F.when(i == 0, F.struct(*[(changes.get(n) or (lambda c, n=n: c[n]))(c).alias(n) for n in kept.schema["candidates"].dataType.elementType.names])).otherwise(c))
+        store._replace(trails=kept.withColumn("candidates", first))
+        return {(r.mode, r.check, r.fault) for r in store.trail_faults().join(kept.select("trail_id", "mode"), "trail_id").collect()}
+
+    every = ("lexical", "vector", "hybrid")
+    assert faults(content_sha256=lambda c: F.sha2(F.lit("x"), 256)) >= {(m, "content", "digest") for m in every} | {(m, "packing", "packet") for m in every} | {("vector", "vector", "pins")}
+    assert faults(cosine=lambda c: c["cosine"] * (1 + 2.0**-52)) == {("vector", "vector", "cosine"), ("hybrid", "vector", "cosine")}
+    assert faults(score=lambda c: c["score"] + 1.0) == {("hybrid", "fusion", "fused")}
+    assert {(m, "packing", "rank") for m in every} <= faults(rank=lambda c: c["rank"] + 1)
+    assert {("lexical", "packing", "selected"), ("vector", "packing", "used")} <= faults(selected=lambda c: ~c["selected"])
+    store._replace(trails=kept, derivations=store.table("derivations").where("false"))
+    assert {(r.check, r.fault) for r in store.trail_faults().select("check", "fault").distinct().collect()} == {("content", "ancestry")}
+
+
 def test_put_if_absent(spark, tmp_path):
     path = f"{tmp_path}/x"
     assert tables.put_if_absent(spark, path, b"one") and not tables.put_if_absent(spark, path, b"two")
