@@ -2,6 +2,10 @@
 
 Rows without a counterpart in SQL (language model, sketches, repeated strings, tokenizer)
 make ORACLE_SQL impossible; tests hold the stages against plain versions on a small table.
+
+All stages but the last give the columns that they get, whatever their names; further columns of documents pass. A null text counts as an
+empty one, which the first three stages keep and mixing takes as a text of no words. Repeated rows are one group of near copies. Ties go by the smallest doc_id. Texts of any
+length are taken whole. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -10,7 +14,6 @@ from lodestone.llm import byte_bpe, minhash_dedup, mixing, quality_lm, suffix_de
 from lodestone.llm.common import fresh_dir, prepare, read_table, rest
 from lodestone.llm.queries import tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Bytes of a string that counts as a repeated passage: about 50 short words.
 PASSAGE = 250
@@ -38,16 +41,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that occur more than once; a document of which nothing is left goes."""
     _begin(spark)
-    rest = [c for c in docs.columns if c != "text"]
-    cut = suffix_dedup.remove_repeats(docs, PASSAGE, keep=tuple(rest))
-    left = suffix_dedup.whole_characters(cut.where("n_removed = 0 or n_removed < n_bytes"))
-    return left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    return suffix_dedup.without_repeats(docs, PASSAGE)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents by the weights of their domain, language and source; a second epoch repeats rows."""
     _begin(spark)
-    return mixing.mix_sources(docs, MIX).select(*docs.columns)
+    return mixing.mixed_rows(docs, MIX)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -108,11 +108,20 @@ def _order_hash(mix: Mix) -> Column:
 
 
 def mix_sources(df: DataFrame, mix: Mix = Mix(), doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """Rows of ``df``, one for each epoch that selects them, with ``domain``, ``n_tokens`` and ``epoch``."""
-    keep = [c for c in df.columns if c not in ("domain", "n_tokens", "epoch")]
+    """Rows of ``df``, one for each epoch that selects them, with ``domain``, ``n_tokens`` and ``epoch``; of input columns of these names, the new ones are given."""
+    keep = [F.col("_row").getField(c).alias(c) for c in df.columns if c not in ("domain", "n_tokens", "epoch")]
+    return _mixed(df, mix, doc_id, text, lang, source).select(*keep, F.col("_domain").alias("domain"), F.col("_tokens").alias("n_tokens"), "epoch")
+
+
+def mixed_rows(df: DataFrame, mix: Mix = Mix(), doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    """Rows of ``df``, one for each epoch that selects them, with their own columns, whatever the names."""
+    return _mixed(df, mix, doc_id, text, lang, source).select("_row.*")
+
+
+def _mixed(df: DataFrame, mix: Mix, doc_id: str, text: str, lang: str, source: str) -> DataFrame:
     # The input's columns travel in a struct, so their names clash with nothing.
     rows = df.select(
-        F.struct(*keep).alias("_row"),
+        F.struct(*df.columns).alias("_row"),
         F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("_id"),
         domain_of(source, mix.domains).alias("_domain"),
         F.coalesce(F.col(lang), F.lit("none")).alias("_lang"),
@@ -140,4 +149,4 @@ def mix_sources(df: DataFrame, mix: Mix = Mix(), doc_id: str = "doc_id", text: s
     last = placed.where(place == F.col("_range")).withColumn("_in", F.col("_before") + F.sum("_tokens").over(tied) <= F.col("_left"))
     sure = placed.where(F.col("_range").isNull() | (place != F.col("_range"))).withColumn("_in", F.coalesce(place < F.col("_range"), F.lit(False)))
     epochs = F.expr("if(_full + if(_in, 1, 0) > 0, sequence(0, _full + if(_in, 1, 0) - 1), cast(array() as array<int>))")
-    return sure.unionByName(last).select("_row.*", F.col("_domain").alias("domain"), F.col("_tokens").alias("n_tokens"), F.explode(epochs).alias("epoch"))
+    return sure.unionByName(last).select("_row", "_domain", "_tokens", F.explode(epochs).alias("epoch"))

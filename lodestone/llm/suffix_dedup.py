@@ -357,15 +357,40 @@ def whole_characters(df: DataFrame, kept: str = "kept", out: str = "text") -> Da
     return df.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), f"`{out}` string"]))
 
 
-def remove_repeats(df: DataFrame, length: int = 400, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns with kept (binary), n_bytes, n_removed and n_spans.
+#: Columns that ``remove_repeats`` adds; an input column of such a name gives way to them.
+RESULTS = ("kept", "n_bytes", "n_removed", "n_spans")
 
-    A removed run may begin or end within a character; ``whole_characters`` makes a text of what is kept.
-    """
-    keyed = df.select(*keep, row_key(doc_id, text).alias("doc"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("bytes"))
+
+def _cut(df: DataFrame, length: int, doc_id: str, text: str, keep: list[str]) -> DataFrame:
+    """Columns c0, c1, ... for those of ``keep``, so that their names clash with nothing, and RESULTS."""
+    passed = [F.col(c).alias(f"c{i}") for i, c in enumerate(keep)]
+    keyed = df.select(*passed, row_key(doc_id, text).alias("doc"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("bytes"))
     runs = repeated_runs(keyed.select("doc", "bytes"), length)
     # Pieces of equal rows bear one key, and their runs are equal: one of each will do.
     by_doc = runs.groupBy("doc").agg(F.collect_set(F.struct("start", "windows")).alias("runs"))
-    joined = keyed.join(by_doc, "doc", "left").select(*keep, F.octet_length("bytes").cast("long").alias("n_bytes"), "bytes", "runs")
+    joined = keyed.join(by_doc, "doc", "left").select(*[f"c{i}" for i in range(len(keep))], F.octet_length("bytes").cast("long").alias("n_bytes"), "bytes", "runs")
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields if f.name not in ("bytes", "runs")), "kept binary, n_removed long, n_spans long"])
     return joined.mapInArrow(_remove(length), ddl)
+
+
+def remove_repeats(df: DataFrame, length: int = 400, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` columns with kept (binary), n_bytes, n_removed and n_spans; of input columns of these names, the new ones are given.
+
+    A removed run may begin or end within a character; ``whole_characters`` makes a text of what is kept.
+    """
+    named = [F.col(f"c{i}").alias(c) for i, c in enumerate(keep) if c not in RESULTS]
+    return _cut(df, length, doc_id, text, list(keep)).select(*named, *RESULTS)
+
+
+def without_repeats(df: DataFrame, length: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows of ``df`` without their repeated passages, all columns under their own names; rows of which nothing is left go.
+
+    A column ``n_chars`` follows the text where that has changed. Rows without text stay as they are, repeated rows stay repeated
+    (what is left of them, if anything), and columns may have any names.
+    """
+    rest = [c for c in df.columns if c != text]
+    left = whole_characters(_cut(df, length, doc_id, text, rest).where("n_removed = 0 or n_removed < n_bytes"), out="text")
+    fresh = {c: F.col(f"c{i}").alias(c) for i, c in enumerate(rest)} | {text: F.col("text").alias(text)}
+    if "n_chars" in rest:
+        fresh["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col(f"c{rest.index('n_chars')}")).alias("n_chars")
+    return left.select(*[fresh[c] for c in df.columns])

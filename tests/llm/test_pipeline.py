@@ -92,3 +92,20 @@ def test_tokens(spark, documents):
 def test_empty_table(spark, documents, tmp_path, stage):
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert stage(spark, documents.limit(0), str(tmp_path)).count() == 0
+
+
+CLASHING = ("doc", "bytes", "runs", "kept", "n_bytes", "n_removed", "n_spans", "domain", "n_tokens", "epoch", "c0", "id", "row", "mark")
+
+
+@pytest.mark.parametrize("stage", [f for _, f in P.STAGES[:4]], ids=[n for n, _ in P.STAGES[:4]])
+def test_columns_of_any_name_pass(spark, documents, tmp_path, stage):
+    spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    some = documents.where("doc_id < 12 or doc_id >= 200").selectExpr("*", *[f"'{c}-' || doc_id as {c}" for c in CLASHING])
+    some.write.parquet(str(tmp_path / "some"))
+    some = spark.read.parquet(str(tmp_path / "some"))
+    got = stage(spark, some, str(tmp_path))
+    assert got.columns == some.columns
+    rows = got.collect()
+    assert rows and all(x[c] == f"{c}-{x.doc_id}" for x in rows for c in CLASHING)
+    # And without the column that follows the text.
+    assert "n_chars" not in stage(spark, some.drop("n_chars"), str(tmp_path)).columns
