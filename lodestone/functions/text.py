@@ -19,22 +19,35 @@ def normalized(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, "^﻿", ""), "\r\n?", "\n")
 
 
+# Fixed value: the one Latin letter with marks that keeps them.
+KEPT_MARKS = "\u01e1"
+
+
 @lru_cache(1)
 def _folding() -> tuple[str, str]:
-    """Latin letters with marks, and the letters without, from their canonical decompositions."""
-    marked, plain = [], []
-    for cp in range(0xC0, 0x250):
-        base = unicodedata.normalize("NFD", chr(cp))
-        if len(base) > 1 and all(unicodedata.combining(c) for c in base[1:]):
-            marked.append(chr(cp))
-            plain.append(base[0])
-    return "".join(marked), "".join(plain)
+    """Letters in lower case and what they become: Latin ones lose their marks, others of equal case meaning become one. Then marks that go.
+
+    From Unicode's data: a mark goes if a Latin letter's canonical decomposition has it.
+    """
+    marked, plain, marks = [], [], set()
+    for cp in range(0x80, 0x2000):
+        letter = chr(cp)
+        folded = letter.casefold()
+        folded = folded if len(folded) == 1 else letter
+        base = unicodedata.normalize("NFD", folded)
+        if len(base) > 1 and base[0].isascii() and base[0].isalpha() and all(unicodedata.combining(c) for c in base[1:]):
+            marks.update(base[1:])
+            folded = folded if folded in KEPT_MARKS else base[0]
+        if letter.isalpha() and letter == letter.lower() and folded != letter:
+            marked.append(letter)
+            plain.append(folded)
+    return "".join(marked + sorted(marks)), "".join(plain)
 
 
 def tokens(text: Column) -> Column:
-    """Index tokens: runs of letters, numbers and private-use characters, lower case, Latin marks taken off."""
-    marked, plain = _folding()
-    return F.regexp_extract_all(F.translate(F.lower(text), marked, plain), F.lit(r"([\p{L}\p{N}\p{Co}]+)"), 1)
+    """Index tokens: runs of letters, numbers and private-use characters, in lower case, without the marks of Latin letters, whether they stand alone or not."""
+    letters, become = _folding()
+    return F.regexp_extract_all(F.translate(F.lower(text), letters, become), F.lit(r"([\p{L}\p{N}\p{Co}]+)"), 1)
 
 
 def query_terms(query: Column) -> Column:
