@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..index import index_of
+from ..index import Index, index_of
 from ..operators import corpus, lexical, packing, pruned
 
 BUDGET = 8192
@@ -21,12 +21,17 @@ def terms_of(queries: DataFrame, distinct: bool = False) -> DataFrame:
     return queries.select("query_id", X.capped_terms(X.query_terms(F.coalesce("text", F.lit(""))), distinct).alias("terms"))
 
 
+def index_for(segments: DataFrame) -> Index:
+    """The stored index of segments, with their sources where they have any."""
+    return index_of(segments, scope="source" if "source" in segments.columns else None)
+
+
 def search(segments: DataFrame, queries: DataFrame, limit: int | None = lexical.LIMIT, source: str | None = None, distinct: bool = False, drop_floor: bool = False) -> DataFrame:
     """query_id, segment_id, score, rank. A source restricts what is ranked, not the statistics.
 
     Terms as given, each once (``distinct``), or without those that weigh next to nothing (``drop_floor``).
     """
-    index = index_of(segments, scope="source" if "source" in segments.columns else None)
+    index = index_for(segments)
     terms = terms_of(queries, distinct)
     if drop_floor:
         terms = lexical.floor_reduced(terms, index.postings(), index.lengths()).select("query_id", "terms")
