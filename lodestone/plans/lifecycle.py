@@ -200,9 +200,23 @@ def i6_sequence_verdicts(spark, d):
     return lifecycle.sequence_verdicts(_pushes(spark, d)).select("source", "arrival", "sequence", "high", "verdict")
 
 
-@query()
+# What must come of each kind of event, told by how it was made and not by an automaton.
+@query(
+    """WITH given AS (SELECT user_id, event_id AS n, CASE WHEN event_id % 29 = 0 AND coalesce(lag(event_id) OVER w % 29, 1) <> 0 AND coalesce(lag(event_id, 2) OVER w % 29, 1) <> 0 THEN 'withdraw' WHEN event_id % 4 = 0 THEN 'pull' ELSE 'push' END AS kind
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+seen AS (SELECT *, coalesce(lag(kind) OVER w = 'withdraw', false) AND n % 3 = 0 AND kind <> 'withdraw' AS down FROM given WINDOW w AS (PARTITION BY user_id ORDER BY n)),
+backed AS (SELECT *, kind <> 'withdraw' AND coalesce((lag(kind) OVER w = 'withdraw' AND NOT down) OR (lag(kind, 2) OVER w = 'withdraw' AND lag(down) OVER w), false) AS resumes FROM seen WINDOW w AS (PARTITION BY user_id ORDER BY n)),
+counted AS (SELECT *, kind = 'push' AND NOT down AS push, count(*) FILTER (kind = 'push' AND NOT down) OVER (PARTITION BY user_id ORDER BY n) AS k FROM backed),
+typed AS (SELECT *, CASE WHEN NOT push THEN NULL WHEN k % 11 = 0 AND NOT resumes THEN 'invalid' WHEN k % 13 = 0 THEN 'late' WHEN k % 17 = 0 THEN 'unnumbered' ELSE 'next' END AS type FROM counted),
+placed AS (SELECT *, count(*) FILTER (type = 'next') OVER (PARTITION BY user_id ORDER BY n) AS m FROM typed),
+told AS (
+  SELECT *, CASE WHEN kind = 'withdraw' THEN 'withdrawn' WHEN down THEN 'withdrawn_source' WHEN kind = 'pull' THEN CASE WHEN n % 5 = 0 AND NOT resumes THEN 'conflict' ELSE 'pulled' END
+    WHEN type = 'next' THEN CASE WHEN m = 1 THEN 'first' WHEN m % 6 = 0 THEN 'jump' ELSE 'next' END ELSE type END AS verdict FROM placed)
+SELECT user_id AS source, n AS arrival, verdict, CASE WHEN m > 0 THEN CAST(m + 2 * (m // 6) AS BIGINT) END AS high FROM told
+UNION ALL SELECT user_id, n, 'replay', CAST(m + 2 * (m // 6) AS BIGINT) FROM told WHERE type = 'next' AND n % 19 = 0 AND NOT resumes"""
+)
 def i6_ingest_stream(spark, d):
-    """The same automaton as a stateful stream, and withdrawals and checkpoints besides."""
+    """The whole automaton over all events, as the stream of ``streaming.ingest`` runs it by micro-batches."""
     return ingest.verdicts_of_table(spark, table(spark, d, "events"))
 
 
