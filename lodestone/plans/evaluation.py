@@ -194,10 +194,19 @@ def a19_coverage_curve(spark, d):
     return out.select("budget", "n_queries", F.round("coverage", 9).alias("coverage"), "selected", "used", F.round("utilisation", 9).alias("utilisation"))
 
 
-COMPARED = f"""{METRICS}, a AS (SELECT query_id, string_agg(doc_id, ',' ORDER BY rank) AS ranked FROM docs GROUP BY ALL), b AS (SELECT query_id, string_agg(doc_id, ',' ORDER BY rank) AS ranked FROM docs WHERE rank <= 20 GROUP BY ALL)"""
+# The second run lacks the first document of each.
+COMPARED = f"""{METRICS}, a AS (SELECT query_id, string_agg(doc_id, ',' ORDER BY rank) AS ranked FROM docs GROUP BY ALL), b AS (SELECT query_id, string_agg(doc_id, ',' ORDER BY rank) AS ranked FROM docs WHERE rank > 1 GROUP BY ALL),
+met AS (SELECT query_id, rank FROM docs JOIN good USING (query_id, doc_id)),
+firsts AS (SELECT query_id, coalesce(1.0::DOUBLE / min(rank) FILTER (rank <= 10), 0) AS mrr_a, coalesce(1.0::DOUBLE / min(rank - 1) FILTER (rank BETWEEN 2 AND 11), 0) AS mrr_b FROM (SELECT DISTINCT query_id FROM judged) LEFT JOIN met USING (query_id) GROUP BY query_id)"""
 
 
-@query(with_(COMPARED, "SELECT count(*) AS n_queries, count(*) FILTER (a.ranked = b.ranked) AS n_identical, min(query_id) FILTER (a.ranked <> b.ranked) AS first_difference, round(coalesce(avg(mrr_10), 0) - coalesce(avg(mrr_10), 0), 9) AS delta_mrr_10 FROM a JOIN b USING (query_id) LEFT JOIN metrics USING (query_id)"))
+@query(
+    with_(
+        COMPARED,
+        """SELECT count(*) AS n_queries, count(*) FILTER (a.ranked IS NOT DISTINCT FROM b.ranked) AS n_identical, min(query_id) FILTER (a.ranked IS DISTINCT FROM b.ranked) AS first_difference,
+  round(coalesce(avg(mrr_b) FILTER (b.ranked IS NOT NULL), 0) - coalesce(avg(mrr_a) FILTER (a.ranked IS NOT NULL), 0), 9) AS delta_mrr_10 FROM a FULL JOIN b USING (query_id) LEFT JOIN firsts USING (query_id)""",
+    )
+)
 def a21_compare_runs(spark, d):
     docs, judged = _document_ranks(spark, d), _judgments(spark, d)
 
@@ -205,7 +214,7 @@ def a21_compare_runs(spark, d):
         listed = rows.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "doc_id"))), lambda s: s["doc_id"].cast("string")), ",").alias("ranked"))
         return listed.join(ireval.metrics(rows, judged).select("query_id", "mrr_10"), "query_id", "left")
 
-    out = ireval.compare(report(docs), report(docs.where("rank <= 20")), ["mrr_10"])
+    out = ireval.compare(report(docs), report(docs.where("rank > 1").withColumn("rank", F.col("rank") - 1)), ["mrr_10"])
     return out.withColumn("delta_mrr_10", F.round("delta_mrr_10", 9))
 
 

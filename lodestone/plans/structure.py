@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import identity as I
 from ..operators import audit, corpus, lexical, lifecycle, lineage, trails
 from ..sources import directory, jsonl
 from . import search as S
@@ -128,15 +129,37 @@ def q7_derived_differently(spark, d):
     return audit.derived_differently(derived.where("ordinal <> 1"), derived).select("segment_id", "side")
 
 
-@query(with_(ITEMS, "SELECT 'coordinates' AS \"check\", 0 AS n_rows UNION ALL SELECT 'orphan_lines', (SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)) UNION ALL SELECT 'twice_identified', (SELECT count(*) FROM (SELECT observation_id FROM items GROUP BY 1 HAVING count(*) > 1))"))
+# Planted: ends of segments, lines of orders that are open, items that come again, access times, digests of texts.
+@query(
+    with_(
+        SEGMENTS,
+        """, n AS (SELECT 'coordinates' AS "check", count(*) FILTER (doc_id % 7 = 0) AS n_rows FROM segs
+UNION ALL SELECT 'orphan_lines', count(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O')
+UNION ALL SELECT 'twice_identified', count(*) FILTER (doc_id % 9 = 0) FROM items
+UNION ALL SELECT 'digests', count(*) FILTER (doc_id % 5 = 0) FROM items
+UNION ALL SELECT 'segments', count(*) FILTER (ordinal = 1) FROM segs
+UNION ALL SELECT 'log', (SELECT count(*) FROM (SELECT event_id, lag(event_id) OVER (ORDER BY event_id) AS before FROM events WHERE event_id % 10 <> 3) WHERE event_id <> coalesce(before, -1) + 1))
+SELECT * FROM n""",
+    ).replace("\n,", ",", 1)
+)
 def q1_audit(spark, d):
-    segments = S.segments_of(table(spark, d, "documents"))
-    items = corpus.items(table(spark, d, "documents"))
+    documents = table(spark, d, "documents")
+    items = corpus.items(documents)
+    segments = corpus.fixed_segments(items)
+    moved = segments.withColumn("stop", F.when(F.col("doc_id") % 7 == 0, F.col("stop") + 1).otherwise(F.col("stop")))
+    kept = table(spark, d, "orders").where("o_orderstatus <> 'O'").select(F.col("o_orderkey").alias("l_orderkey"))
+    named = items.select("doc_id", "observation_id")
+    told = items.withColumn("content_sha256", F.when(F.col("doc_id") % 5 == 0, F.sha2(F.lit("other"), 256)).otherwise(F.col("content_sha256")))
+    log = table(spark, d, "events").where("event_id % 10 <> 3").select((F.col("event_id") + 1).alias("seq"))
+    derived = segments.select("segment_id", "ordinal")
     return audit.violations(
         {
-            "coordinates": segments.where(~corpus.coordinates_hold(segments)),
-            "orphan_lines": audit.orphans(table(spark, d, "lineitem").select("l_orderkey"), table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey")), ["l_orderkey"]),
-            "twice_identified": items.groupBy("observation_id").count().where("count > 1"),
+            "coordinates": moved.where(~corpus.coordinates_hold(moved)),
+            "orphan_lines": audit.orphans(table(spark, d, "lineitem").select("l_orderkey"), kept, ["l_orderkey"]),
+            "twice_identified": named.unionByName(named.where("doc_id % 9 = 0")).groupBy("observation_id").count().where("count > 1"),
+            "digests": told.where(I.content_digest(F.col("body")) != F.col("content_sha256")),
+            "segments": audit.derived_differently(derived.where("ordinal <> 1").select("segment_id"), derived.select("segment_id")),
+            "log": audit.sequence_gaps(log),
         }
     )
 
@@ -214,12 +237,17 @@ def src9_judgments(spark, d):
     return got.select(F.col("query_id").cast("long").alias("query_id"), F.col("doc_id").cast("long").alias("doc_id"), "gain")
 
 
-@query("SELECT (SELECT count(*) FROM (SELECT doc_id FROM documents ORDER BY CAST(doc_id AS VARCHAR) LIMIT 100)) AS n_docs, (SELECT count(*) FROM labels WHERE doc_id IN (SELECT doc_id FROM documents ORDER BY CAST(doc_id AS VARCHAR) LIMIT 100)) AS n_judgments, (SELECT count(DISTINCT doc_id % 7) FROM labels WHERE quality > 0 AND doc_id IN (SELECT doc_id FROM documents ORDER BY CAST(doc_id AS VARCHAR) LIMIT 100)) AS n_queries")
+@query(
+    """WITH kept AS (SELECT doc_id FROM documents ORDER BY CAST(doc_id AS VARCHAR) LIMIT 100), judged AS (SELECT doc_id % 7 AS query_id, doc_id, quality FROM labels WHERE doc_id IN (SELECT doc_id FROM kept))
+SELECT 'document' AS kind, CAST(NULL AS BIGINT) AS query_id, CAST(doc_id AS VARCHAR) AS doc_id, CAST(NULL AS BIGINT) AS gain FROM kept
+UNION ALL SELECT 'judgment', query_id, CAST(doc_id AS VARCHAR), CAST(quality AS BIGINT) FROM judged UNION ALL SELECT DISTINCT 'query', query_id, NULL, CAST(NULL AS BIGINT) FROM judged WHERE quality > 0"""
+)
 def src10_limit_corpus(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"))
-    judged = table(spark, d, "labels").select((F.col("doc_id") % 7).alias("query_id"), F.col("doc_id").cast("string").alias("doc_id"), F.col("quality").alias("gain"))
-    a, b, c = jsonl.limit_corpus(docs, judged, judged.select("query_id").distinct(), 100)
-    return a.agg(F.count("*").alias("n_docs")).crossJoin(b.agg(F.count("*").alias("n_judgments"))).crossJoin(c.agg(F.count("*").alias("n_queries")))  # one row each
+    judged = table(spark, d, "labels").select((F.col("doc_id") % 7).alias("query_id"), F.col("doc_id").cast("string").alias("doc_id"), F.col("quality").cast("long").alias("gain"))
+    kept = jsonl.limit_corpus(docs, judged, judged.select("query_id").distinct(), 100)
+    shown = [df.select(F.lit(kind).alias("kind"), *[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in (("query_id", "long"), ("doc_id", "string"), ("gain", "long"))]) for kind, df in zip(("document", "judgment", "query"), kept, strict=True)]
+    return shown[0].unionByName(shown[1]).unionByName(shown[2])
 
 
 @query("SELECT vec_id, 64 AS dimensions, round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS total FROM embeddings")

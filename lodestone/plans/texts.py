@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import identity as I
 from ..functions import text as X
 from ..operators import blocks, corpus, lexical, packing, passages, trails
+from ..tables import Scratch
 from . import search as S
 from .sql import CHUNKS, HTML_BLOCKS, INDEX, ITEMS, MD_BLOCKS, PACKED, PACKED_EXACT, SCORES, SEGMENTS, TERMS, field, raw, tag, tokens, u64, with_
 
@@ -198,11 +199,12 @@ def p4_packet_ids(spark, d):
     return picked.select("query_id", I.packet_id(F.lit(S.BUDGET), F.col("used"), F.col("s")).alias("packet_id"))
 
 
-@query(with_(PACKED, "SELECT query_id, count(*) AS n_rows, count(*) FILTER (sel) AS n_selected FROM cands c JOIN walk w USING (query_id, rank) GROUP BY query_id"))
+@query(with_(PACKED, "SELECT query_id, c.rank AS position, segment_id, bytes, sel AS selected FROM cands c JOIN walk w USING (query_id, rank)"))
 def snk4_trail_round_trip(spark, d):
+    """Candidates are stored as one list, written and read again: order and contents stay."""
     rows = S.selection(*_found(spark, d)).select(F.col("query_id").alias("trail_id"), F.col("rank").alias("position"), "segment_id", "bytes", "selected")
-    again = trails.exploded(trails.gathered(rows))
-    return again.groupBy(F.col("trail_id").alias("query_id")).agg(F.count("*").alias("n_rows"), F.count_if("selected").alias("n_selected"))
+    stored = Scratch(spark, "round-trip").stored(trails.gathered(rows), "trails")
+    return trails.exploded(stored).withColumnRenamed("trail_id", "query_id")
 
 
 @query("SELECT doc_id, CAST(n_chars AS BIGINT) AS n, CASE WHEN n_chars <> 0 AND n_chars % 1073741824 = 0 THEN (n_chars // 1073741824) || ' GiB' WHEN n_chars <> 0 AND n_chars % 1048576 = 0 THEN (n_chars // 1048576) || ' MiB' WHEN n_chars <> 0 AND n_chars % 1024 = 0 THEN (n_chars // 1024) || ' KiB' ELSE n_chars || ' B' END AS shown FROM documents")
