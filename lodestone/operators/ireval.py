@@ -105,6 +105,26 @@ def compare(left: DataFrame, right: DataFrame, names: list[str]) -> DataFrame:
     )
 
 
+def rescored(saved: DataFrame, judgments: DataFrame) -> DataFrame:
+    """run, n_queries, mean ndcg_10, recall_100 and mrr_10, the same gain by yes and no, results removed as the query itself, and ndcg_10 with them.
+
+    saved: run, query_id, ranked (array of document ids, best first). Means are over the queries of a run that have judgments, and 0 without any.
+    """
+    key = F.struct("run", "query_id")
+    rows = saved.select(key.alias("query_id"), F.posexplode("ranked").alias("rank", "doc_id")).withColumn("rank", F.col("rank") + 1)
+    own = F.col("doc_id").cast("string") == F.col("query_id.query_id").cast("string")
+    order = Window.partitionBy("query_id").orderBy("rank")
+    others = rows.where(~own).withColumn("rank", F.row_number().over(order))
+    asked = judgments.join(saved.select("run", "query_id").distinct(), "query_id").select(key.alias("query_id"), "doc_id", "gain")
+    plain, binary, whole = metrics(others, asked), metrics(others, asked, graded=False), metrics(rows, asked)
+    both = plain.join(binary.select("query_id", F.col("ndcg_10").alias("binary_ndcg_10")), "query_id").join(whole.select("query_id", F.col("ndcg_10").alias("ndcg_10_with_self")), "query_id")
+    names = ("ndcg_10", "recall_100", "mrr_10", "binary_ndcg_10", "ndcg_10_with_self")
+    means = both.groupBy("query_id.run").agg(F.count("*").alias("n_queries"), *[F.avg(n).alias(n) for n in names])
+    removed = rows.groupBy("query_id.run").agg(F.count_if(own).alias("n_self_removed"))
+    out = saved.select("run").distinct().join(means, "run", "left").join(removed, "run", "left")
+    return out.select("run", *[F.coalesce(n, F.lit(0)).alias(n) for n in ("n_queries", "n_self_removed")], *[F.coalesce(n, F.lit(0.0)).alias(n) for n in names])
+
+
 def invalid_rankings(rankings: DataFrame) -> DataFrame:
     """Queries that rank a document twice."""
     return rankings.groupBy("query_id").agg(F.count("*").alias("n_ranked"), F.countDistinct("doc_id").alias("n_distinct")).where("n_ranked <> n_distinct")

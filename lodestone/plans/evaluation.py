@@ -300,3 +300,28 @@ def a24_halves(spark, d):
     rows = table(spark, d, "benchmark").select(F.col("item_id").alias("question"), (F.col("item_id") % 3).alias("kind"))
     return questions.halves(rows, "split-1:")
 
+
+
+def _mean_sql(rows: str) -> str:
+    return f"""(SELECT run, query_id, coalesce((sum(gain / log2(rank + 1) ORDER BY rank) FILTER (rank <= 10)) / nullif(any_value(ideal), 0), 0) AS ndcg, coalesce(count(gain) FILTER (rank <= 100) / nullif(any_value(n_good), 0), 0) AS recall,
+  coalesce(1.0::DOUBLE / (min(rank) FILTER (rank <= 10 AND gain IS NOT NULL)), 0) AS mrr
+  FROM (SELECT DISTINCT run, query_id FROM runs JOIN (SELECT DISTINCT query_id FROM judged) USING (query_id)) LEFT JOIN ideal USING (query_id) LEFT JOIN (SELECT * FROM {rows} JOIN good USING (query_id, doc_id)) USING (run, query_id) GROUP BY ALL)"""
+
+
+# Two saved runs: the ranking itself, and the one without its first documents. Numbers of some documents are those of queries, too.
+@query(
+    with_(
+        METRICS,
+        f""", runs AS (SELECT 1 AS run, query_id, doc_id, rank FROM docs UNION ALL SELECT 2, query_id, doc_id, rank - 1 FROM docs WHERE rank > 1),
+others AS (SELECT run, query_id, doc_id, row_number() OVER (PARTITION BY run, query_id ORDER BY rank) AS rank FROM runs WHERE doc_id <> query_id),
+a AS {_mean_sql("others")}, b AS {_mean_sql("runs")}
+SELECT run, count(*) AS n_queries, (SELECT count(*) FROM runs r WHERE r.run = a.run AND doc_id = query_id) AS n_self_removed, round(avg(a.ndcg), 9) AS ndcg_10, round(avg(a.recall), 9) AS recall_100, round(avg(a.mrr), 9) AS mrr_10, round(avg(a.ndcg), 9) AS binary_ndcg_10,
+  round(avg(b.ndcg), 9) AS ndcg_10_with_self FROM a JOIN b USING (run, query_id) GROUP BY run""",
+    ).replace("\n,", ",", 1)
+)
+def a27_rescored_runs(spark, d):
+    docs = _document_ranks(spark, d)
+    runs = docs.withColumn("run", F.lit(1)).unionByName(docs.where("rank > 1").withColumn("run", F.lit(2)))
+    saved = runs.groupBy("run", "query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "doc_id"))), lambda s: s["doc_id"]).alias("ranked"))
+    out = ireval.rescored(saved, _judgments(spark, d))
+    return out.select("run", "n_queries", "n_self_removed", *[F.round(c, 9).alias(c) for c in ("ndcg_10", "recall_100", "mrr_10", "binary_ndcg_10", "ndcg_10_with_self")])

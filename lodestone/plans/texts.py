@@ -160,6 +160,21 @@ def x12_floor_reduction(spark, d):
     return out.select("query_id", F.size("terms").cast("long").alias("n_kept"), "n_dropped", "fallback")
 
 
+@query(
+    with_(
+        SCORES,
+        """, strongest AS (SELECT t.query_id, t.ordinal, coalesce(max(round(x, 9)), 0) AS m FROM terms t LEFT JOIN asked a ON a.query_id = t.query_id AND a.ordinal = t.ordinal LEFT JOIN rated USING (phrase) GROUP BY ALL),
+strong AS (SELECT query_id, ordinal FROM strongest s WHERE m > 3e-6 OR NOT EXISTS (SELECT 1 FROM strongest o WHERE o.query_id = s.query_id AND o.m > 3e-6)),
+fewer AS (SELECT query_id, segment_id, -1 * sum(x ORDER BY ordinal) AS score FROM asked JOIN strong USING (query_id, ordinal) JOIN rated USING (phrase) GROUP BY ALL),
+placed AS (SELECT query_id, segment_id, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), segment_id) AS rank FROM fewer)
+SELECT * FROM placed WHERE rank <= 100""",
+    ).replace("\n,", ",", 1)
+)
+def x11_drop_floor(spark, d):
+    """The search without terms that weigh next to nothing in any segment."""
+    return S.search(_segments(spark, d), _asked(spark, d), drop_floor=True).select("query_id", "segment_id", "score", "rank")
+
+
 @query(with_(PACKED, "SELECT query_id, c.rank, segment_id, bytes, sel AS selected FROM cands c JOIN walk w USING (query_id, rank)"))
 def k1_pack(spark, d):
     return S.selection(*_found(spark, d)).select("query_id", "rank", "segment_id", "bytes", "selected")
