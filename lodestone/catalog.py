@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import evaluation, lifecycle, records, search, structure, texts, verification
+from .plans import canonical, evaluation, lifecycle, records, search, structure, texts, verification
 from .runtime import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (texts, structure, lifecycle, evaluation, records, verification)
+MODULES = (texts, structure, lifecycle, evaluation, records, verification, canonical)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

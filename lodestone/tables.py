@@ -6,15 +6,21 @@ import atexit
 import contextlib
 import hashlib
 import os
+import re
 import uuid
+import warnings
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a folder beside the warehouse only where that is unset."""
-    place = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    """The session's checkpoint folder; a folder beside the warehouse only where that is unset, with a warning on a cluster."""
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if not place:
+        place = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            warnings.warn(f"spark.checkpoint.dir is unset: {place} must be a folder that all executors share", stacklevel=2)
     return place.rstrip("/")
 
 
