@@ -1,17 +1,18 @@
 """Blocks of HTML and Markdown files with byte ranges, and chunks of consecutive blocks.
 
 A file is exploded into lines or markup tokens; running sums over them give bytes, states and block numbers,
-and one aggregation makes the blocks. Only character references need Python, in texts that have any.
+and one aggregation makes the blocks. Only character references need Python, which gets them without the texts they stand in.
 """
 
 from __future__ import annotations
 
 import html
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 from pyspark.sql.window import Window
 
 # Tags that end a block.
@@ -22,15 +23,30 @@ _WHITE = r"[ \t\n\r\x0B\f\x1C-\x1F\x85\xA0  -     　]+"
 CHUNK_TOKENS = 450
 
 
-@F.pandas_udf(StringType())
-def _unescaped(text: pd.Series) -> pd.Series:
-    return text.map(html.unescape, na_action="ignore")
+#: What may be a character reference, as in the standard library's ``html``; and one that ends with its sign.
+_REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+_CLOSED = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[^\t\n\f <&#;]{1,32});"
 
 
-def plain(text: Column) -> Column:
-    """Character references resolved, white space collapsed."""
-    resolved = F.when(F.contains(text, F.lit("&")), _unescaped(text)).otherwise(text)
-    return F.btrim(F.regexp_replace(resolved, _WHITE, " "), F.lit(" "))
+def _resolved(closed: bool):
+    @F.pandas_udf(ArrayType(StringType()))
+    def resolve(references: pd.Series) -> pd.Series:
+        one = lambda r: r if closed and r[1] != "#" and r[1:] not in html5 else html.unescape(r)
+        return references.map(lambda rs: [one(r) for r in rs], na_action="ignore")
+
+    return resolve
+
+
+def plain(text: Column, closed: bool = False) -> Column:
+    """Character references resolved (``closed``: only those that end with a semicolon), white space collapsed.
+
+    Python sees the references only, never the text around them.
+    """
+    pattern = F.lit(_CLOSED if closed else _REFERENCE)
+    has = F.contains(text, F.lit("&"))
+    found = _resolved(closed)(F.when(has, F.regexp_extract_all(text, pattern, 0)))
+    pieces = F.zip_with(F.split(text, pattern, -1), found, lambda t, r: F.concat(t, F.coalesce(r, F.lit(""))))
+    return F.btrim(F.regexp_replace(F.when(has, F.array_join(pieces, "")).otherwise(text), _WHITE, " "), F.lit(" "))
 
 
 def _running(rows: DataFrame, key: str, order: str, unit: str, more: Column | int = 0) -> DataFrame:
@@ -40,16 +56,16 @@ def _running(rows: DataFrame, key: str, order: str, unit: str, more: Column | in
     return rows.withColumn("start", start).withColumn("stop", F.col("start") + F.octet_length(unit))
 
 
-def _gathered(parts: DataFrame, key: str, order: str, between: str) -> DataFrame:
+def _gathered(parts: DataFrame, key: str, order: str, between: str, closed: bool) -> DataFrame:
     """Parts (key, block, order, start, stop, part, is_heading) -> key, ordinal, start, stop, text, is_heading."""
     texts = F.sort_array(F.collect_list(F.struct(order, "part")))
     found = parts.groupBy(key, "block").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), texts.alias("_texts"), F.max("is_heading").alias("is_heading"))
-    found = found.withColumn("text", plain(F.array_join(F.transform("_texts", lambda t: t["part"]), between))).where("text <> ''")
+    found = found.withColumn("text", plain(F.array_join(F.transform("_texts", lambda t: t["part"]), between), closed)).where("text <> ''")
     ordinal = (F.row_number().over(Window.partitionBy(key).orderBy("start")) - 1).alias("ordinal")
     return found.select(key, ordinal, "start", "stop", "text", "is_heading")
 
 
-def md_blocks(files: DataFrame, key: str, body: str) -> DataFrame:
+def md_blocks(files: DataFrame, key: str, body: str, closed: bool = False) -> DataFrame:
     """Paragraphs, single list items, table rows and code lines, and headings of Markdown and plain text."""
     lines = files.select(key, F.posexplode(F.split(F.coalesce(F.col(body), F.lit("")), "\n", -1)).alias("line", "raw"))
     lines = _running(lines, key, "line", "raw", 1).withColumn("bare", F.btrim("raw", F.lit(_ASCII)))
@@ -64,10 +80,10 @@ def md_blocks(files: DataFrame, key: str, body: str) -> DataFrame:
     goes_on = (F.col("kind") == "prose") & F.coalesce(F.lag("kind").over(by) == "prose", F.lit(False))
     lines = lines.withColumn("block", F.sum((~goes_on).cast("int")).over(by)).where("kind <> 'none'")
     part = F.when(F.col("kind") == "heading", F.regexp_replace("bare", r"^#{1,6}[ \t\n\r\x0B\f]+", "")).otherwise(F.col("raw"))
-    return _gathered(lines.withColumn("part", part).withColumn("is_heading", F.col("kind") == "heading"), key, "line", "\n")
+    return _gathered(lines.withColumn("part", part).withColumn("is_heading", F.col("kind") == "heading"), key, "line", "\n", closed)
 
 
-def html_blocks(files: DataFrame, key: str, body: str) -> DataFrame:
+def html_blocks(files: DataFrame, key: str, body: str, closed: bool = False) -> DataFrame:
     """Texts between tags that end a block; scripts and styles are skipped, the title is dropped."""
     tokens = F.regexp_extract_all(F.coalesce(F.col(body), F.lit("")), F.lit(r"(?s)(<!--.*?-->|</?[a-zA-Z0-9]+[^>]*>|[^<]+|<)"), 1)
     rows = _running(files.select(key, F.posexplode(tokens).alias("place", "token")), key, "place", "token")
@@ -89,7 +105,7 @@ def html_blocks(files: DataFrame, key: str, body: str) -> DataFrame:
     texts = texts.withColumn("part", F.btrim("whole", F.lit(_ASCII))).where("part <> ''")
     first = F.col("start") + F.octet_length("whole") - F.octet_length(F.ltrim("whole", F.lit(_ASCII)))
     texts = texts.withColumn("start", first.cast("long")).withColumn("stop", F.col("start") + F.octet_length("part"))
-    return _gathered(texts.withColumn("is_heading", F.col("within") != ""), key, "run", " ")
+    return _gathered(texts.withColumn("is_heading", F.col("within") != ""), key, "run", " ", closed)
 
 
 def with_heading(blocks: DataFrame, key: str) -> DataFrame:
