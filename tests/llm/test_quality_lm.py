@@ -129,3 +129,14 @@ def test_each_language_has_its_own_sample(spark, monkeypatch):
     got = Q.judge(docs, labels, sample=40).collect()
     assert len({x.threshold for x in got}) == 2
     assert sum(x.rejected for x in got if x.lang == "xx") <= 3
+
+
+def test_the_model_is_fitted_on_all_trusted_text_that_is_not_held_out(spark, monkeypatch):
+    rows = [(i, ("ab" if i % 2 else "xyz ") * (i % 7 + 1), "en") for i in range(60)]
+    docs, labels = spark.createDataFrame(rows, "doc_id int, text string, lang string"), spark.createDataFrame([(i, 1) for i in range(60)], "doc_id int, quality int")
+    seen = []
+    monkeypatch.setattr(Q, "fit", lambda trusted, order, fit=Q.fit: (seen.append(sorted(r.text for r in trusted.collect())), fit(trusted, order))[1])
+    assert not hasattr(Q, "TRUSTED")
+    Q.judge(docs, labels).collect()
+    kept = docs.where(F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(5)) != 0)
+    assert seen == [sorted(r.text for r in kept.collect())]
