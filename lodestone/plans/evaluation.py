@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..operators import ireval, questions, vectors
 from ..operators.lexical import ranked
+from ..tables import Scratch
 from . import search as S
 from .sql import SCORES, with_
 
@@ -182,10 +183,11 @@ def _walk(budget: int) -> str:
 )
 def a19_coverage_curve(spark, d):
     segments, found = _search(spark, d)
+    about = Scratch(spark, "curve").stored(S.candidates(segments, found), "candidates")
     judged = _judgments(spark, d)
     runs = None
     for b in BUDGETS:
-        one = S.selection(segments, found, b).withColumn("budget", F.lit(b))
+        one = S.packed(about, b).withColumn("budget", F.lit(b))
         runs = one if runs is None else runs.unionByName(one)
     cover = ireval.coverage(runs.where("selected"), judged, ["budget"])
     sums = runs.groupBy("budget", "query_id").agg(F.count_if("selected").alias("n_selected"), F.coalesce(F.sum(F.when(F.col("selected"), F.col("bytes"))), F.lit(0)).alias("used_bytes"))
