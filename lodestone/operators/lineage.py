@@ -44,10 +44,35 @@ def descendants(roots: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def origins(leaves: DataFrame, edges: DataFrame) -> DataFrame:
-    """leaf, origin: the nodes without parents that each leaf derives from, itself if it has none, each pair once."""
-    found = _reached(leaves.select(F.col("leaf").alias("root"), F.col("leaf").alias("node")), edges, "child", "parent")
-    inner = edges.where("parent is not null").select(F.col("child").alias("node")).distinct()
-    return found.join(inner, "node", "left_anti").select(F.col("root").alias("leaf"), F.col("node").alias("origin"))
+    """leaf, origin: the nodes without parents that each leaf derives from, itself if it has none, each pair once.
+
+    Origins come down from the nodes without parents, round by round, as pairs (node, origin) that are new: a leaf meets the origins of its parents, not all
+    that is above it, and what leaves share is worked out once.
+    """
+    work = Scratch(leaves.sparkSession, "origins")
+    up = work.stored(edges.where("child is not null and parent is not null").select("child", "parent").distinct(), "edges")
+    asked = work.stored(leaves.select(F.col("leaf").alias("node")).where("node is not null").distinct(), "leaves")
+    parents = up.select(F.col("parent").alias("node"))
+    # Nodes above others; leaves that are none of them get theirs in the last step, once.
+    tops = work.stored(parents.distinct().join(up.select(F.col("child").alias("node")), "node", "left_anti").select("node", F.col("node").alias("origin")), "round0")
+    inner = work.stored(up.join(parents.distinct().withColumnRenamed("node", "child"), "child", "left_semi"), "inner")
+    tables, frontier = [tops], tops
+    for turn in range(1, MAX_DEPTH + 1):
+        known = tables[0]
+        for t in tables[1:]:
+            known = known.unionByName(t)
+        met = frontier.join(inner.select(F.col("parent").alias("node"), "child"), "node").select(F.col("child").alias("node"), "origin").distinct()
+        frontier = work.stored(met.join(known, ["node", "origin"], "left_anti"), f"round{turn}")
+        if frontier.isEmpty():
+            break
+        tables.append(frontier)
+        if len(tables) == MERGED:
+            tables = [work.stored(known.unionByName(frontier), f"upto{turn}")]
+    else:
+        raise ValueError(f"ancestry is deeper than {MAX_DEPTH}")
+    own = asked.join(up.select(F.col("child").alias("node")), "node", "left_anti").select(F.col("node").alias("leaf"), F.col("node").alias("origin"))
+    above = asked.join(up, asked["node"] == up["child"]).select(F.col("child").alias("leaf"), F.col("parent").alias("node"))
+    return own.unionByName(above.join(known, "node").select("leaf", "origin").distinct())
 
 
 def evidence_paths(leaves: DataFrame, edges: DataFrame) -> DataFrame:
