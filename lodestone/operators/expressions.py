@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -94,9 +94,34 @@ def matches(posted: DataFrame, tree: Node | Leaf, key: str = "segment_id") -> Da
     return left.join(right, key, "left_semi" if tree.operator == "AND" else "left_anti")
 
 
+def holds(tokens: Column, tree: Node | Leaf, spark: SparkSession) -> Column:
+    """Whether the tree accepts a row of these tokens: ``matches`` where whole rows are at hand, so that nothing is joined."""
+    if isinstance(tree, Node):
+        left, right = holds(tokens, tree.left, spark), holds(tokens, tree.right, spark)
+        return left | right if tree.operator == "OR" else left & right if tree.operator == "AND" else left & ~right
+    words = _words(spark, tree)
+    if not words:
+        return F.lit(False)
+    fits = lambda t, i: F.coalesce(t.startswith(words[i]) if tree.prefix and i == len(words) - 1 else t == words[i], F.lit(False))
+    if len(words) == 1:
+        return F.coalesce(F.exists(tokens, lambda t: fits(t, 0)), F.lit(False))
+    runs = F.arrays_zip(*[F.slice(tokens, i + 1, F.greatest(F.size(tokens), F.lit(1))).alias(f"w{i}") for i in range(len(words))])
+
+    def all_fit(run: Column) -> Column:
+        out = fits(run["w0"], 0)
+        for i in range(1, len(words)):
+            out = out & fits(run[f"w{i}"], i)
+        return out
+
+    return F.coalesce(F.exists(runs, all_fit), F.lit(False))
+
+
+def _words(spark: SparkSession, leaf: Leaf) -> list[str]:
+    return spark.range(1).select(X.tokens(F.lit(leaf.text)).alias("t")).first()["t"]  # one row
+
+
 def _leaf(posted: DataFrame, leaf: Leaf, key: str) -> DataFrame:
-    spark = posted.sparkSession
-    words = spark.range(1).select(X.tokens(F.lit(leaf.text)).alias("t")).first()["t"]  # one row
+    words = _words(posted.sparkSession, leaf)
     if not words:
         return posted.select(key).limit(0)
     places = None
