@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import vectors as V
 from ..operators import ireval, questions, vectors
@@ -73,9 +74,11 @@ both_sides AS (SELECT query_id, vec_id, l.rank AS lexical_rank, v.rank AS vector
 
 def v4_fused_exact(spark: SparkSession, d: str) -> DataFrame:
     """The other ranking goes by the distance of ids within a label."""
-    all_ = table(spark, d, "embeddings").select("vec_id", "label")
-    asked = all_.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    other = all_.join(asked, "label").withColumn("score", F.abs(F.col("vec_id") - F.col("query_id")))
+    all_ = table(spark, d, "embeddings").select("vec_id", "label").where("label is not null")
+    # The ten nearest ids are among the ten before and the ten after.
+    beside = F.collect_list("vec_id").over(Window.partitionBy("label").orderBy("vec_id").rowsBetween(-10, 10))
+    other = all_.withColumn("_near", beside).where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.explode("_near").alias("vec_id"))
+    other = other.withColumn("score", F.abs(F.col("vec_id") - F.col("query_id")))
     other = ranked(other, "query_id", "vec_id", 10)
     return vectors.fuse(other, _near(spark, d), ["query_id", "vec_id"], "vec_id")
 

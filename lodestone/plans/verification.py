@@ -155,9 +155,8 @@ UNION ALL SELECT query_id, rank, 'cosine' FROM top WHERE vec_id % 13 <> 0 AND ve
 def q4_vector_faults(spark, d):
     all_ = evaluation._vectors(spark, d)
     asked = all_.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "values")
-    exact = vectors.exact_neighbours(all_, asked).select("query_id", "vec_id", F.col("score").alias("cosine"))
-    best = Window.partitionBy("query_id").orderBy(F.desc(F.round("cosine", 9)), "vec_id")
-    rows = exact.withColumn("position", F.row_number().over(best).cast("long")).where("position <= 10").join(all_.select("vec_id", "label"), "vec_id")
+    exact = vectors.exact_neighbours(all_, asked, limit=10, digits=9, raw=True)
+    rows = exact.select("query_id", "vec_id", F.col("score").alias("cosine"), F.col("rank").alias("position")).join(all_.select("vec_id", "label"), "vec_id")
     rows = rows.withColumn("cosine", F.when(F.col("vec_id") % 7 == 0, F.col("cosine") + 1e-13).otherwise(F.col("cosine"))).withColumn("label", F.when(F.col("vec_id") % 11 == 0, F.col("label") + 1).otherwise(F.col("label")))
     return verify.cosine_faults(rows, asked, all_.where("vec_id % 13 <> 0"), ["vec_id"], ["label"], "query_id")
 
