@@ -290,6 +290,23 @@ def score(docs: DataFrame, tables: list[DataFrame], keep: list[str], blocks: int
 RESULTS = ("n_scored", "perplexity", "shrunk", "quantile", "threshold", "rejected")
 
 
+#: Bits of the bitmap of ids, and of one row of it (fixed by Spark's ``bitmap_construct_agg``): of one size, whatever the labels.
+MARKS, ROW_MARKS = 1 << 25, 1 << 15
+
+
+def _picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` (id and others) whose id is among ``ids`` (distinct ones).
+
+    A bitmap of hashed ids tells most others in place, so that their texts don't move; the join decides on the rest.
+    """
+    mark = F.pmod(F.xxhash64(F.lit("mark"), "id"), F.lit(MARKS))
+    row, bit = F.floor(mark / ROW_MARKS), F.pmod(mark, F.lit(ROW_MARKS)).cast("int")
+    marks = ids.groupBy(row.alias("_row")).agg(F.bitmap_construct_agg(bit).alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = docs.withColumn("_row", row).join(F.broadcast(marks), "_row").where(F.getbit(byte, bit % 8) == 1)
+    return found.select(*docs.columns).join(ids, "id")
+
+
 def _drawn(fits: DataFrame, sample: int) -> DataFrame:
     """Ids of about ``sample`` rows (id, lang) of each language: by hash, so that the same ones are drawn each time and no task has a language to itself."""
     fits = stored(fits, "fits")
@@ -308,7 +325,7 @@ def _judged(documents: DataFrame, labels: DataFrame, keep: list[str], doc_id: st
     chosen = good.where("not held_out").select("id")
     if sample is not None:
         chosen = _drawn(inner.select("id", "lang").join(chosen, "id"), sample)
-    tables = fit(inner.select("id", "text").join(chosen, "id"), order)
+    tables = fit(_picked(inner.select("id", "text"), chosen), order)
     size = inner.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(-(-int(size) // BLOCK), 1)
     carried = ["id", "lang", *(p for p in passed if p in inner.columns), *(["text"] if text in keep else [])]
