@@ -1,18 +1,16 @@
 """Blocks of HTML and Markdown files with byte ranges, and chunks of consecutive blocks.
 
 A file is exploded into lines or markup tokens; running sums over them give bytes, states and block numbers,
-and one aggregation makes the blocks. Only character references need Python, which gets them without the texts they stand in.
+and one aggregation makes the blocks. Nothing here runs in Python.
 """
 
 from __future__ import annotations
 
-import html
+import functools
 from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 from pyspark.sql.window import Window
 
 # Tags that end a block.
@@ -28,23 +26,48 @@ _REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
 _CLOSED = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[^\t\n\f <&#;]{1,32});"
 
 
-def _resolved(closed: bool):
-    @F.pandas_udf(ArrayType(StringType()))
-    def resolve(references: pd.Series) -> pd.Series:
-        one = lambda r: r if closed and r[1] != "#" and r[1:] not in html5 else html.unescape(r)
-        return references.map(lambda rs: [one(r) for r in rs], na_action="ignore")
+#: The named references of HTML, the common ones first as a map is searched from its start; those valid without a semicolon, longest first.
+_NAMES = sorted(html5, key=lambda n: n.rstrip(";") not in ("amp", "lt", "gt", "quot", "nbsp", "copy", "middot"))
+_BARE = "^(?:" + "|".join(sorted((n for n in html5 if n[-1] != ";"), key=len, reverse=True)) + ")"
+# Numbers that HTML reads as other signs (those of windows-1252), and numbers of no character, which vanish.
+_ONE_BYTE = {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)}
+_OTHERS = {0: "\ufffd", 13: "\r"} | _ONE_BYTE
+_NONE = [[1, 8], [11, 11], [14, 31], [127, 159], [0xFDD0, 0xFDEF]] + [[p * 0x10000 + 0xFFFE, p * 0x10000 + 0xFFFF] for p in range(17)]
 
-    return resolve
 
+def _map(entries: dict) -> Column:
+    """A literal; neither the keys nor the values may hold the signs that stand between them."""
+    return F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in entries.items())), F.lit("\x01"), F.lit("\x02"))
 
-def plain(text: Column, closed: bool = False) -> Column:
-    """Character references resolved (``closed``: only those that end with a semicolon), white space collapsed.
 
-    Python sees the references only, never the text around them.
-    """
+def _character(digits: Column, base: int) -> Column:
+    """The character of a number in a reference."""
+    short = F.ltrim(digits, F.lit("0"))
+    n = F.conv(F.concat(F.lit("0"), F.substring(short, 1, 8)), base, 10).cast("long")
+    wide = (F.length(short) > 7) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF)
+    none = functools.reduce(Column.__or__, [n.between(*ends) for ends in _NONE])
+    # With a mark of byte order of its own, so that U+FEFF is a character.
+    sign = F.decode(F.unhex(F.concat(F.lit("0000FEFF"), F.lpad(F.hex(n), 8, "0"))), "UTF-32")
+    return F.when(wide, "\ufffd").otherwise(F.coalesce(F.try_element_at(_map(_OTHERS), n.cast("string")), F.when(none, "").otherwise(sign)))
+
+
+def _resolved(reference: Column, closed: bool) -> Column:
+    """What the reference stands for, as ``html.unescape`` has it; itself if it is none."""
+    digits = F.regexp_extract(reference, "^&#[xX]?([0-9a-fA-F]+)", 1)
+    names, name = _map({n: html5[n] for n in _NAMES}), F.substr(reference, F.lit(2))
+    named = F.try_element_at(names, name)
+    if not closed:
+        bare = F.regexp_extract(name, _BARE, 0)
+        named = F.coalesce(named, F.when(bare != "", F.concat(F.try_element_at(names, bare), F.substr(name, F.length(bare) + 1))))
+    number = F.when(F.lower(F.substring(reference, 3, 1)) == "x", _character(digits, 16)).otherwise(_character(digits, 10))
+    return F.when(F.substring(reference, 2, 1) == "#", number).otherwise(F.coalesce(named, reference))
+
+
+def plain(text: Column, closed: bool = False) -> Column:
+    """Character references resolved (``closed``: only those that end with a semicolon), white space collapsed."""
     pattern = F.lit(_CLOSED if closed else _REFERENCE)
     has = F.contains(text, F.lit("&"))
-    found = _resolved(closed)(F.when(has, F.regexp_extract_all(text, pattern, 0)))
+    found = F.transform(F.when(has, F.regexp_extract_all(text, pattern, 0)), lambda r: _resolved(r, closed))
     pieces = F.zip_with(F.split(text, pattern, -1), found, lambda t, r: F.concat(t, F.coalesce(r, F.lit(""))))
     return F.btrim(F.regexp_replace(F.when(has, F.array_join(pieces, "")).otherwise(text), _WHITE, " "), F.lit(" "))
 
