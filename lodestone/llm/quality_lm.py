@@ -32,6 +32,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import join_table, release, stored, thrifty
 
@@ -316,6 +317,24 @@ def _drawn(fits: DataFrame, sample: int) -> DataFrame:
     return stored(join_table(named, shares, ["language", "none"], F.xxhash64("id")).where(draw < F.col("share")).select("id").distinct(), "trusted")
 
 
+#: How far a rank of ``percentile_approx`` may be off, as a share of the rows.
+OFF = 1e-5
+
+
+def _quantiles(rows: DataFrame, by: str, value: str, quantile: float) -> DataFrame:
+    """by, n, limit: of each group of n rows the value at rank ceil(quantile * n), exactly.
+
+    Memory is bounded, as the rows grow with the labels: two estimates enclose the value, and only what lies between them is put in order.
+    """
+    ends = F.percentile_approx(value, [max(quantile - 2 * OFF, 0.0), min(quantile + 2 * OFF, 1.0)], round(1 / OFF))
+    groups = stored(rows.groupBy(by).agg(F.count("*").alias("n"), ends.alias("_ends")), "enclosed")
+    met = join_table(rows, groups, [by], F.xxhash64(value)).where(F.col(value) <= F.col("_ends")[1])
+    at = F.when(F.col(value) < F.col("_ends")[0], F.lit(float("-inf"))).otherwise(F.col(value))
+    counts = met.groupBy(by, "n", at.alias("_at")).agg(F.count("*").alias("_k"))
+    upto = F.sum("_k").over(Window.partitionBy(by).orderBy("_at"))
+    return counts.withColumn("_upto", upto).where(F.col("_upto") >= F.ceil(F.lit(quantile) * F.col("n"))).groupBy(by, "n").agg(F.min("_at").alias("limit"))
+
+
 def _judged(documents: DataFrame, labels: DataFrame, keep: list[str], doc_id: str, text: str, lang: str, sample: int | None, quantile: float, margin: float, order: int) -> DataFrame:
     """Columns c0, c1, ... for those of ``keep``, and RESULTS."""
     passed = [f"c{i}" for i in range(len(keep))]
@@ -340,11 +359,9 @@ def _judged(documents: DataFrame, labels: DataFrame, keep: list[str], doc_id: st
         with_mean = join_table(rows, middle, ["lang"], F.xxhash64("id", "nll"), "left").crossJoin(F.broadcast(everything))  # one row
         return with_mean.withColumn("shrunk", F.when(F.col("n_scored") > 0, F.exp((F.col("nll") + PRIOR * F.coalesce("mean", "all")) / (F.col("n_scored") + PRIOR)))).drop("mean", "all")
 
-    # In bounded memory, as these grow with the labels; exact up to a rank of 1 in 100 000.
-    at = F.percentile_approx("shrunk", quantile, 100_000)
     known = stored(shrink(held).select("lang", "shrunk"), "trusted-shrunk")
-    by_lang = stored(known.groupBy("lang").agg(F.count("*").alias("n"), at.alias("limit")).where((F.col("n") >= LEAST) & F.col("lang").isNotNull()).select("lang", "limit"), "language-quantiles")
-    overall = known.agg(at.alias("limit_all"))
+    by_lang = stored(_quantiles(known.where("lang is not null"), "lang", "shrunk", quantile).where(F.col("n") >= LEAST).select("lang", "limit"), "language-quantiles")
+    overall = _quantiles(known.withColumn("whole", F.lit(0)), "whole", "shrunk", quantile).agg(F.max("limit").alias("limit_all"))
     out = join_table(shrink(scored), by_lang, ["lang"], F.xxhash64("id", "nll"), "left").crossJoin(F.broadcast(overall))  # one row
     out = out.withColumn("quantile", F.coalesce("limit", "limit_all")).withColumn("threshold", F.lit(margin) * F.col("quantile"))
     out = out.withColumn("perplexity", F.when(F.col("n_scored") > 0, F.exp(F.col("nll") / F.col("n_scored"))))
