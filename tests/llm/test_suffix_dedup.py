@@ -75,3 +75,27 @@ def test_planted_passages_over_many_documents(spark, monkeypatch, length, words)
     caught = [i % 5 != 0 and got[i][0] > 0 for i in range(len(texts))]
     long = [len(p) >= length for p in planted]
     assert all(c for i, c in enumerate(caught) if i % 5 and long[i % 4])
+
+
+def test_query_gives_what_is_left_after_the_contracts_columns(spark, tmp_path):
+    """Planted passages of over 50 words: those of 400 bytes go from every text, shorter ones stay, n_bytes is the input's length."""
+    import hashlib
+
+    from lodestone.llm import queries as Q
+
+    r = random.Random(9)
+    prose = lambda n, k: " ".join("".join(r.choice("abcdefghijklmnopqé") for _ in range(k)) for _ in range(n))
+    planted = [prose(55, 8), prose(55, 5), prose(70, 7)]
+    sizes = [len(p.encode()) for p in planted]
+    assert sizes[1] < 400 <= min(sizes[0], sizes[2])
+    # The last two differ in the second byte of a character, so that a removed run ends within it.
+    texts = [None, "", *(f"{prose(20, 6)} {planted[i % 3]} {prose(20, 6)}" for i in range(12)), *(prose(90, 6) for _ in range(4)), "q" * 30 + planted[0] + "\u00e9", "w" * 30 + planted[0] + "\u00e8"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = Q.queries()["op5_suffix_dedup"](spark, str(tmp_path))
+    assert found.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"]
+    got = {x.doc_id: x for x in found.collect()}
+    for i, (removed, spans, kept) in enumerate(brute(texts, 400)):
+        assert got[i][1:] == (len((texts[i] or "").encode()), removed, spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")), i
+    holds = [sum(p in x.text for x in got.values()) for p in planted]
+    assert holds == [0, 4, 0]
+    assert [got[i].n_removed for i in range(14, 18)] == [0] * 4
