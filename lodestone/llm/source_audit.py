@@ -1,8 +1,8 @@
 """How far the sources of a language differ: smoothed term shares of each source against those of its language and of the other sources.
 
-Partitions count terms in DuckDB. The counts are dealt into shards by language and term, so a shard has all there is about
-a term: DuckDB sums it there, drops rare terms, and later adds up what pairs of sources share. Spark
-merges sums and rankings.
+Partitions number their terms and count the numbers in DuckDB. The counts, a row for a term with its sources, are dealt into shards by
+language and term, so a shard has all there is about a term: DuckDB sums it there, drops rare terms, and later adds up what pairs of
+sources share. Spark merges sums and rankings.
 
 Sums over all terms need no table of all terms by all sources: a pair of sources has V terms at the value of two zero counts, plus what
 changes for terms of one source (by how often each count occurs), plus what changes for terms of both (by the shards).
@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from contextlib import closing
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -23,46 +24,127 @@ from . import duck
 from .common import join_table, prepare, stored, thrifty
 
 SCALE = 1_000_000_000
-TERM, GAP = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x40\x5B-\x60\x7B-\x7F]"
-#: Counted rows that a task holds before it sums them, and hands them on if half as many are left.
-HELD = 1_500_000
+GAP = r"[\x00-\x40\x5B-\x60\x7B-\x7F]"
+#: Each byte of UTF-8 as it stands in terms, 0 for those between: A to Z become lower case, whatever isn't ASCII belongs to terms.
+_BYTES = np.array([i + 32 if 65 <= i <= 90 else i if 97 <= i <= 122 or i > 127 else 0 for i in range(256)], np.uint8)
+#: Counted rows, and their bytes, that a task holds before it sums them, and hands them on if half as many are left.
+HELD, HELD_BYTES = 1_500_000, 256 << 20
 #: Rows of a shard that one statement takes.
 PART = 60_000
+#: Sources of a term in one row of counts at most.
+SOURCES = 32
 #: Parts of a group whose best terms are found apart.
 SALTS = 64
 
-_COUNTED = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("n_docs", pa.int64())])
-_COUNTED_DDL = "lang string, source string, term string, n long, n_docs long"
+_COUNTED = pa.schema([("lang", pa.string()), ("term", pa.string()), ("sources", pa.list_(pa.string())), ("n", pa.list_(pa.int64())), ("n_docs", pa.list_(pa.int64()))])
+_COUNTED_DDL = "lang string, term string, sources array<string>, n array<long>, n_docs array<long>"
 _SUMMED = "SELECT lang, source, term, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n_docs) AS BIGINT) AS n_docs FROM {} GROUP BY ALL"
 
 
-def _handed(table: pa.Table, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    yield from table.cast(schema).to_batches(max_chunksize=50_000)
+# A long text lies in several statements.
+_BY_GROUP = "SELECT place, term, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_docs FROM (SELECT row, term, sum(n) AS n FROM given GROUP BY ALL) JOIN rows_of USING (row) GROUP BY ALL"
+_BY_PLACE = "SELECT place, term, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n_docs) AS BIGINT) AS n_docs FROM given GROUP BY ALL"
+
+
+def _handed(table: pa.Table, schema: pa.Schema, most: int = 50_000) -> Iterator[pa.RecordBatch]:
+    yield from table.cast(schema).to_batches(max_chunksize=most)
+
+
+def _terms(texts: pa.StringArray) -> tuple[np.ndarray, pa.StringArray]:
+    """The terms of texts without nulls, lower-cased, and for each the place of its text."""
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    if ends[0] == ends[-1]:
+        return np.zeros(0, np.int32), pa.array([], pa.string())
+    data = _BYTES[np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]]]
+    ends = ends - ends[0]
+    inside = data != 0
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    edges = ends[:-1][ends[:-1] < len(data)]
+    begins[edges] = inside[edges]  # a term doesn't go on into the next text
+    begins = np.flatnonzero(begins)
+    kept = data[inside]
+    offsets = np.append(np.cumsum(inside, dtype=np.int32)[begins] - 1, len(kept)).astype(np.int32)
+    return np.searchsorted(ends[1:], begins, side="right"), pa.StringArray.from_buffers(len(begins), pa.py_buffer(offsets), pa.py_buffer(kept))
+
+
+def _numbered(tables: list[pa.Table]) -> tuple[pa.Table, pa.Array]:
+    """Tables on end with numbers for their terms, and the term of each number."""
+    whole = pa.concat_tables(tables).unify_dictionaries().combine_chunks()
+    terms = whole["term"].chunk(0) if whole.num_rows else pa.array([], pa.dictionary(pa.int32(), pa.string()))
+    return whole.set_column(whole.schema.get_field_index("term"), "term", terms.indices), terms.dictionary
+
+
+def _named(table: pa.Table, terms: pa.Array) -> pa.Table:
+    named = pa.DictionaryArray.from_arrays(table["term"].combine_chunks().cast(pa.int32()), terms)
+    return table.set_column(table.schema.get_field_index("term"), "term", named)
+
+
+def _packed(held: pa.Table, groups: list[tuple[str, str]]) -> pa.Table:
+    """Counts by numbers of groups -> rows of a language's term with up to SOURCES sources."""
+    ordered = sorted(range(len(groups)), key=groups.__getitem__)
+    parts: dict[tuple[str, int], int] = {}
+    seen: dict[str, int] = {}
+    part, place = np.zeros(len(groups), np.int64), np.zeros(len(groups), np.int64)
+    for i, g in enumerate(ordered):
+        lang = groups[g][0]
+        seen[lang] = seen.get(lang, -1) + 1
+        place[g], part[i] = i, parts.setdefault((lang, seen[lang] // SOURCES), len(parts))
+    held, terms = _numbered([held])
+    which, term = place[held["place"].to_numpy()], held["term"].to_numpy().astype(np.int64)
+    order = np.argsort(term * len(groups) + which)
+    which, term = which[order], term[order]
+    cut = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(part[which], prepend=-1) != 0))
+    offsets = pa.array(np.append(cut, len(order)), pa.int32())
+    langs, sources = (pa.array([groups[g][k] for g in ordered], pa.string()) for k in (0, 1))
+    lists = [sources.take(pa.array(which)), *(pa.array(held[c].to_numpy()[order]) for c in ("n", "n_docs"))]
+    return pa.table([langs.take(pa.array(which[cut])), terms.take(pa.array(term[cut])), *(pa.ListArray.from_arrays(offsets, x) for x in lists)], schema=_COUNTED)
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each source again."""
+    for b in batches:
+        of = pc.list_parent_indices(b.column("sources"))
+        columns = {"lang": b.column("lang").take(of), "source": pc.list_flatten(b.column("sources")), "term": b.column("term").take(of)}
+        yield pa.RecordBatch.from_pydict(columns | {c: pc.list_flatten(b.column(c)) for c in ("n", "n_docs")})
 
 
 def _term_counter(piece: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """lang, source, text to lang, source, term, n, n_docs: sums over the rows that a task holds at a time."""
+    """lang, source, text to lang, term, sources, n, n_docs: sums over the rows that a task holds at a time."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with closing(duck.connect("500MB")) as db:
-            db.execute("CREATE TABLE held (lang VARCHAR, source VARCHAR, term VARCHAR, n BIGINT, n_docs BIGINT)")
-            size = 0
+
+            def counted(tables: list[pa.Table], query: str) -> pa.Table:
+                table, terms = _numbered(tables)
+                db.register("given", table)
+                found = db.sql(query).to_arrow_table()
+                db.unregister("given")
+                return _named(found, terms)
+
+            held: list[pa.Table] = []
+            groups: dict[tuple[str, str], int] = {}
+            size = held_bytes = 0
             for batch in batches:
-                db.register("rows_of", pa.table({"row": pa.array(range(batch.num_rows), pa.int32()), "lang": batch.column(0), "source": batch.column(1)}))
-                db.execute("CREATE OR REPLACE TABLE by_row (row INTEGER, term VARCHAR, n BIGINT)")
-                for given in duck.statements(batch.column(2), GAP, most=piece):
-                    db.register("given", given)
-                    db.execute(f"INSERT INTO by_row SELECT row, term, count(*) FROM (SELECT row, unnest(regexp_extract_all({duck.LOWER.format('text')}, '{TERM}')) AS term FROM given) GROUP BY ALL")
-                    db.unregister("given")
-                size += duck.first(db, "INSERT INTO held SELECT lang, source, term, sum(n), count(DISTINCT row) FROM by_row JOIN rows_of USING (row) GROUP BY ALL")[0]
+                places = [groups.setdefault(g, len(groups)) for g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+                db.register("rows_of", pa.table({"row": pa.array(range(batch.num_rows), pa.int32()), "place": pa.array(places, pa.int32())}))
+                by_row = []
+                for texts in duck.statements(batch.column(2), GAP, most=piece):
+                    of, words = _terms(texts["text"].chunk(0))
+                    words = pa.table({"row": texts["row"].to_numpy()[of], "term": words.dictionary_encode()})
+                    by_row.append(counted([words], "SELECT row, term, count(*) AS n FROM given GROUP BY ALL"))
+                if by_row:
+                    held.append(counted(by_row, _BY_GROUP))
+                    size, held_bytes = size + held[-1].num_rows, held_bytes + held[-1].nbytes
                 db.unregister("rows_of")
-                if size > HELD:
-                    size = duck.first(db, f"CREATE OR REPLACE TABLE held AS {_SUMMED.format('held')}")[0]
-                if size > HELD // 2:
-                    yield from _handed(db.sql("FROM held").to_arrow_table(), _COUNTED)
-                    db.execute("DELETE FROM held")
-                    size = 0
-            yield from _handed(db.sql(_SUMMED.format("held")).to_arrow_table(), _COUNTED)
+                if size > HELD or held_bytes > HELD_BYTES:
+                    held = [counted(held, _BY_PLACE)]
+                    size, held_bytes = held[0].num_rows, held[0].nbytes
+                    if size > HELD // 2 or held_bytes > HELD_BYTES // 2:
+                        yield from _handed(_packed(held[0], list(groups)), _COUNTED, 10_000)
+                        held, groups, size, held_bytes = [], {}, 0, 0
+            if held:
+                yield from _handed(_packed(counted(held, _BY_PLACE), list(groups)), _COUNTED, 10_000)
 
     return thrifty(count)
 
@@ -97,7 +179,7 @@ def _keeper(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with closing(duck.connect("300MB")) as db:
-            for part in _whole_terms(batches, db, _SUMMED):
+            for part in _whole_terms(_unpacked(batches), db, _SUMMED):
                 db.register("part", part)
                 found = db.sql(
                     f"""SELECT lang, term, source, n, CAST(sum(n) OVER of_term AS BIGINT) AS lang_n, source = min(source) OVER of_term AS leads
@@ -186,7 +268,8 @@ def divergence(documents: DataFrame, least_docs: int = 3, top: int = 200, piece:
     prepare(spark)
     rows = documents.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
     counted = rows.mapInArrow(_term_counter(piece), _COUNTED_DDL)
-    shards = counted.repartition("lang", "term").sortWithinPartitions("lang", "term")
+    # Terms first, as few sorted rows agree in them: nearly all comparisons end with their first bytes.
+    shards = counted.repartition("lang", "term").sortWithinPartitions("term", "lang")
     kept = stored(shards.mapInArrow(_keeper(least_docs), _KEPT_DDL), "audit-kept")
 
     in_group = kept.groupBy("lang", "source").agg(F.sum("n").alias("n_of"))
@@ -197,7 +280,7 @@ def divergence(documents: DataFrame, least_docs: int = 3, top: int = 200, piece:
     # The shards again, now with the totals of their groups.
     rated = join_table(kept, groups, ["lang", "source"], F.xxhash64("term"))
     rated = rated.select("lang", "term", "source", _share(F.col("n"), F.col("n_of"), F.col("v")).alias("p"), "p0", _share(F.col("lang_n"), F.col("lang_of"), F.col("v")).alias("q"))
-    shards = rated.repartition("lang", "term").sortWithinPartitions("lang", "term")
+    shards = rated.repartition("lang", "term").sortWithinPartitions("term", "lang")
     partial = stored(shards.mapInArrow(_adder(top), _PARTIAL_DDL), "audit-partial")
 
     other = groups.select("lang", F.col("source").alias("item"), F.col("p0").alias("q0"))

@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from lodestone.llm import duck, source_audit
 
@@ -53,3 +54,32 @@ def test_no_documents(spark):
 def test_counts_beyond_64_bits(spark):
     row = spark.createDataFrame([(4 * 10**18, 9 * 10**18, 3)], "n long, total long, v long").select(source_audit._share(*[source_audit.F.col(c) for c in ("n", "total", "v")]).alias("p")).first()
     assert row.p == 1 + 10**9 * (4 * 10**18 + 1) // (9 * 10**18 + 3)
+
+
+def test_terms_of_bytes_against_the_pattern():
+    texts = ["", "Ab[c`d{e\x7ff", "", "x", "yZ", "\x00É日本 a_b1c@D", " ", "\u0080\u07ff\uffff\U0001f600Q", "end"]
+    for first in range(len(texts) + 1):
+        of, words = source_audit._terms(pa.array(texts).slice(first))
+        expected = [(i, t) for i, x in enumerate(texts[first:]) for t in re.findall("[^\x00-\x40\x5b-\x60\x7b-\x7f]+", x.translate(LOWER))]
+        assert list(zip(of.tolist(), words.to_pylist(), strict=True)) == expected
+
+
+def test_a_task_sums_before_it_hands_on(monkeypatch):
+    """Twenty batches of the same five terms in three sources: one row a term, not rows of every batch."""
+    monkeypatch.setattr(source_audit, "HELD", 40)
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"] * 3, "source": ["a", "b", "c"], "text": ["v w x y z v"] * 3})
+    found = pa.Table.from_batches(source_audit._term_counter(duck.PIECE)(iter([batch] * 20))).to_pylist()
+    assert len(found) == 5
+    for row in found:
+        assert (row["lang"], row["sources"], row["n"], row["n_docs"]) == ("en", ["a", "b", "c"], [40 if row["term"] == "v" else 20] * 3, [20] * 3)
+
+
+@pytest.mark.parametrize(("held_bytes", "sources"), [(1, 2), (1 << 28, 1)])
+def test_divergence_of_many_sources_and_small_parts(spark, monkeypatch, held_bytes, sources):
+    """Sources of a term in several rows, counts handed on after every batch, a term in two languages."""
+    monkeypatch.setattr(source_audit, "HELD_BYTES", held_bytes)
+    monkeypatch.setattr(source_audit, "SOURCES", sources)
+    rng = random.Random(3)
+    rows = [(" ".join(rng.choice(["a", "B", "É", "ab", "ba", f"w{'xyz'[i % 3]}"]) for _ in range(rng.randint(0, 9))), rng.choice(["en", "de"]), f"s{i % 7}") for i in range(90)]
+    documents = spark.createDataFrame(rows, "text string, lang string, source string").repartition(3)
+    assert sorted(map(tuple, source_audit.divergence(documents).collect())) == plain(rows, 200)
