@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..index import B, K1
 from ..tables import Scratch
-from .lexical import inverse_frequency, phrases, ranked
+from .lexical import contribution, inverse_frequency, phrases, ranked
 
 #: Rows scored at once, scores held at once (rows times queries or phrases), and queries of one pass over the counted rows.
 ROWS, HELD, QUERIES = 256, 1 << 21, 1024
@@ -113,6 +113,28 @@ def _best(asked: list[list[int]], idf: np.ndarray, avg: float, limit: int):
     return run
 
 
+def strongest(rows: DataFrame, queries: DataFrame, query_id: str = "query_id", terms: str = "terms", text: str = "text") -> DataFrame:
+    """phrase, magnitude: the same as ``Scan.strongest`` where nothing else is asked of the rows, so that no table of them is kept.
+
+    A contribution falls with the length of a row, so among the rows that hold a phrase equally often the shortest has the largest. What is shuffled is
+    a row a phrase, number of occurrences and task; phrase -1 stands for the rows as a whole.
+    """
+    spark = rows.sparkSession
+    wanted = sorted(r[0] for r in phrases(queries, query_id, terms).select("phrase").distinct().collect())
+    none = F.lit(None).cast("string")
+    cut = rows.select(none.alias("key"), none.alias("scope"), X.tokens(F.col(text)).alias("tokens"))
+    counted = cut.mapInArrow(_counted(wanted), "key string, scope string, n_tokens long, phrases array<int>, tf array<int>")
+    held = F.concat(F.array(F.struct(F.lit(-1).alias("at"), F.lit(0).alias("f"))), F.arrays_zip(F.col("phrases").alias("at"), F.col("tf").alias("f")))
+    sums = counted.select("n_tokens", F.inline(held)).groupBy("at", "f").agg(F.count("*").alias("rows"), F.min("n_tokens").alias("least"), F.sum("n_tokens").alias("n_tokens"))
+    sums = Scratch(spark, "strongest").stored(sums, "sums")
+    n_rows, avg = sums.where("at < 0").agg(F.sum("rows"), F.sum("n_tokens") / F.sum("rows")).first()  # one row
+    names = F.broadcast(spark.createDataFrame(list(enumerate(wanted)), "at int, phrase string"))
+    df = sums.groupBy("at").agg(F.sum("rows").alias("df"))
+    rated = sums.join(names, "at").join(df, "at")
+    x = contribution(inverse_frequency(F.lit(n_rows), F.col("df")), F.col("f"), F.col("least"), F.lit(avg))
+    return rated.groupBy("phrase").agg(F.max(F.round(x, 9)).alias("magnitude"))
+
+
 class Scan:
     """One batch: ``queries`` (query_id, terms) over ``rows`` (key, text and a scope)."""
 
